@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -33,3 +34,21 @@ def text_or_empty(column: str = "text") -> Column:
 
 def sql_list(xs) -> Column:
     return F.array(*[F.lit(x) for x in xs])
+
+
+def append_arrow(df: DataFrame, added: str, make) -> DataFrame:
+    """``df`` with further columns that ``make(batch)`` gives as Arrow arrays, batch by batch; ``added`` is their DDL.
+
+    Columns of ``df`` that have one of the new names are replaced.
+    """
+    import pyarrow as pa
+
+    new = StructType.fromDDL(added)
+    kept = df.drop(*new.fieldNames())
+    schema = StructType([*kept.schema.fields, *new.fields])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=schema.fieldNames())
+
+    return kept.mapInArrow(run, schema)

@@ -1,10 +1,14 @@
 """Registered queries of the corpus operators, with SQL where SQL can express them."""
 
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .sentencepiece_codec import op9_sentencepiece
+from .token_counts import op8_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op6_url_filter": OP6_SQL}
