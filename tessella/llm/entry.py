@@ -2,11 +2,13 @@
 
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .sentencepiece_codec import op9_sentencepiece
+from .simhash import op5_simhash
 from .token_counts import op8_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
