@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators, with SQL where SQL can express them."""
 
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .quality import op7_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .simhash import op5_simhash
 from .token_counts import op8_token_counts
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
 }
