@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators, with SQL where SQL can express them."""
 
+from .ann import op10_ann
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op3_mixing
 from .quality import op7_quality
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_ann": op10_ann,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op6_url_filter": OP6_SQL}
