@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import materialise, table
 
-MAX_SAMPLE, BLOCK, QUERY_BLOCK, TARGET, SEED = 20_000, 256, 256, 0.97, 5
+MAX_SAMPLE, BLOCK, QUERY_BLOCK, TARGET, SEED = 20_000, 256, 256, 0.98, 5
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:

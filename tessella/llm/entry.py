@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators, with SQL where SQL can express them."""
 
 from .ann import op10_ann
+from .fingerprints import op4_fingerprints
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op3_mixing
 from .quality import op7_quality
@@ -12,6 +13,7 @@ from .url_filter import OP6_SQL, op6_url_filter
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
