@@ -4,6 +4,7 @@ from .ann import op10_ann
 from .fingerprints import op4_fingerprints
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op3_mixing
+from .pii import op2_pii
 from .quality import op7_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .simhash import op5_simhash
@@ -12,6 +13,7 @@ from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
