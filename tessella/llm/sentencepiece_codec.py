@@ -5,8 +5,8 @@ piece before it; two pieces may follow each other if merging their joined charac
 gives exactly these two. Where no piece fits, the position is marked in a bitfield and the encoder steps back. The encoding of a
 prefix is unique, so a position that failed once always fails.
 
-No piece holds a space mark after another character, so text is cut before each run of marks; characters that no longer piece
-holds stand alone. Such segments are encoded independently and remembered up to a bound.
+Text is cut where no piece spans: before each run of space marks, around characters that no longer piece holds, and between a
+letter and what follows no letter in any piece. Such segments are encoded independently and remembered up to a bound.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; characters outside the vocabulary become byte
 pieces; texts of any length are encoded whole; extra columns are carried along, columns named like the new ones are replaced.
@@ -15,6 +15,7 @@ pieces; texts of any length are encoded whole; extra columns are carried along,
 from __future__ import annotations
 
 import functools
+from array import array
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import append_arrow, small_batches, table
 
 MARK = "▁"
-MAX_MEMO, MAX_PAIRS, MAX_KEPT = 300_000, 500_000, 48
+MAX_MEMO, MAX_PAIRS, MAX_KEPT = 450_000, 500_000, 48
 
 
 class Codec:
@@ -44,15 +45,28 @@ class Codec:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id[p] = i
                 self.score[p] = sp.get_score(i)
-                self.find.add_word(p, (i, len(p)))
+                self.find.add_word(p, i)
         self.find.make_automaton()
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a space mark after another character")
-        inner = sorted({c for p in self.id if len(p) > 1 for c in p} - {MARK})
-        chars = "".join(map(regex.escape, inner))
-        self.segments = regex.compile(f"{MARK}+[{chars}]*|[{chars}]+|[^{MARK}{chars}]").findall
+        # The next shorter piece that a piece begins with, or -1.
+        self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), -1) if p in self.id else -1 for p in self.pieces]
+        if not all(c in self.id for p in self.id for c in p):
+            raise ValueError("a character of a piece is no piece")
+        inner = {c for p in self.id if len(p) > 1 for c in p} - {MARK}
+        pairs = {(a, b) for p in self.id for a, b in zip(p, p[1:])}
+        tail = {c for c in inner if c.isalpha()}
+        while more := {b for a, b in pairs if a in tail and b not in tail}:
+            tail |= more
+        kind = lambda chars: "[" + "".join(map(regex.escape, sorted(chars))) + "]"
+        head, tail = kind(inner - tail), kind(tail)
+        self.segments = regex.compile(f"{MARK}+{head}*+{tail}*+|{head}++{tail}*+|{tail}++|(?s:.)").findall
+        # What a piece decodes to; control pieces to nothing, the unknown piece to its surface.
+        self.spaced = [p.replace(MARK, " ") if p in self.id else " \u2047 " if sp.is_unknown(i) else "" for i, p in enumerate(self.pieces)]
+        self.length = list(map(len, self.pieces))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo = _Memo(self)
+        self.words = _Words(self)
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a few characters, by merging itself."""
@@ -82,35 +96,41 @@ class Codec:
         if n == 1:
             i = self.id.get(text)
             return [i] if i is not None else [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.find.iter(text):
-            starts[end - found[1] + 1].append(found)
-        for i, c in enumerate(text):  # a character without a piece of its own
-            if c not in self.id:
-                starts[i].insert(0, (-1 - i, 1))
+        longest, length, shorter, known = self.find.iter_long, self.length, self.shorter, self.pairs
+        greedy = [i for _, i in longest(text)]
+        for pair in zip(greedy, greedy[1:]):
+            if not (known[pair] if pair in known else self.may_follow(*pair)):
+                break
+        else:
+            return greedy
         failed = 0  # a bit for each position from which no path reaches the end
-        path: list[tuple[int, int, int]] = []  # (start, index of its choice, id)
-        at, k = 0, len(starts[0]) - 1
+        path: list[int] = []
+        at, last, i = 0, -1, greedy[0]
         while at < n:
-            step = None
-            while k >= 0:
-                i, size = starts[at][k]
-                if not failed >> (at + size) & 1 and (not path or i < 0 or path[-1][2] < 0 or self.may_follow(path[-1][2], i)):
-                    step = i, size
+            while i >= 0:
+                end = at + length[i]
+                if not failed >> end & 1 and (last < 0 or (known[last, i] if (last, i) in known else self.may_follow(last, i))):
                     break
-                k -= 1
-            if step:
-                path.append((at, k, step[0]))
-                at += step[1]
-                k = len(starts[at]) - 1 if at < n else 0
+                i = shorter[i]
+            if i >= 0:
+                path.append(i)
+                at, last = end, i
+                if at < n:
+                    i = next(longest(text, at))[1]
             else:
                 failed |= 1 << at
-                at, k, _ = path.pop()
-                k -= 1
-        out = []
-        for start, _, i in path:
-            out.extend([i] if i >= 0 else [self.byte_id[b] for b in text[start].encode("utf-8", "surrogatepass")])
-        return out
+                i = path.pop()
+                at -= length[i]
+                last, i = path[-1] if path else -1, shorter[i]
+        return path
+
+    def coded(self, text: str) -> list[tuple[bytes, str]]:
+        """(ids in bytes, their text) of consecutive parts of a text. Words between single spaces are parts of their own, as no
+        piece holds a mark after another character; other texts are cut into segments."""
+        words = text.split(" ") if text else []
+        if "" in words or MARK in text:
+            return list(map(self.memo.__getitem__, self.cut(text)))
+        return list(map(self.words.__getitem__, words))
 
     def cut(self, text: str) -> list[str]:
         return self.segments(MARK + text.replace(" ", MARK)) if text else []
@@ -120,11 +140,13 @@ class Codec:
 
     def fragment(self, ids) -> str:
         """The text of whole segments, the leading mark kept as a space."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.spaced[i] for i in ids])
         out = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
             if b is None:
-                out += self.pieces[i].replace(MARK, " ").encode("utf-8", "surrogatepass") if i > 2 else b" \xe2\x81\x87 " if i == 0 else b""
+                out += self.spaced[i].encode("utf-8", "surrogatepass")
             else:
                 out.append(b)
         return out.decode("utf-8", "replace")
@@ -141,10 +163,8 @@ class _Memo(dict):
         self.codec = codec
 
     def __missing__(self, text):
-        import numpy as np
-
         ids = self.codec.segment(text)
-        made = np.asarray(ids, dtype=np.int32).tobytes(), self.codec.fragment(ids)
+        made = array("i", ids).tobytes(), self.codec.fragment(ids)
         if len(text) <= MAX_KEPT:
             if len(self) >= MAX_MEMO:
                 self.clear()
@@ -152,6 +172,22 @@ class _Memo(dict):
         return made
 
 
+class _Words(dict):
+    """Word -> the same of the word with a mark before it."""
+
+    def __init__(self, codec):
+        self.codec = codec
+
+    def __missing__(self, word):
+        parts = list(map(self.codec.memo.__getitem__, self.codec.segments(MARK + word)))
+        made = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
+        if len(word) <= MAX_KEPT:
+            if len(self) >= MAX_MEMO:
+                self.clear()
+            self[word] = made
+        return made
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -166,9 +202,9 @@ def encode_texts(docs: DataFrame, path: str, *, text: str = "text", ids: str = "
         import pyarrow as pa
 
         c = codec(path)
-        look, flat, ends, texts = c.memo.__getitem__, [], [0], []
-        for x in batch.column(text):
-            made = list(map(look, c.cut(x.as_py() or "")))
+        flat, ends, texts = [], [0], []
+        for x in batch.column(text).to_pylist():
+            made = c.coded(x or "")
             flat.append(b"".join([m[0] for m in made]))
             ends.append(ends[-1] + len(flat[-1]) // 4)
             texts.append("".join([m[1] for m in made])[1:])  # without the mark that encoding put in front
