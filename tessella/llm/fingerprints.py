@@ -143,7 +143,11 @@ def fingerprint_edits(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return op4_rows(table(spark, sf_dir, "documents"))
+
+
+def op4_rows(docs: DataFrame) -> DataFrame:
+    made = fingerprint_edits(docs)
     return made.select(
         "doc_id",
         "n_chars",

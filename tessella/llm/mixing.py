@@ -130,7 +130,7 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     taken = F.broadcast(taken) if n_taken <= broadcast_rows else taken
     over = F.broadcast(over) if len(sums) <= broadcast_rows else over
     full = blocked(marked).join(taken, ["mix_source", "mix_block"], "left").join(over, "mix_source", "left")
-    partly = F.coalesce(F.col("whole") | F.col("stop").isNull() | (F.col("mix_key") < F.col("stop")), F.lit(False)) & (F.col("rest") > 0)
+    partly = F.col("whole").isNotNull() & (F.col("whole") | F.col("stop").isNull() | (F.col("mix_key") < F.col("stop")))
     times = F.col("full") + F.when(partly, 1).otherwise(0)
     return (
         full.withColumn("mix_times", times)
