@@ -1,0 +1,135 @@
+"""Compile logs: items, error lines, files of the build."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Fixed values of the log format.
+SUFFIXES = "tex sty cls bib bst def cfg clo fd ldf aux toc out bbl".split()
+ERROR = re.compile(r"^! (.*)$")
+SOURCE = re.compile(r"^l\.(\d+)\b ?(.*)$")
+FILE_LINE = re.compile(r"^(.+?):(\d+):\d*:?\s*(.+)$")
+WARNING = re.compile(r"(?:^|\s)((?:LaTeX|Package [\w@-]+|LaTeX Font|pdfTeX|Class [\w@-]+) Warning:.*)$")
+INPUT_LINE = re.compile(r"on input line (\d+)")
+BADBOX = re.compile(r"^(Overfull|Underfull) \\([hv]box)\b(.*)$")
+BOX_LINES = re.compile(r"at lines (\d+)--\d+")
+BOX_LINE = re.compile(r"(?:at|detected at) line (\d+)")
+LOOK_AHEAD, EXCERPT, WARNING_LINES = 40, 8, 8
+BLG_FATAL = r"(?m)(?d)^(I couldn't open (?:style|database) file .*|I found no \\\w+ commands?.*|ERROR - .*|I couldn't find .*|I was expecting .*)$"
+
+ITEM = T.StructType([
+    T.StructField("severity", T.StringType()), T.StructField("file", T.StringType()), T.StructField("fileFromLog", T.BooleanType()),
+    T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType()), T.StructField("rawExcerpt", T.StringType()),
+])
+
+
+def is_path(token: str) -> bool:
+    return "/" in token or token.lower().rpartition(".")[2] in SUFFIXES and "." in token
+
+
+def clean_path(token: str) -> str:
+    return token[2:] if token.startswith("./") else token
+
+
+class Files:
+    """The stack of open files that parentheses in the log describe."""
+
+    def __init__(self):
+        self.open: list[str | None] = []
+
+    def read(self, line: str) -> None:
+        for m in re.finditer(r"\(([^\s()]*)|\)", line):
+            if m.group() == ")":
+                if self.open:
+                    self.open.pop()
+            else:
+                self.open.append(clean_path(m.group(1)) if is_path(m.group(1)) else None)
+
+    def top(self) -> str | None:
+        return next((x for x in reversed(self.open) if x), None)
+
+
+def parse_log(log: str | None, root: str | None = None) -> list[dict]:
+    """Items in order. The first kind that a line fits decides: error, bad box, warning, ``file:line:``, a mere ``error:``."""
+    lines = [x.rstrip("\r") for x in (log or "").split("\n")]
+    files, out, failed = Files(), [], False
+
+    def add(severity, line, message, excerpt, file=None):
+        own = file or files.top()
+        out.append({"severity": severity, "file": own or root, "fileFromLog": own is not None, "line": line, "message": message, "rawExcerpt": "\n".join(excerpt[:EXCERPT])})
+
+    for i, x in enumerate(lines):
+        if m := ERROR.match(x):
+            failed, message = True, m.group(1)
+            seen = next((j for j in range(i + 1, min(i + LOOK_AHEAD, len(lines))) if SOURCE.match(lines[j])), None)
+            at = None
+            if seen is not None:
+                source = SOURCE.match(lines[seen])
+                at = int(source.group(1))
+                macro = re.search(r"(\\[A-Za-z@]+)\s*$", source.group(2))
+                if message.startswith("Undefined control sequence") and macro:
+                    message = f"{message.rstrip('.')} {macro.group(1)}"
+            add("error", at, message, lines[i : (seen if seen is not None else i) + 1])
+        elif m := BADBOX.match(x):
+            at = BOX_LINES.search(x) or BOX_LINE.search(x)
+            add("badbox", int(at.group(1)) if at else None, x, [x])
+        elif m := WARNING.search(x):
+            part, at = [m.group(1)], INPUT_LINE.search(x)
+            for y in lines[i + 1 : i + WARNING_LINES]:
+                if at or not y.strip() or ERROR.match(y):
+                    break
+                part.append(y)
+                at = INPUT_LINE.search(y)
+            add("warning", int(at.group(1)) if at else None, m.group(1), part)
+        elif (m := FILE_LINE.match(x)) and " " not in m.group(1) and is_path(m.group(1)):
+            failed = True
+            add("error", int(m.group(2)), m.group(3), [x], clean_path(m.group(1)))
+        elif x.lower().startswith("error:"):
+            failed = True
+        files.read(x)
+    if failed and not any(x["severity"] == "error" for x in out):
+        out.append({"severity": "error", "file": None, "fileFromLog": False, "line": None, "message": "Compile failed", "rawExcerpt": ""})
+    return out
+
+
+parse_log_udf = F.udf(parse_log, T.ArrayType(ITEM), useArrow=True)
+
+
+def collapsed(items: Column) -> Column:
+    """The first item of each severity, file and line."""
+    def step(s, x):
+        known = F.exists(s, lambda y: (y["severity"] == x["severity"]) & y["file"].eqNullSafe(x["file"]) & y["line"].eqNullSafe(x["line"]))
+        return F.when(known, s).otherwise(F.array_append(s, x))
+
+    return F.aggregate(items, F.slice(items, 1, 0), step)
+
+
+def _base(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)\z", 1)
+
+
+def error_lines(items: Column, root: Column, files: Column) -> Column:
+    """Up to 12 located errors; a file only if the project has it; a label for any file but the root."""
+    found = F.filter(collapsed(items), lambda x: (x["severity"] == "error") & (x["line"] >= 1))
+
+    def line(x):
+        own = F.array_contains(files, x["file"])
+        file = F.when(own, x["file"])
+        label = F.when(own, F.when(x["file"] != root, _base(x["file"]))).when(F.coalesce(x["file"], F.lit("")) != "", _base(x["file"]))
+        return F.struct(x["line"].alias("line"), F.left(x["message"], F.lit(160)).alias("text"), file.alias("file"), label.alias("fileLabel"))
+
+    return F.slice(F.transform(found, line), 1, 12)
+
+
+def bibliography_errors(blg: Column) -> Column:
+    return F.regexp_extract_all(blg, F.lit(BLG_FATAL), F.lit(1))
+
+
+def files_of_build(log: Column, files: Column) -> Column:
+    """Which project files the build opened; logs wrap, so line ends are taken out first."""
+    flat = F.replace(log, F.lit("\n"), F.lit(""))
+    return F.filter(files, lambda f: F.contains(flat, F.concat(F.lit("(./"), f)) | F.contains(flat, F.concat(F.lit("("), f)))

@@ -43,7 +43,7 @@ def normalize_error(x: Column) -> Column:
     steps = [
         (U + r"^(?:! |\S+\.tex:\d+: )", ""),
         (r"`[^']*'|'[^']*'|\"[^\"]*\"", "'X'"),
-        (r"\\[A-Za-z@]+", r"\\\\CS"),
+        (r"\\[A-Za-z@]+", r"\\CS"),
         (r"\{[^{}]*\}", "{X}"),
         (U + r"\d+", "N"),
     ]

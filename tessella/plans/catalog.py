@@ -644,7 +644,7 @@ def set10(spark, sf_dir):
 SELECT id, i, round(CASE WHEN NOT applied THEN -0.2 WHEN NOT compiled THEN 0 ELSE (1 + 0.5 * strict::INT) * keep END, 9) AS strict_mode,
 round(CASE WHEN NOT applied THEN -0.2 WHEN NOT compiled THEN 0 WHEN sim IS NOT NULL THEN (sim >= 0.95)::INT ELSE (1 + 0.5 * strict::INT) * keep END, 9) AS gate_mode,
 round(CASE WHEN NOT applied THEN -0.2 WHEN NOT compiled THEN 0 WHEN sim IS NOT NULL THEN 1 + sim * sim ELSE (1 + 0.5 * strict::INT) * keep END, 9) AS sim_mode,
-round(CASE WHEN NOT applied THEN -0.2 WHEN NOT compiled THEN 0 ELSE (deleted <= 40)::INT + strict::INT END, 9) AS ke_mode FROM k""",
+round(CASE WHEN NOT applied THEN -0.2::DOUBLE WHEN NOT compiled THEN 0 ELSE (deleted <= 40)::INT + strict::INT END, 9) AS ke_mode FROM k""",
 )
 def rwd01(spark, sf_dir):
     c = _cands(spark, sf_dir).withColumn("applied", F.col("i") % 5 != 0).withColumn("sim", F.when(F.col("i") % 7 != 3, 1 - F.col("p_yes")))
