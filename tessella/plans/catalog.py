@@ -650,3 +650,151 @@ def rwd01(spark, sf_dir):
     c = _cands(spark, sf_dir).withColumn("applied", F.col("i") % 5 != 0).withColumn("sim", F.when(F.col("i") % 7 != 3, 1 - F.col("p_yes")))
     args = [F.col(x) for x in ("applied", "compiled", "strict", "deleted", "sim")] + [F.lit(0)]
     return c.select("id", "i", *[F.round(R.reward(*args, mode=m), 9).alias(f"{m}_mode") for m in ("strict", "gate", "sim", "ke")])
+
+
+# --- what built-in expressions cannot say (rows only; tests hold them against plain Python)
+
+
+@query("edit07_derive_edits")
+def edit07(spark, sf_dir):
+    from tessella.functions.python_text import derive_edits_udf
+
+    docs = table(spark, sf_dir, "documents").withColumn("broken", F.regexp_replace("text", "\\bthe\\b", "teh"))
+    return docs.select("doc_id", derive_edits_udf("text", "broken").alias("d")).select("doc_id", "d.reason", F.size("d.edits").alias("n_edits"))
+
+
+@query("edit15_changed_lines")
+def edit15(spark, sf_dir):
+    from tessella.functions.python_text import changed_lines_udf
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", changed_lines_udf("text", F.replace("text", F.lit("the"), F.lit("teh"))).alias("n"))
+
+
+@query("sim01_words_similarity")
+def sim01(spark, sf_dir):
+    from tessella.functions.python_text import words_similarity_udf
+
+    other = F.concat(F.substring("text", 20, 1 << 30), F.substring("text", 1, 20))
+    return table(spark, sf_dir, "documents").select("doc_id", words_similarity_udf("text", other).alias("words"))
+
+
+@query("sim02_text_similarity")
+def sim02(spark, sf_dir):
+    from tessella.functions.python_text import text_similarity_udf
+
+    return table(spark, sf_dir, "benchmark").select("item_id", text_similarity_udf("text", F.replace("text", F.lit("the"), F.lit("teh"))).alias("chars"))
+
+
+@query(
+    "sim06_line_jaccard",
+    r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS a, list_distinct(list_filter(list_transform(string_split(replace(text, 'the', 'teh'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS b FROM documents)
+SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS j FROM s WHERE len(a) > 0""",
+)
+def sim06(spark, sf_dir):
+    a, b = X.line_set(F.col("text")), X.line_set(F.replace("text", F.lit("the"), F.lit("teh")))
+    return table(spark, sf_dir, "documents").filter(F.size(a) > 0).select("doc_id", F.round(X.jaccard(a, b), 9).alias("j"))
+
+
+@query("gen_perturbed")
+def gen_perturbed(spark, sf_dir):
+    from tessella.operators.perturb import perturbed
+
+    t = F.concat(F.lit("\\documentclass{article}\n\\usepackage{amsmath}\n\\begin{document}\n"), F.regexp_replace("text", "\\b([a-z]{8,})\\b", "\\\\emph{$1}"), F.lit("\n\\end{document}\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("tex"))
+    return perturbed(docs, "tex", ["typo_macro", "drop_brace", "drop_usepackage"]).select("doc_id", "mutation", "seed", F.col("edit.search").alias("search"), F.col("edit.replace").alias("replace"))
+
+
+@query("log01_parse")
+def log01(spark, sf_dir):
+    from tessella.functions.logs import error_lines, parse_log_udf
+
+    log = F.concat(F.lit("(./main.tex\n! Undefined control sequence.\nl."), F.col("doc_id") + 1, F.lit(" \\foo\n(./sections/a.tex\nLaTeX Warning: x on input line 3.\n! "), F.left("text", F.lit(50)), F.lit("\nl.7 y\n))"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", parse_log_udf(log, F.lit("main.tex")).alias("items"))
+    e = error_lines(F.col("items"), F.lit("main.tex"), F.array(F.lit("main.tex"), F.lit("sections/a.tex")))
+    return docs.select("doc_id", F.size("items").alias("n_items"), F.explode(e).alias("e")).select("doc_id", "n_items", "e.line", "e.file", "e.fileLabel")
+
+
+_PROMPT_HEAD = "'The LaTeX file `main.tex` fails to compile. Apply the smallest edit that fixes the compile errors and keep my content intact.' || chr(10) || 'Errors:' || chr(10) || '- line 1: bad'"
+
+
+@query(
+    "prm01_fix_prompt",
+    f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE trim(text) <> ''),
+b AS (SELECT doc_id, len(l) <= 120 AS whole, left(array_to_string(list_transform(CASE WHEN len(l) <= 120 THEN l ELSE l[1:26] END, lambda x, i: i::VARCHAR || ': ' || x), chr(10)), 4000) AS src FROM s)
+SELECT doc_id, sha1({_PROMPT_HEAD} || chr(10) || chr(10) || 'Current content of `main.tex` (' || CASE WHEN whole THEN 'full file' ELSE 'lines 1-26' END || ', line-numbered):' || chr(10) || '```' || chr(10) || src || chr(10) || '```' || chr(10) || chr(10) || 'Compile log (tail):' || chr(10) || '```' || chr(10) || 'log' || chr(10) || '```') AS h FROM b""",
+)
+def prm01(spark, sf_dir):
+    from tessella.functions.prompts import fix_prompt
+
+    errors = F.array(F.struct(F.lit(1).alias("line"), F.lit("bad").alias("text"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("fileLabel")))
+    docs = table(spark, sf_dir, "documents").filter(F.trim("text") != "")
+    return docs.select("doc_id", F.sha1(fix_prompt(F.lit("main.tex"), F.col("text"), errors, F.lit("log"))).alias("h"))
+
+
+@query(
+    "prm06_messages",
+    "SELECT conv_id, turn, 3 AS n_messages, sha1('user' || text || 'assistant' || upper(role)) AS h FROM conversations",
+)
+def prm06(spark, sf_dir):
+    from tessella.functions.prompts import messages
+
+    m = messages(F.col("text"), F.upper("role"))
+    rows = table(spark, sf_dir, "conversations").withColumn("m", m)
+    said = F.array_join(F.transform(F.slice("m", 2, 2), lambda x: F.concat(x["role"], x["content"])), "")
+    return rows.select("conv_id", "turn", F.size("m").alias("n_messages"), F.sha1(said).alias("h"))
+
+
+@query(
+    "rec01_closure",
+    "WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2 UNION ALL SELECT 1, 5), "
+    "c AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM c JOIN e ON node = src) SELECT root, node FROM c",
+)
+def rec01(spark, sf_dir):
+    from tessella.operators.closure import closure
+
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k)
+    half = part.filter(k > 1).select(k.alias("src"), F.floor(k / 2).alias("dst"))
+    third = part.filter(k > 2).select(k.alias("src"), F.floor(k / 3).alias("dst"))
+    edges = half.unionByName(third).unionByName(part.limit(1).select(F.lit(1).cast("long").alias("src"), F.lit(5).cast("long").alias("dst"))).withColumn("g", F.lit(0))
+    roots = part.select(F.lit(0).alias("g"), k.alias("root"))
+    return closure(edges, roots, ["g"]).select("root", "node")
+
+
+@query(
+    "strm09_episodes",
+    "SELECT user_id AS episode, event_id AS turn, count(*) OVER w AS turns, sum(CASE WHEN event_type <> 'view' THEN event_id % 7 ELSE 0 END) OVER w AS deleted_so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+)
+def strm09(spark, sf_dir):
+    from tessella.streaming.incremental import episodes
+
+    turns = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), F.col("event_id").alias("turn"), (F.col("event_id") % 7).alias("deleted"), (F.col("event_type") != "view").alias("applied"), F.lit(0).alias("think_chars"))
+    return episodes(turns).select("episode", "turn", "turns", "deleted_so_far")
+
+
+@query("strm02_todo", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def strm02(spark, sf_dir):
+    from tessella.streaming.incremental import todo
+
+    log = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "kept").otherwise("worker_error").alias("stage"), F.lit(1).alias("at"))
+    return todo(table(spark, sf_dir, "documents").select("doc_id"), log, "doc_id", ("worker_error",))
+
+
+@query("strm05_latest", "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def strm05(spark, sf_dir):
+    from tessella.streaming.incremental import latest
+
+    return latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts"), "user_id", "ts").select("user_id", "event_type")
+
+
+@query(
+    "rpt01_mining_report",
+    f"""WITH d AS (SELECT doc_id, source, {_NORM} AS h, doc_id % 11 = 0 AS used, contains(text, 'token') AS ext FROM documents), f AS (SELECT h, min(doc_id) AS m FROM d WHERE NOT used AND NOT ext GROUP BY h),
+s AS (SELECT CASE WHEN used THEN 'used' WHEN ext THEN 'external' WHEN m < doc_id THEN 'dup' ELSE 'kept' END AS stage FROM d LEFT JOIN f USING (h))
+SELECT stage, count(*) AS n, coalesce(list_position(['used', 'rejected', 'external', 'dup', 'kept'], stage), 6)::INT AS place FROM s GROUP BY stage""",
+)
+def rpt01(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    staged = dedup.exclusion_stage(d, "doc_id", "text", "doc_id", d.filter("doc_id % 11 = 0"), d.limit(0), F.col("text").contains("token"), d.limit(0))
+    return stats.funnel(staged, ["used", "rejected", "external", "dup", "kept"]).withColumn("place", F.col("place").cast("int"))
