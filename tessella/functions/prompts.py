@@ -123,3 +123,29 @@ def companions(names: Column, wanted: Column, texts: Column, budget: int = 14_00
 
 
 __all__ = ["fix_prompt", "source_block", "error_block", "log_block", "messages", "system_prompt", "insert_before", "companions", "verifier_prompt", "judge_prompt", "project_tree", "numbered"]
+
+
+def wanted_companions(reported: Column, root: Column, errors: Column, log: Column, texts: Column) -> Column:
+    """Names of files worth showing beside the reported one, in order of discovery: files of the errors, files that the log's tail
+    opens, inclusions around the first located error, the root, local classes and packages, all inclusions, and every bibliography
+    if an error speaks of citations. The reported file itself is left out."""
+    own, top = F.coalesce(F.try_element_at(texts, reported), F.lit("")), F.coalesce(F.try_element_at(texts, root), F.lit(""))
+    include = r"\\(?:input|include|subfile)\s*\{([^{}]+)\}"
+    package = r"\\(?:usepackage|RequirePackage|documentclass|LoadClass)(?:\[[^\]]*\])?\{([^}]+)\}"
+    named = lambda x: F.flatten(F.transform(F.regexp_extract_all(x, F.lit(include), F.lit(1)), lambda n: F.array(n, F.concat(n, F.lit(".tex")))))
+    styles = lambda x: F.flatten(F.transform(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(package), F.lit(1)), lambda n: F.split(n, r"\s*,\s*"))), lambda n: F.array(F.concat(n, F.lit(".sty")), F.concat(n, F.lit(".cls")))))
+    first = F.get(F.transform(F.filter(errors, lambda e: e["line"].isNotNull()), lambda e: e["line"]), F.lit(0))
+    near = F.array_join(F.slice(lines(own), F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - RADIUS), 2 * RADIUS + 1), "\n")
+    cites = F.exists(errors, lambda e: e["text"].rlike("(?i)citation|bibliograph"))
+    bibs = F.sort_array(F.filter(F.map_keys(texts), lambda n: n.endswith(".bib")))
+    none = F.array().cast("array<string>")
+    found = F.concat(
+        F.filter(F.transform(errors, lambda e: e["file"]), lambda f: f.isNotNull()),
+        F.regexp_extract_all(F.right(log, F.lit(LOG_CHARS)), F.lit(r"\(\./([^\s()]+)"), F.lit(1)),
+        F.when(first.isNotNull(), named(near)).otherwise(none),
+        F.array(root),
+        styles(F.concat(F.left(top, F.lit(6000)), F.lit("\n"), own)),
+        named(own),
+        F.when(cites, bibs).otherwise(none),
+    )
+    return F.filter(F.array_distinct(found), lambda f: f != reported)

@@ -232,6 +232,27 @@ def sty_stray_text(files, rng):
             yield f, m.end(), m.end(), "\nstray text"
 
 
+@project_mutation
+def pgfkeys_key(files, rng):
+    for f in shuffled(rng, sorted(x for x in files if x.endswith(".tex"))):
+        for m in shuffled(rng, re.finditer(r"\\(?:draw|node|addplot|tikzset|pgfplotsset)\s*[\[{]", files[f])):
+            yield f, m.end(), m.end(), "no such key=1, "
+
+
+@project_mutation
+def illegal_param(files, rng):
+    for f in shuffled(rng, sorted(x for x in files if x.endswith((".tex", ".sty")))):
+        for m in shuffled(rng, re.finditer(r"\\newcommand\*?\{?\\[a-zA-Z]+\}?\{([^{}]*)\}", files[f])):
+            yield f, m.end(1), m.end(1), "#1"
+
+
+@project_mutation
+def graphics_nonroot(files, rng):
+    for f in shuffled(rng, _children(files)):
+        for m in shuffled(rng, re.finditer(r"\\includegraphics(?:\[[^\]]*\])?\{([^}]+)\}", files[f])):
+            yield f, m.start(1), m.end(1), "missing/" + m.group(1)
+
+
 def break_project(files: dict[str, str], name: str, seed: int) -> dict | None:
     """{type, file, search, replace}: unique within its file, and no other file holds the search."""
     rng = random.Random(f"{name}:{seed}")
@@ -262,3 +283,17 @@ def perturbed_projects(df: DataFrame, files: str, mutations: list[str] | None =
     grid = F.array(*[F.struct(F.lit(n).alias("mutation"), F.lit(s).alias("seed")) for n in names for s in seeds])
     out = df.withColumn("g_", F.explode(grid)).withColumns({"mutation": F.col("g_.mutation"), "seed": F.col("g_.seed")}).drop("g_")
     return out.withColumn("edit", make(files, "mutation", "seed")).filter("edit is not null")
+
+
+def examples(df: DataFrame, id: str, text: str) -> DataFrame:
+    """Example rows of perturbed documents: the stored text is the fixed one, the edits break it, the target takes them back."""
+    from tessella.functions import edits as E
+
+    made = df.withColumn("e_", F.array(F.struct(F.lit("main.tex").alias("file"), F.col("edit.search").alias("search"), F.col("edit.replace").alias("replace"))))
+    return made.select(
+        F.concat_ws("-", F.col(id).cast("string"), "mutation", F.col("seed").cast("string")).alias("id"),
+        F.col(id).cast("string").alias("doc"), F.lit("synthetic").alias("lane"), F.lit(True).alias("synthetic"), "mutation", "seed",
+        F.transform("e_", lambda e: F.struct(e["file"].alias("file"), e["search"].alias("search"), e["replace"].alias("replace"), F.col("mutation").alias("type"))).alias("break_edits"),
+        F.lit(1).alias("n_breaks"), E.break_text(F.col(text), F.col("e_")).alias("broken"), E.format_edits(E.reverse_edits(F.col("e_"))).alias("target"),
+        E.diff_lines_of(F.col("e_")).alias("diff_lines"),
+    )
