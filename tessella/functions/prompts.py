@@ -23,6 +23,7 @@ SYSTEM = """You fix LaTeX compile errors. You receive the failing file, parsed e
 
 For multi-file projects, name the file on the tag: <edit file="sections/intro.tex"> (default: the file shown).
 The SEARCH text must match the file exactly and unambiguously. Do not explain."""
+ASK = ("\n\nProposed fix:\n", "\n\nThe patched document compiles. Does this fix resolve the error correctly and keep the document's content and intent intact? Answer yes or no.")
 BUDGET = ("\nYou may reason first, inside <think>...</think>, using at most ", " tokens; then output only the edit blocks.")
 
 
@@ -74,7 +75,9 @@ def fix_prompt(path: Column, source: Column, errors: Column, log: Column, tree:
 
 
 def project_tree(names: Column) -> Column:
-    return cat("\n\nProject files:\n", tree_block(names))
+    """The project's files, without what a build leaves."""
+    kept = F.filter(names, lambda n: ~n.rlike(r"\.(aux|log|out|toc|bbl|blg|synctex\.gz)$") & (n != "main.pdf"))
+    return cat("\n\nProject files:\n", tree_block(kept))
 
 
 def insert_before(prompt: Column, context: Column, *markers: str) -> Column:
@@ -92,7 +95,7 @@ def messages(prompt: Column, target: Column | None = None, think_tokens: int = 0
 
 
 def verifier_prompt(prompt: Column, fix: Column) -> Column:
-    return cat(prompt, "\n\nProposed fix:\n", fix, "\n\nDoes this fix compile and keep the content? Answer yes or no.")
+    return cat(prompt, ASK[0], strip(fix), ASK[1])
 
 
 def judge_prompt(source: Column, errors: Column, response: Column, radius: int = 12) -> Column:

@@ -52,16 +52,25 @@ def normalize_error(x: Column) -> Column:
     return strip(F.left(x, F.lit(70)))
 
 
+#: How logs name a missing file.
+FILE_NOT_FOUND = r"File `([^']+)' not found|Cannot find file `([^']+)'|Could not open file (\S+),"
+
+
+def missing_file(excerpt: Column) -> Column:
+    """The file that an excerpt says is missing; null without one."""
+    names = [F.regexp_extract(excerpt, FILE_NOT_FOUND, g) for g in (1, 2, 3)]
+    return F.coalesce(*[F.when(n != "", n) for n in names])
+
+
 def error_signature(message: Column, excerpt: Column) -> Column:
     """A bin for a first error: quoted names go unless a file is missing, lost bytes stay a bin of their own, numbers go, the macro of
     an undefined control sequence stays; 100 characters."""
-    missing = message.rlike(r"(?i)file `[^']*' not found|can't find file")
-    m = F.when(missing, message).otherwise(F.regexp_replace(message, r"`[^']*'", "`<x>'"))
+    m = F.when(message.rlike(FILE_NOT_FOUND), message).otherwise(F.regexp_replace(message, r"`[^']*'", "`<x>'"))
     m = F.lower(strip(m))
     m = F.when(m.contains("u+fffd"), m).otherwise(F.regexp_replace(m, D + r"unicode character .+? \(u\+[0-9a-f]+\)", "unicode character <c> (u+<n>)"))
     m = F.regexp_replace(m, U + r"\d+", "<n>")
     line = F.regexp_extract(excerpt, r"(?m)(?d)^l\.\d+.*$", 0)
-    macro = F.regexp_extract(line, r"(\\[A-Za-z@]+)\s*$", 1)
+    macro = F.regexp_extract(line, r"(\\[A-Za-z@]+|\\.)\s*$", 1)
     return F.left(F.when(m.contains("undefined control sequence") & (macro != ""), F.concat(m, F.lit(" "), macro)).otherwise(m), F.lit(100))
 
 
@@ -107,10 +116,11 @@ def replace_first(x: Column, s: Column, r: Column) -> Column:
 
 
 def tree_block(names: Column, shown: int = 40) -> Column:
-    """Sorted names, one a line, up to ``shown`` and how many more."""
+    """Sorted names, one a line behind a dash, up to ``shown`` and how many more."""
     s = F.sort_array(names)
     more = F.size(s) - shown
-    return F.concat(F.array_join(F.slice(s, 1, shown), "\n"), F.when(more > 0, F.concat(F.lit("\n("), more.cast("string"), F.lit(" more)"))).otherwise(F.lit("")))
+    listed = F.array_join(F.transform(F.slice(s, 1, shown), lambda n: F.concat(F.lit("- "), n)), "\n")
+    return F.concat(listed, F.when(more > 0, F.concat(F.lit("\n- ... ("), more.cast("string"), F.lit(" more)"))).otherwise(F.lit("")))
 
 
 def numbered(x: Column, first: int = 1) -> Column:
@@ -162,11 +172,16 @@ def swap_adjacent(x: Column, at: Column) -> Column:
 
 
 def judge_choice(reply: Column, n: Column) -> Column:
-    """A number from 1 to n out of a judge's reply: a final verdict, else one in brackets, else the last number; null if none fits."""
-    last = lambda p: F.element_at(F.regexp_extract_all(reply, F.lit(p), F.lit(1)), -1)
-    pick = lambda p: F.when(F.size(F.regexp_extract_all(reply, F.lit(p), F.lit(1))) > 0, last(p))
-    found = F.coalesce(pick(r"(?i)(?:answer|best|choice)\W{0,5}(\d+)"), pick(r"\[(\d+)\]"), pick(r"(\d+)")).cast("int")
-    return F.when(found.between(1, n), found)
+    """The candidate, from 0, that a judge's reply names last: ``candidate k`` near the end, else a number at the very end, else any
+    number; null if it is none of 1 to n."""
+    t = strip(reply)
+
+    def last(x, pattern):
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+        return F.when(F.size(found) > 0, F.element_at(found, -1))
+
+    k = F.coalesce(last(F.right(t, F.lit(300)), r"[Cc]andidate\s*(\d+)"), last(F.right(t, F.lit(40)), r"(\d+)"), last(t, r"(\d+)")).cast("int")
+    return F.when(k.between(1, n), k - 1)
 
 
 def first_json(x: Column, schema: str) -> Column:

@@ -98,20 +98,26 @@ def best_of_k(df: DataFrame, key: str = "id", most_deleted: int = 40) -> DataFra
     return _best(df, [key], order, False)
 
 
-#: Named selection rules: sort keys, the least wins.
+#: The named selection rules as sort keys; the least wins, a minus prefers large values, the first candidate breaks ties.
 RULES = {
-    "first": ["i"],
-    "votes": ["-votes", "i"],
-    "fewest_deleted": ["deleted", "i"],
-    "shortest": ["len", "i"],
-    "verifier": ["-p_yes", "i"],
+    "consensus": ["-votes", "deleted", "i"],
+    "verifier": ["-p_yes", "-votes", "deleted", "i"],
+    "verifier+kept": ["over", "-p_yes", "-votes", "deleted", "i"],
+    "consensus+kept": ["over", "-votes", "deleted", "i"],
+    "votes+2p": ["-votes_2p", "deleted", "i"],
+}
+DERIVED = {
+    "over": lambda: (F.col("deleted") > 40).cast("double"),
+    "votes_2p": lambda: F.col("votes") + 2 * F.coalesce("p_yes", F.lit(0.0)),
 }
 
 
 def rule_key(rule: list[str]) -> Column:
+    """A struct that sorts by the rule's features; a missing value counts as 0."""
     cols = []
     for n, name in enumerate(rule):
-        value = F.coalesce(F.col(name.lstrip("-")).cast("double"), F.lit(0.0))
+        feature = name.lstrip("-")
+        value = F.coalesce((DERIVED[feature]() if feature in DERIVED else F.col(feature)).cast("double"), F.lit(0.0))
         cols.append((-value if name.startswith("-") else value).alias(f"k{n}"))
     return F.struct(*cols)
 

@@ -137,7 +137,7 @@ def str14(spark, sf_dir):
 
 @query(
     "str13_tree_block",
-    "WITH g AS (SELECT p_brand, list_sort(list(p_name)) AS names FROM part GROUP BY p_brand) SELECT p_brand, sha1(array_to_string(names[1:40], chr(10)) || CASE WHEN len(names) > 40 THEN chr(10) || '(' || (len(names) - 40)::VARCHAR || ' more)' ELSE '' END) AS h FROM g",
+    "WITH g AS (SELECT p_brand, list_sort(list(p_name)) AS names FROM part GROUP BY p_brand) SELECT p_brand, sha1(array_to_string(list_transform(names[1:40], lambda x: '- ' || x), chr(10)) || CASE WHEN len(names) > 40 THEN chr(10) || '- ... (' || (len(names) - 40)::VARCHAR || ' more)' ELSE '' END) AS h FROM g",
 )
 def str13(spark, sf_dir):
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_name").alias("names"))
@@ -554,10 +554,10 @@ def sel01(spark, sf_dir):
 
 @query(
     "sel02_compare_rules",
-    f"""WITH c AS ({_CANDS}), p AS (SELECT id, coalesce(arg_min(strict, i) FILTER (WHERE compiled), false) AS a, coalesce(arg_min(strict, row(-votes, i)) FILTER (WHERE compiled), false) AS b,
-coalesce(arg_min(strict, row(deleted, i)) FILTER (WHERE compiled), false) AS c, coalesce(arg_min(strict, row(len, i)) FILTER (WHERE compiled), false) AS d, coalesce(arg_min(strict, row(-p_yes, i)) FILTER (WHERE compiled), false) AS e,
+    f"""WITH c AS (SELECT *, deleted > 40 AS over FROM ({_CANDS})), p AS (SELECT id, coalesce(arg_min(strict, row(-votes, deleted, i)) FILTER (WHERE compiled), false) AS a, coalesce(arg_min(strict, row(-p_yes, -votes, deleted, i)) FILTER (WHERE compiled), false) AS b,
+coalesce(arg_min(strict, row(over, -p_yes, -votes, deleted, i)) FILTER (WHERE compiled), false) AS c, coalesce(arg_min(strict, row(over, -votes, deleted, i)) FILTER (WHERE compiled), false) AS d, coalesce(arg_min(strict, row(-(votes + 2 * p_yes), deleted, i)) FILTER (WHERE compiled), false) AS e,
 coalesce(bool_or(compiled AND strict), false) AS f FROM c GROUP BY id),
-u AS (SELECT unnest(['first', 'votes', 'fewest_deleted', 'shortest', 'verifier', 'any']) AS rule, unnest([a, b, c, d, e, f]) AS good FROM p)
+u AS (SELECT unnest(['consensus', 'verifier', 'verifier+kept', 'consensus+kept', 'votes+2p', 'any']) AS rule, unnest([a, b, c, d, e, f]) AS good FROM p)
 SELECT rule, count(*) AS n, count(*) FILTER (WHERE good) AS n_good FROM u GROUP BY rule""",
 )
 def sel02(spark, sf_dir):

@@ -25,17 +25,13 @@ def mining_report(log: DataFrame, kept: DataFrame, stages: list[str]) -> dict[st
     }
 
 
-def family(signature: Column) -> Column:
-    """The family of a first error, by the first rule that fits."""
-    rules = [("missing file", "not found|can't find"), ("lost bytes", r"u\+fffd"), ("unicode", "unicode character"), ("undefined macro", "undefined control sequence"), ("option clash", "option clash"), ("already defined", "already defined"), ("capacity", "capacity exceeded")]
-    out = F.lit("other")
-    for name, pattern in reversed(rules):
-        out = F.when(signature.rlike(pattern), name).otherwise(out)
-    return out
+def family(signature: Column, missing_file: Column) -> Column:
+    """The family of a first error."""
+    return F.when(F.coalesce(missing_file, F.lit("")) != "", "missing-pkg").when(signature.contains("unicode"), "encoding").when(signature.contains("graphic"), "graphics").otherwise("other")
 
 
 def family_rates(results: DataFrame, *flags: str) -> DataFrame:
-    return stats.rates(results.withColumn("family", family(F.col("signature"))), ["family"], *flags)
+    return stats.rates(results.withColumn("family", family(F.col("signature"), F.col("missing_file"))), ["family"], *flags)
 
 
 def arms(results: DataFrame, drops: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ def test_errors_and_dates(spark):
     assert evaluate(spark, X.texlive_version, ["This is pdfTeX (TeX Live 2026)", "no"]) == ["TeX Live 2026", None]
     assert evaluate(spark, X.pick_engine, ["\\usepackage[x]{fontspec}", "\\directlua{}", "plain"]) == ["xelatex", "lualatex", "pdflatex"]
     n = F.lit(4)
-    assert evaluate(spark, lambda c: X.judge_choice(c, n), ["Best: 2 of 9", "so [3]", "either 1 or 4", "9", ""]) == [2, 3, 4, None, None]
+    assert evaluate(spark, lambda c: X.judge_choice(c, n), ["Candidate 2 of 9", "so [3]", "either 1 or 4", "9", ""]) == [1, 2, 3, None, None]
+    assert evaluate(spark, X.missing_file, ["! File `a.sty' not found.", "Could not open file b.tex, x", "no"]) == ["a.sty", "b.tex", None]
+    assert evaluate(spark, lambda c: X.error_signature(c, F.lit("l.3 \\foo")), ["Undefined control sequence.", "LaTeX Error: `x' 12"]) == ["undefined control sequence. \\foo", "latex error: `<x>' <n>"]
     assert evaluate(spark, lambda c: X.swap_adjacent(c, F.lit(2)), ["abcd"]) == ["acbd"]
 
 
