@@ -10,7 +10,8 @@ long as they fit, and the first block that does not is filled row by row in a se
 So no task sees more than about sqrt(n) rows of a source, however large the source is.
 
 Defined results: a null source is a source of its own; a null or empty text has no tokens, and comes once per epoch (with the
-first one always); repeated rows are rows of their own; no rows give no rows; extra columns are carried along.
+first one always); repeated rows are rows of their own; no rows give no rows; extra columns are carried along, but for those
+named like ``INTERNAL``, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 
 from .common import materialise, table
 
+INTERNAL = [f"mix_{x}" for x in ("source", "tokens", "key", "weight", "epoch", "block", "blocks", "full", "rest", "whole", "room", "stop", "times")]
 ENTROPY, MAX_EPOCHS, SEED, MAX_SOURCES = 0.98, 4.0, 11, 1_000_000
 
 
@@ -85,6 +87,7 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     tokens = token_count() if tokens is None else tokens
     key = F.xxhash64(F.lit(seed), "doc_id", "text") if key is None else key
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    docs = docs.drop(*INTERNAL)
     marked = docs.withColumns({"mix_source": src, "mix_tokens": tokens, "mix_key": key})
     slim = materialise(marked.select("mix_source", "mix_tokens", "mix_key"))
     sums = slim.groupBy("mix_source").agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     have = {r.mix_source: r.t for r in sums}
     budget = sum(have.values()) if budget is None else budget
     spark = docs.sparkSession
-    plan_schema = "mix_source string, mix_weight double, full long, rest long, blocks long"
+    plan_schema = "mix_source string, mix_weight double, mix_full long, mix_rest long, mix_blocks long"
     if not budget or not sum(have.values()):
         plan = [(r.mix_source, 0.0, 1 if budget else 0, 0, 1) for r in sums]
         if not sum(have.values()):
@@ -109,34 +112,34 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     plan = F.broadcast(plan) if len(sums) <= broadcast_rows else plan
 
     def blocked(df):
-        return df.join(plan, "mix_source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.col("blocks")))
+        return df.join(plan, "mix_source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.col("mix_blocks")))
 
     rows = blocked(slim)
     # Of each source, the blocks that the rest of its quota takes, and the one that it takes in part.
-    per_block = rows.filter("rest > 0").groupBy("mix_source", "mix_block", "rest").agg(F.sum("mix_tokens").alias("t"))
+    per_block = rows.filter("mix_rest > 0").groupBy("mix_source", "mix_block", "mix_rest").agg(F.sum("mix_tokens").alias("t"))
     order = W.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed + 2), "mix_source", "mix_block"), "mix_block")
     run = per_block.withColumn("upto", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     taken = materialise(
-        run.filter(F.col("upto") - F.col("t") < F.col("rest"))
-        .select("mix_source", "mix_block", (F.col("upto") <= F.col("rest")).alias("whole"), (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))
+        run.filter(F.col("upto") - F.col("t") < F.col("mix_rest"))
+        .select("mix_source", "mix_block", (F.col("upto") <= F.col("mix_rest")).alias("mix_whole"), (F.col("mix_rest") - F.col("upto") + F.col("t")).alias("mix_room"))
     )
     n_taken = taken.count()
-    part = rows.join(F.broadcast(taken.filter("not whole")) if len(sums) <= broadcast_rows else taken.filter("not whole"), ["mix_source", "mix_block"])
+    part = rows.join(F.broadcast(taken.filter("not mix_whole")) if len(sums) <= broadcast_rows else taken.filter("not mix_whole"), ["mix_source", "mix_block"])
     within = W.partitionBy("mix_source").orderBy("mix_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     # Rows with equal keys are taken or left together, so the last key that fits says all.
-    ends = part.withColumn("upto", F.sum("mix_tokens").over(within)).groupBy("mix_source", "mix_key", "room").agg(F.max("upto").alias("upto"))
-    over = ends.filter(F.col("upto") > F.col("room")).groupBy("mix_source").agg(F.min("mix_key").alias("stop"))
+    ends = part.withColumn("upto", F.sum("mix_tokens").over(within)).groupBy("mix_source", "mix_key", "mix_room").agg(F.max("upto").alias("upto"))
+    over = ends.filter(F.col("upto") > F.col("mix_room")).groupBy("mix_source").agg(F.min("mix_key").alias("mix_stop"))
     over = materialise(over)
     taken = F.broadcast(taken) if n_taken <= broadcast_rows else taken
     over = F.broadcast(over) if len(sums) <= broadcast_rows else over
     full = blocked(marked).join(taken, ["mix_source", "mix_block"], "left").join(over, "mix_source", "left")
-    partly = F.col("whole").isNotNull() & (F.col("whole") | F.col("stop").isNull() | (F.col("mix_key") < F.col("stop")))
-    times = F.col("full") + F.when(partly, 1).otherwise(0)
+    partly = F.col("mix_whole").isNotNull() & (F.col("mix_whole") | F.col("mix_stop").isNull() | (F.col("mix_key") < F.col("mix_stop")))
+    times = F.col("mix_full") + F.when(partly, 1).otherwise(0)
     return (
         full.withColumn("mix_times", times)
         .filter("mix_times > 0")
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_times") - 1)))
-        .drop("mix_source", "mix_key", "full", "rest", "blocks", "mix_block", "whole", "room", "stop", "mix_times")
+        .drop("mix_source", "mix_key", "mix_full", "mix_rest", "mix_blocks", "mix_block", "mix_whole", "mix_room", "mix_stop", "mix_times")
     )
 
 

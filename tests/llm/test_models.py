@@ -119,7 +119,11 @@ def test_mix_against_brute_force(spark):
 
 
 def test_mix_edges(spark):
-    got = mixing.mix(documents(spark)).collect()
+    clash = documents(spark)
+    for name in ("rest", "full", "blocks", "stop", "mix_block", "mix_key", "times"):
+        clash = clash.withColumn(name, F.lit("x"))
+    got = mixing.mix(clash).collect()
+    assert {r.rest for r in got} == {"x"}
     assert {r.source for r in got} <= {"a", "b", None}
     assert mixing.mix(documents(spark, [])).count() == 0
     blank = documents(spark, [(1, None, None, "a", None), (2, "", None, None, 0)])
@@ -204,7 +208,8 @@ def test_pipeline_stages(spark, small):
             assert len(good - ids) <= 0.03 * len(good) and len(bad & ids) <= 0.3 * len(bad)
         kept = out
     assert kept.filter("n_tokens <> size(ids)").count() == 0 and kept.count() > 0
-    odd = documents(spark)
+    odd = documents(spark).withColumn("stats", F.lit(1)).withColumn("score", F.lit(1)).withColumn("id", F.lit(1)).withColumn("ids", F.lit(1))
+    assert corpus_pipeline.STAGES[0][1](spark, odd, small).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES[1:]:
         odd = stage(spark, odd, small)
     assert odd.count() > 0
