@@ -7,7 +7,8 @@ candidates whose distance so far shows that they are not among the nearest found
 original vectors, and the exact best of all blocks are kept.
 
 The share of lists to probe is measured on the sample: the least share at which brute force confirms ``target`` recall there.
-Neighbours are further apart in a sample than among all vectors, so this errs to the safe side.
+Neighbours are further apart in a sample than among all vectors, so this errs to the safe side. A query whose lists hold fewer than
+k other vectors probes on, in order of centroid distance, until they do.
 
 Blocks of vectors meet blocks of queries on an equal key, so a list of any size and any number of queries spread over tasks of
 bounded size.
@@ -73,12 +74,23 @@ class Index:
         places = np.sort(np.take_along_axis(order, lists[near], axis=1).ravel())
         return int(places[min(len(places) - 1, math.ceil(target * len(places)) - 1)]) + 1
 
-    def nearest(self, x, m):
+    def nearest(self, x, m=None):
         return np.argsort(self._far(x, self.centroids), axis=1, kind="stable")[:, :m]
 
+    def probed(self, x, sizes, need):
+        """For each row of ``x`` its nearest lists: ``probes`` of them, or as many as hold its ``need`` vectors."""
+        out = []
+        for i in range(0, len(x), 256):
+            order = self.nearest(x[i : i + 256])
+            held = np.cumsum(sizes[order], axis=1)
+            m = np.maximum(self.probes, 1 + (held < need[i : i + 256, None]).sum(1))
+            out += [row[:j].astype(np.int32) for row, j in zip(order, m)]
+        return out
+
 
 def scan(query: np.ndarray, turned: np.ndarray, k: int, *, step: int = 16, slack: float = 2.1) -> np.ndarray:
-    """Positions in ``turned`` (rotated vectors, as columns by dimension) that may be among the k nearest to a rotated query."""
+    """Positions in ``turned`` (rotated vectors, as columns by dimension) that may be among the k nearest to a rotated query; at
+    least k of them, or all there are."""
     dims, n = turned.shape
     if n <= k:
         return np.arange(n)
@@ -92,6 +104,9 @@ def scan(query: np.ndarray, turned: np.ndarray, k: int, *, step: int = 16, slack
         # The share e/dims of a rotated vector's length is near its expectation; beyond the slack the candidate is given up.
         keep = partial * (dims / e) <= bound * ((1 + slack / math.sqrt(e)) ** 2 if e < dims else 1 + 1e-9)
         alive, partial = alive[keep], partial[keep]
+        if len(alive) < k:  # too many were given up: whole distances for all
+            alive, partial = np.arange(n), ((turned - query[:, None]) ** 2).sum(0)
+            break
     if len(alive) > k:  # whole distances now: no more than k of them and ties
         bound = np.partition(partial, k - 1)[k - 1]
         alive = alive[partial <= bound * (1 + 1e-9) + 1e-300]
@@ -118,18 +133,24 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
     sample = np.array([r.v for r in rows.filter(share).select("v").limit(2 * max_sample).collect()] or [r.v for r in rows.limit(1).select("v").collect()])
     index = Index(sample, n, k, target, seed)
 
-    def assign(count, column):
+    def assign(chosen):
         def run(batches):
             for b in batches:
-                near = index.nearest(_array(b.column(1)), count) if b.num_rows else np.zeros((0, count), np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(near) + 1) * near.shape[1], near.shape[1], dtype=np.int32)), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "v", column])
+                near = chosen(b) if b.num_rows else []
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
         return run
 
-    listed = materialise(rows.mapInArrow(assign(1, "lists"), "id long, v array<double>, lists array<int>").select("id", "v", F.col("lists")[0].alias("list")))
-    asked = rows.filter(ask).dropDuplicates(["id"]).mapInArrow(assign(index.probes, "lists"), "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
-    asked = materialise(asked)
+    with_lists = "id long, v array<double>, lists array<int>"
+    listed = materialise(rows.mapInArrow(assign(lambda b: list(index.nearest(_array(b.column(1)), 1).astype(np.int32))), with_lists).select("id", "v", F.col("lists")[0].alias("list")))
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in listed.groupBy("list").count().collect():  # a row for each of at most max_sample / 4 lists
+        held[r["list"]] = r["count"]
+    # A query's own rows are no candidates, so its lists need to hold k vectors besides these.
+    own = rows.join(rows.filter(ask).select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    asked = rows.filter(ask).dropDuplicates(["id"]).join(own, "id").select("id", "v", "own")
+    probed = assign(lambda b: index.probed(_array(b.column(1)), held, np.asarray(b.column(2)) + k))
+    asked = materialise(asked.mapInArrow(probed, with_lists).select("id", "v", F.explode("lists").alias("list")))
     sizes = listed.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
     sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / query_block).cast("int").alias("asks")))  # a row for each of at most max_sample / 4 lists
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -144,7 +165,7 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
         if len(ids) and len(asks):
             turned, turned_q = np.ascontiguousarray((v @ index.rotation).T), q @ index.rotation
             for i in range(len(asks)):
-                at = scan(turned_q[i], turned, k + 1)
+                at = scan(turned_q[i], turned, k + int((ids == asks[i]).sum()))
                 at = at[ids[at] != asks[i]]
                 score = np.sqrt(((v[at] - q[i]) ** 2).sum(1))
                 best = np.lexsort((ids[at], score))[:k]

@@ -188,6 +188,20 @@ def test_neighbours(spark):
     assert search(frame.limit(0)).count() == 0
 
 
+def test_every_query_gets_its_neighbours(spark):
+    rng = np.random.default_rng(8)
+    tight = np.repeat(rng.normal(size=(60, 16)) * 10, 50, axis=0) + rng.normal(size=(3000, 16)) * 0.01
+    v = np.concatenate([tight, rng.normal(size=(60, 16)) * 60])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5, v[5].tolist())] * 14  # a query with 15 rows of its own
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query=(F.col("id") >= 3000) | (F.col("id") == 5)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by) == {5, *range(3000, 3060)}
+    assert all(len(x) == 10 and q not in x for q, x in by.items())
+    assert max(by[5]) < 50
+
+
 # --- pipeline
 
 
