@@ -33,7 +33,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GENERATORS = {
     "email": (r"[^\s@<>|]{1,200}+@[^\s@<>|]{1,200}+", "@"),
     "number": (r"(?<![A-Za-z0-9])\+?[0-9](?:[ ().-]{0,3}[0-9]){4,40}+(?![A-Za-z0-9])", "[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,512}+", "[A-Za-z0-9_/+=-]{20}"),
+    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", "[A-Za-z0-9_/+=-]{20}"),
 }
 # Fixed cue words: names that announce a secret, and names that announce contact or payment data.
 SECRET_CUE = r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key)[\"']?\s*[=:]\s*[\"']?$"

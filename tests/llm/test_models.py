@@ -49,6 +49,15 @@ def test_trees_add_secrets_and_leave_clean_text(spark):
     assert not any(got[100 + i] for i in range(60))
 
 
+def test_a_long_secret_is_found_whole(spark):
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    secret = "".join(np.random.default_rng(9).choice(letters, 2000))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    docs = spark.createDataFrame([(f'key = 1, secret="{secret}" and more',), (f"secret={secret}==",)], "text string")
+    got = [[(c.start, c.end, c.y) for c in r.c] for r in docs.select(pii.candidates(F.col("text"), none).alias("c")).collect()]
+    assert got == [[(17, 2017, 1)], [(0, 2009, 0)]]
+
+
 def test_tree_expression_equals_its_trees(spark):
     rng = np.random.default_rng(0)
     data = [(tuple(int(rng.integers(0, n)) for n in pii.RANGES.values()), 10, int(rng.integers(0, 11))) for _ in range(60)]
