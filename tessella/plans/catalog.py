@@ -683,7 +683,7 @@ def sim01(spark, sf_dir):
 def sim02(spark, sf_dir):
     from tessella.functions.python_text import text_similarity_udf
 
-    return table(spark, sf_dir, "benchmark").select("item_id", text_similarity_udf("text", F.replace("text", F.lit("the"), F.lit("teh"))).alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", text_similarity_udf("text", F.replace("text", F.lit("the"), F.lit("teh"))).alias("chars"))
 
 
 @query(

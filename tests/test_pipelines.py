@@ -42,6 +42,15 @@ def test_query_equals_sql(spark, small, duck, name):
     assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(cur.fetchall(), columns)
 
 
+def test_text_similarity_over_long_texts(spark, small):
+    from tessella.functions.python_text import text_similarity
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: r.chars for r in catalog.QUERIES["sim02_text_similarity"](spark, small).collect()}
+    assert got == {d: text_similarity(t, t and t.replace("the", "teh")) for d, t in texts.items()}
+    assert any(t and len(t) > 3000 for t in texts.values())
+
+
 def test_json_lines_and_schemas(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "score": 2}\n\n{"id": "2", "extra": 1}\n')
     rows = readers.json_lines(spark, str(tmp_path / "a.jsonl"), "id string, score int")
