@@ -2,12 +2,19 @@
 
 Four strict patterns give the base spans; they always stay. High-recall generators then propose overlapping candidates: anything
 around an @, any run of digits and separators, any long run of token characters. Features of format and context, each with a few
-values, describe a candidate. How often each combination occurs, and how often it is covered by a base span or assigned to a name
-that says it is a secret, is counted over all rows: at most ``MAX_VECTORS`` combinations reach the driver, by the features'
-ranges. Boosted trees are fitted to these counts, the least score that is precise enough on rows held back becomes each
-generator's threshold, and the trees are applied as CASE expressions. Chosen candidates that no base span overlaps are added.
+values, describe a candidate. Its weak label comes from elsewhere: an address or number counts as personal if a base span covers
+it or a word before it says so, a token if the name before it says that it is a secret. None of these is a feature, so the trees
+learn what such candidates look like and find others like them. How often each combination of features occurs, and how often it is
+so labelled, is counted over all rows: at most 5 * ``MAX_VECTORS`` combinations reach the driver, by the features' ranges. A few
+fixed examples (``EXAMPLES``) are counted with them, so that a small table learns too.
 
-Matches have no positions in SQL; they follow from the lengths of the pieces that the same pattern splits a text into.
+Boosted trees are fitted to these counts, each fifth of the rows scored by trees that have not seen it. A generator's threshold is
+the least score at which the candidates that no base span covers are precise enough; without labelled ones among them it is the
+score of a probability of ``PRECISION``. The trees are applied as CASE expressions. Chosen candidates that no base span overlaps
+are added; a number that overlaps a card or an address that failed its check never is.
+
+Matches have no positions in SQL; they follow from the lengths of the pieces that the same pattern splits a text into, summed by
+doubling steps, so that a text with many matches costs n log n.
 
 Defined results: a null or empty text has no spans; positions are code points, the end exclusive; texts of any length are read
 whole; repeated rows keep their rows; a null id is kept; no rows give no rows; extra columns are not read.
@@ -33,89 +40,102 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GENERATORS = {
     "email": (r"[^\s@<>|]{1,200}+@[^\s@<>|]{1,200}+", "@"),
     "number": (r"(?<![A-Za-z0-9])\+?[0-9](?:[ ().-]{0,3}[0-9]){4,40}+(?![A-Za-z0-9])", "[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", "[A-Za-z0-9_/+=-]{20}"),
+    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20}"),
 }
-# Fixed cue words: names that announce a secret, and names that announce contact or payment data.
+KINDS = ["email", "ip", "card", "phone", "number", "secret"]
+# Fixed cue words: names that announce a secret, and names that announce contact or payment data. They label, and are no features.
 SECRET_CUE = r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key)[\"']?\s*[=:]\s*[\"']?$"
 CONTACT_CUE = r"(?i)(?:mail|phone|tel|fax|call|mobile|card|iban|account|ssn|address|ip)\W{0,3}$"
-RANGES = {"generator": 3, "length": 5, "digits": 4, "upper": 3, "hexadecimal": 2, "separators": 3, "quoted": 2, "cue": 3, "domain": 2}
+RANGES = {"generator": 3, "length": 5, "digits": 4, "upper": 3, "hexadecimal": 2, "separators": 3, "quoted": 2, "assigned": 2, "domain": 2}
 MAX_VECTORS = int(np.prod(list(RANGES.values())))
-PRECISION, ROUNDS, RATE = 0.9, 30, 0.3
+PRECISION, ROUNDS, RATE, FOLDS = 0.9, 30, 0.3, 5
+# Fixed examples of our own: how secrets and contacts are written, and what only looks like them.
+EXAMPLES = [
+    'token = "0f3a9c55d7e1b2648a90cc13ef5d7720b4a6e811"', "api_key: 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "password='Zq8vT2mLx0Rk7Yw5Nc3B'", "secret=dGhpcyBpcyBhIHNlY3JldCB2YWx1ZQ==",
+    "ACCESS_KEY=AKQ7Z2M4X9L1B8V5T3R6", 'token = "8D3F0A6B1C9E4725F0B8A1D6C3E97542AB60FD18"', "mail: someone@localhost", "phone: (030) 123 45 67", "call 0171-555-01-99",
+    "Rechtsschutzversicherungsgesellschaften", "internationalization_and_localization", "see docs/operators/line-dedup/overview", "________________________", "------------------------------",
+    "pages 10 20 30 40 50", "in 2019 - 2020 - 2021", "version 1.2.3.4.5.6", "user@@host", "a @ b", "x@y z",
+]
 
 
-def found(text: Column, pattern: str, worth: str) -> Column:
-    """array<struct<start, end, m>> of a pattern's matches: leftmost, not overlapping."""
-    hit = text.contains(worth) if worth == "@" else text.rlike(worth)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+def sql(x: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def step(state, p):
-        a = state["at"] + F.length(p["gap"])
-        b = a + F.length(p["m"])
-        return F.struct(b.alias("at"), F.array_append(state["spans"], F.struct(a.alias("start"), b.alias("end"), p["m"].alias("m"))).alias("spans"))
 
-    walked = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda s: s["spans"])
-    return F.when(hit, walked).otherwise(empty)
+def _powers(ks) -> str:
+    return f"array({', '.join(str(1 << k) for k in ks)})"
 
 
-def digits(x: Column) -> Column:
-    return F.regexp_replace(x, "[^0-9]", "")
+def running(xs: str, step: str, steps: int = 21) -> str:
+    """SQL of running totals of an array under an associative ``step`` of p (before) and x, by doubling; for arrays of up to
+    2 ** ``steps`` elements."""
+    shifted = f"transform(a, (x, i) -> if(i >= d, transform(array(a[greatest(i - d, 0)]), p -> {step})[0], x))"
+    return f"aggregate({_powers(range(steps))}, {xs}, (a, d) -> if(size(a) > d, {shifted}, a))"
 
 
-def luhn(number: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    ds = F.transform(F.split(F.reverse(number), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(ds, F.lit(0), lambda s, x: s + x) % 10 == 0
+def found(text: str, pattern: str, worth: str) -> str:
+    """SQL of a pattern's matches, array<struct<start, end, m>>: leftmost, not overlapping."""
+    pairs = f"filter(arrays_zip(split({text}, {sql(pattern)}, -1), regexp_extract_all({text}, {sql(pattern)}, 0)), p -> p.`1` IS NOT NULL)"
+    ends = running("transform(s, p -> length(p.`0`) + length(p.`1`))", "p + x")
+    placed = f"transform(array({pairs}), s -> transform(array({ends}), e -> transform(s, (p, i) -> named_struct('start', e[i] - length(p.`1`), 'end', e[i], 'm', p.`1`)))[0])[0]"
+    return f"if({text} RLIKE {sql(worth)}, {placed}, cast(array() AS array<struct<start:int,end:int,m:string>>))"
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """The strict spans by kind, those that fail their kind's check dropped."""
-    valid = {
-        "email": lambda s: F.lit(True),
-        "ip": lambda s: s["m"].rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"),
-        "card": lambda s: luhn(digits(s["m"])),
-        "phone": lambda s: F.length(digits(s["m"])).between(9, 15),
-    }
-    out = {}
-    for kind, (pattern, worth) in BASE.items():
-        spans = found(text, pattern, worth)
-        out[kind] = spans if kind == "email" else F.filter(spans, valid[kind])
-    return out
+# Whether a match ``m`` passes its kind's check; the sum of a card's digits is Luhn's.
+LUHN = "aggregate(transform(split(reverse(regexp_replace(m.m, '[^0-9]', '')), ''), (c, i) -> if(i % 2 = 0, int(c), int(c) * 2 - if(int(c) > 4, 9, 0))), 0, (s, x) -> s + x) % 10 = 0"
+VALID = {
+    "email": "true",
+    "ip": f"m.m RLIKE {sql(rf'^{OCTET}[.]{OCTET}[.]{OCTET}[.]{OCTET}$')}",
+    "card": LUHN,
+    "phone": "length(regexp_replace(m.m, '[^0-9]', '')) BETWEEN 9 AND 15",
+}
 
 
-def _bin(x: Column, *edges) -> Column:
-    out = F.lit(len(edges))
-    for i in reversed(range(len(edges))):
-        out = F.when(x <= edges[i], i).otherwise(out)
-    return out
+def checked(kind: str, text: str) -> Column:
+    """array<struct<start, end, ok>> of a kind's strict matches; ``ok``: whether a match passes the kind's check."""
+    return F.expr(f"transform({found(text, *BASE[kind])}, m -> named_struct('start', m.start, 'end', m.end, 'ok', {VALID[kind]}))")
+
+
+def reach(spans: str) -> str:
+    """SQL of spans by their start, ``end`` raised to the furthest end so far; for ``overlap``."""
+    return running(f"array_sort({spans})", "named_struct('start', x.start, 'end', greatest(p.end, x.end))")
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, features, y>>; y: covered by a base span, or assigned to the name of a secret."""
-    def described(g):
-        def one(s):
-            m, n = s["m"], F.length(s["m"])
-            before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            secret = before.rlike(SECRET_CUE)
-            covered = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]) & ((F.least(b["end"], s["end"]) - F.greatest(b["start"], s["start"])) * 5 >= (s["end"] - s["start"]) * 4))
-            features = F.struct(
-                F.lit(g).alias("generator"),
-                _bin(n, 8, 13, 19, 32).alias("length"),
-                _bin(F.length(digits(m)) / n, 0.05, 0.5, 0.95).alias("digits"),
-                _bin(F.length(F.regexp_replace(m, "[^A-Z]", "")) / n, 0, 0.5).alias("upper"),
-                m.rlike("^[0-9a-fA-F]+$").cast("int").alias("hexadecimal"),
-                _bin(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), 0, 3).alias("separators"),
-                before.rlike("[\"'`]$").cast("int").alias("quoted"),
-                F.when(secret, 2).when(before.rlike(CONTACT_CUE), 1).otherwise(0).alias("cue"),
-                m.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]").cast("int").alias("domain"),
-            )
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), features.alias("features"), (covered | secret).cast("int").alias("y"))
-
-        return one
-
-    parts = [F.transform(found(text, pattern, worth), described(g)) for g, (pattern, worth) in enumerate(GENERATORS.values())]
-    return F.concat(*parts)
+def overlap(far: str, steps: int = 21) -> str:
+    """SQL of how many code points of ``m`` the last span that starts before its end reaches over; ``far`` as ``reach`` gives it."""
+    last = f"aggregate({_powers(reversed(range(steps)))}, -1, (at, d) -> if(at + d < size({far}) AND {far}[at + d].start < m.end, at + d, at))"
+    return f"coalesce(transform(array({last}), l -> if(l < 0, 0, greatest(0, least({far}[l].end, m.end) - greatest({far}[l].start, m.start))))[0], 0)"
+
+
+def _bin(x: str, *edges) -> str:
+    return "CASE " + " ".join(f"WHEN {x} <= {e}D THEN {i}" for i, e in enumerate(edges)) + f" ELSE {len(edges)} END"
+
+
+def candidates(text: str, base: str, failed: str) -> Column:
+    """array<struct<start, end, features, free, y>> of a text; ``base`` and ``failed`` are columns of spans. ``free``: no base span,
+    and of numbers no failed one, overlaps; ``y``: the weak label."""
+    features = {
+        "length": _bin("length(m.m)", 8, 13, 19, 32),
+        "digits": _bin("length(regexp_replace(m.m, '[^0-9]', '')) / length(m.m)", 0.05, 0.5, 0.95),
+        "upper": _bin("length(regexp_replace(m.m, '[^A-Z]', '')) / length(m.m)", 0, 0.5),
+        "hexadecimal": "int(m.m RLIKE '^[0-9a-fA-F]+$')",
+        "separators": _bin("length(regexp_replace(m.m, '[A-Za-z0-9]', ''))", 0, 3),
+        "quoted": f"int(m.before RLIKE {sql("[\"'`]$")})",
+        "assigned": f"int(m.before RLIKE {sql("\\w[\"']?\\s*[=:]\\s*[\"'`]?$")})",
+        "domain": "int(m.m RLIKE '@[A-Za-z0-9-]+[.][A-Za-z]')",
+    }
+    assert ["generator", *features] == list(RANGES)
+
+    def described(g, kind):
+        met = f"named_struct('start', m.start, 'end', m.end, 'm', m.m, 'over', {overlap('far')}, 'bad', {overlap('bad')}, 'before', substring({text}, greatest(m.start - 23, 1), least(m.start, 24)))"
+        free = "m.over = 0 AND m.bad = 0" if kind == "number" else "m.over = 0"
+        y = f"m.before RLIKE {sql(SECRET_CUE)}" if kind == "secret" else f"(m.over * 5 >= (m.end - m.start) * 4 OR ({free}) AND m.before RLIKE {sql(CONTACT_CUE)})"
+        fields = ", ".join(f"'{k}', {v}" for k, v in {"generator": g, **features}.items())
+        return f"transform(transform({found(text, *GENERATORS[kind])}, m -> {met}), m -> named_struct('start', m.start, 'end', m.end, 'features', named_struct({fields}), 'free', {free}, 'y', int({y})))"
+
+    every = ", ".join(described(g, kind) for g, kind in enumerate(GENERATORS))
+    return F.expr(f"transform(array({reach(base)}), far -> transform(array({reach(failed)}), bad -> concat({every}))[0])[0]")
 
 
 def fit(counts: list, rounds: int = ROUNDS, rate: float = RATE, depth: int = 3) -> list:
@@ -157,69 +177,87 @@ def predict(trees, row) -> float:
     return sum(_at(t, row) for t in trees)
 
 
-def as_expression(trees, features: Column) -> Column:
-    """The boosted score of a struct of features, as nested CASE expressions."""
+def as_expression(trees, features: str) -> str:
+    """SQL of the boosted score of a struct of features, as nested CASE expressions."""
     names = list(RANGES)
 
     def node(t):
-        return F.lit(t) if isinstance(t, float) else F.when(features[names[t[0]]] <= t[1], node(t[2])).otherwise(node(t[3]))
+        return f"{t!r}D" if isinstance(t, float) else f"CASE WHEN {features}.{names[t[0]]} <= {t[1]} THEN {node(t[2])} ELSE {node(t[3])} END"
 
-    out = node(trees[0])
-    for t in trees[1:]:
-        out = out + node(t)
-    return out
+    return " + ".join(f"({node(t)})" for t in trees)
 
 
-def thresholds(trees, held: list, precision: float = PRECISION) -> list[float]:
-    """For each generator, the least score above which held rows are precise enough; infinity where none is."""
-    out = []
+def thresholds(scored: list, precision: float = PRECISION) -> list[float]:
+    """For each generator, the least score at which (generator, score, n, positives) of free candidates are precise enough; without
+    positives, or if no score is precise enough, the score of that probability, or just above all that were seen to be wrong."""
+    out, fixed = [], float(np.log(precision / (1 - precision)))
     for g in range(RANGES["generator"]):
-        scored = sorted(((predict(trees, f), n, p) for f, n, p in held if f[0] == g), reverse=True)
-        cut, n, p = float("inf"), 0, 0
-        for i, (s, a, b) in enumerate(scored):
+        own = sorted(((s, n, p) for k, s, n, p in scored if k == g), reverse=True)
+        cut, n, p = None, 0, 0
+        for i, (s, a, b) in enumerate(own):
             n, p = n + a, p + b
-            if p >= precision * n and p and (i + 1 == len(scored) or scored[i + 1][0] < s):
+            if p and p >= precision * n and (i + 1 == len(own) or own[i + 1][0] < s):
                 cut = s
-        out.append(cut)
+        out.append(float(cut) if cut is not None else max([fixed, *(s + 1e-9 for s, a, b in own if b < a)]))
     return out
 
 
-def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text", precision: float = PRECISION) -> DataFrame:
+def learned(counts: list) -> tuple[list, list[float]]:
+    """Trees and thresholds from (fold, features, free, n, positives); the fixed examples are fold -1 and in every training set."""
+
+    def merged(rows):
+        total: dict = {}
+        for _, f, _, n, p in rows:
+            a, b = total.get(f, (0, 0))
+            total[f] = a + n, b + p
+        return [(f, *v) for f, v in sorted(total.items())]
+
+    scored = []
+    for k in range(FOLDS):
+        trees = fit(merged([c for c in counts if c[0] != k]))
+        seen: dict = {}
+        scored += [(c[1][0], seen.setdefault(c[1], predict(trees, c[1])), c[3], c[4]) for c in counts if c[0] == k and c[2]]
+    return fit(merged(counts)), thresholds(scored)
+
+
+def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, email, ip, card, phone: array<struct<start, end>>, added: array<struct<kind, start, end>>) of each whole text."""
     t = F.col("t_")
-    rows = docs.select(F.col(id), text_or_empty(text).alias("t_"))
-    place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    rows = rows.select(id, "t_", *[place(s).alias(k) for k, s in base_spans(t).items()])
-    seen = materialise(rows.withColumn("c_", candidates(t, F.concat(*BASE))).drop("t_"))
-    names = list(RANGES)
-    each = seen.select((F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(1)) % 5 == 0).alias("held"), F.explode("c_").alias("c"))
-    counts = each.groupBy("held", "c.features").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).collect()  # at most 2 * MAX_VECTORS rows
-    as_rows = lambda held: [(tuple(r.features[f] for f in names), r.n, r.p) for r in sorted(counts, key=lambda r: tuple(r.features)) if r.held == held]
-    learn, held = as_rows(False), as_rows(True)
-    learn, held = learn or held, held or learn
-    nothing = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    if not sum(p for _, _, p in learn):
-        return seen.withColumn("added", nothing).drop("c_")
-    trees = fit(learn)
-    cuts = thresholds(trees, held, precision)
-    base = F.concat(*BASE)
-    cut_of = lambda c: F.when(c["features"]["generator"] == 0, cuts[0]).when(c["features"]["generator"] == 1, cuts[1]).otherwise(cuts[2])
-    kind_of = lambda c: F.element_at(F.array(*map(F.lit, GENERATORS)), c["features"]["generator"] + 1)
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    chosen = F.filter("c_", lambda c: free(c) & (as_expression(trees, c["features"]) >= cut_of(c)))
-    added = F.transform(chosen, lambda c: F.struct(kind_of(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return seen.withColumn("added", F.array_sort(added)).drop("c_")
+
+    place = lambda k, ok: F.expr(f"transform(filter({k}, s -> {ok}), s -> named_struct('start', s.start, 'end', s.end))")
+    own = docs.select(F.col(id), text_or_empty(text).alias("t_"), (F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(1)) % FOLDS).cast("int").alias("fold_"))
+    given = docs.sparkSession.createDataFrame([(x, -1) for x in EXAMPLES], "t_ string, fold_ int")
+    rows = own.unionByName(given, allowMissingColumns=True)
+    rows = rows.select(id, "fold_", "t_", *[checked(k, "t_").alias(k) for k in BASE])
+    rows = rows.withColumn("failed_", F.concat(place("ip", "NOT s.ok"), place("card", "NOT s.ok"))).withColumns({k: place(k, "s.ok") for k in BASE})
+    rows = materialise(rows.withColumn("c_", candidates("t_", "concat(email, ip, card, phone)", "failed_")).drop("t_", "failed_"))
+    each = rows.select("fold_", F.explode("c_").alias("c"))
+    counts = each.groupBy(F.col("fold_").alias("fold"), "c.features", "c.free").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).collect()  # at most 12 * MAX_VECTORS rows
+    seen = rows.filter("fold_ >= 0").drop("fold_")
+    trees, cuts = learned(sorted((r.fold, tuple(r.features[f] for f in RANGES), r.free, r.n, r.p) for r in counts))
+    chosen = f"filter(c_, c -> c.free AND ({as_expression(trees, 'c.features')}) >= CASE c.features.generator WHEN 0 THEN {cuts[0]!r}D WHEN 1 THEN {cuts[1]!r}D ELSE {cuts[2]!r}D END)"
+    kind = f"array({', '.join(map(sql, GENERATORS))})[c.features.generator]"
+    return seen.withColumn("added", F.expr(f"array_sort(transform({chosen}, c -> named_struct('kind', {kind}, 'start', c.start, 'end', c.end)))")).drop("c_")
+
+
+def listed(spans: str) -> Column:
+    """kind:start:end of array<struct<k, start, end>> by kind as listed, then start, comma-joined."""
+    return F.expr(f"array_join(transform(array_sort({spans}), s -> concat_ws(':', array({', '.join(map(sql, KINDS))})[s.k], s.start, s.end)), ',')")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = detect(table(spark, sf_dir, "documents"))
-    name = lambda k: F.transform(k, lambda s: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string")))
-    base = F.concat(*map(name, BASE))
-    of = lambda kind: F.transform(F.filter("added", lambda s: s["kind"] == kind), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    everything = F.concat(name("email"), of("email"), *map(name, ["ip", "card", "phone"]), of("number"), of("secret"))
+    return op2_rows(table(spark, sf_dir, "documents"))
+
+
+def op2_rows(docs: DataFrame) -> DataFrame:
+    spans = detect(docs)
+    base = "concat(" + ", ".join(f"transform({k}, s -> named_struct('k', {n}, 'start', s.start, 'end', s.end))" for n, k in enumerate(BASE)) + ")"
+    more = f"transform(added, s -> named_struct('k', int(array_position(array({', '.join(map(sql, KINDS))}), s.kind)) - 1, 'start', s.start, 'end', s.end))"
     return spans.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(everything, ",").alias("spans"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(f"concat({base}, {more})").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        F.expr("size(email) + size(ip) + size(card) + size(phone) + size(added)").cast("long").alias("n_spans"),
     )

@@ -52,18 +52,51 @@ def test_trees_add_secrets_and_leave_clean_text(spark):
 def test_a_long_secret_is_found_whole(spark):
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     secret = "".join(np.random.default_rng(9).choice(letters, 2000))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    docs = spark.createDataFrame([(f'key = 1, secret="{secret}" and more',), (f"secret={secret}==",)], "text string")
-    got = [[(c.start, c.end, c.y) for c in r.c] for r in docs.select(pii.candidates(F.col("text"), none).alias("c")).collect()]
+    docs = spark.createDataFrame([(f'key = 1, secret="{secret}" and more',), (f"secret={secret}==",)], "text string").withColumn("none", F.array().cast("array<struct<start:int,end:int>>"))
+    got = [[(c.start, c.end, c.y) for c in r.c] for r in docs.select(pii.candidates("text", "none", "none").alias("c")).collect()]
     assert got == [[(17, 2017, 1)], [(0, 2009, 0)]]
 
 
+def test_secrets_of_a_small_table_and_failed_cards(spark, small):
+    for folder in (small, small.replace("0.001", "0.01")):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        texts_ = {r.doc_id: r.text or "" for r in docs.collect()}
+        hits = planted = 0
+        for r in pii.op2_rows(docs).collect():
+            spans = {tuple(x.split(":")) for x in r.spans.split(",") if x}
+            for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', texts_[r.doc_id]):
+                planted += 1
+                hits += ("secret", str(m.start(1)), str(m.end(1))) in spans
+            for kind, a, b in spans:
+                number = re.sub("[^0-9]", "", texts_[r.doc_id][int(a) : int(b)])
+                assert kind != "number" or not 13 <= len(number) <= 19
+        assert hits >= 0.9 * planted, (folder, hits, planted)
+
+
+def test_spans_are_sorted_by_kind_and_start(spark):
+    text = 'mail: me@localhost and a.b@c.example.org, secret = "0123456789abcdef0123456789abcdef01234567", mail: you@localhost, card 4111 1111 1111 1112'
+    rows = [(i, text, "en", "a", 0) for i in range(40)]
+    r = pii.op2_rows(documents(spark, rows)).first()
+    spans = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(","))]
+    assert spans == sorted(spans) and (0, 23, 40) in spans and len(spans) == r.n_spans == r.n_email + r.n_added
+    assert r.n_card == 0 and not any(k == 4 for k, *_ in spans)
+    assert [k for k, *_ in spans].count(5) == 1
+    assert [f.dataType.simpleString() for f in pii.op2_rows(documents(spark)).schema.fields[:7]] == ["bigint"] * 5 + ["string"] * 2
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i}.1.1.1" for i in range(256)) * 40
+    r = pii.op2_rows(documents(spark, [(1, text, "en", "a", 0)])).first()
+    want = strict(text)
+    assert r.n_ip == len(want["ip"]) > 9000 and r.spans.split(",")[-1] == "ip:{}:{}".format(*want["ip"][-1])
+
+
 def test_tree_expression_equals_its_trees(spark):
     rng = np.random.default_rng(0)
     data = [(tuple(int(rng.integers(0, n)) for n in pii.RANGES.values()), 10, int(rng.integers(0, 11))) for _ in range(60)]
     trees = pii.fit(data, rounds=5)
     frame = spark.createDataFrame([x for x, _, _ in data], ", ".join(f"{k} int" for k in pii.RANGES))
-    got = frame.select(pii.as_expression(trees, F.struct(*pii.RANGES)).alias("s"), *pii.RANGES).collect()
+    got = frame.withColumn("f", F.struct(*pii.RANGES)).select(F.expr(pii.as_expression(trees, "f")).alias("s"), *pii.RANGES).collect()
     assert all(abs(r.s - pii.predict(trees, tuple(r)[1:])) < 1e-9 for r in got)
 
 
