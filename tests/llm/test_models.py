@@ -103,22 +103,54 @@ def test_tree_expression_equals_its_trees(spark):
 # --- mixing
 
 
-def test_exponent_meets_entropy_and_repetition():
+def weighted(tokens, exponent):
+    total = sum(tokens.values())
+    raw = {s: (t / total) ** exponent for s, t in tokens.items() if t > 0}
+    return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+
+def entropy(w):
+    return -sum(x * math.log(x) for x in w.values() if x > 0)
+
+
+def bisected(tokens, budget, target, epochs):
+    """The exponent by plain bisection."""
+    if sum(t > 0 for t in tokens.values()) < 2:
+        return 1.0
+    repeats = lambda a: max(x * budget / tokens[s] for s, x in weighted(tokens, a).items())
+    good = lambda a: entropy(weighted(tokens, a)) >= target * math.log(sum(t > 0 for t in tokens.values()))
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if good(mid) else (lo, mid)
+    a = 1.0 if good(1.0) else lo
+    if repeats(a) <= epochs:
+        return a
+    lo, hi = a, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if repeats(mid) <= epochs else (mid, hi)
+    return hi
+
+
+def test_exponent_meets_entropy_and_repetition(spark):
     have = {"a": 9000, "b": 900, "c": 100}
-    a = mixing.solve_exponent(have, 10_000, target_entropy=0.8, max_epochs=1e9)
-    w = mixing.weights(have, a)
-    assert abs(mixing.entropy(w) - 0.8 * math.log(3)) < 1e-6 and abs(sum(w.values()) - 1) < 1e-12
-    a = mixing.solve_exponent(have, 10_000, target_entropy=1.0, max_epochs=2.0)
-    assert max(x * 10_000 / have[s] for s, x in mixing.weights(have, a).items()) <= 2.0 + 1e-9
-    assert mixing.solve_exponent({"a": 5}, 5) == 1.0
+    sums = spark.createDataFrame([*have.items(), ("none", 0)], "s string, t long")
+    a = mixing.solve_exponent(sums, 10_000, target_entropy=0.8, max_epochs=1e9)
+    w = weighted(have, a)
+    assert abs(entropy(w) - 0.8 * math.log(3)) < 1e-6 and abs(a - bisected(have, 10_000, 0.8, 1e9)) < 1e-8
+    a = mixing.solve_exponent(sums, 10_000, target_entropy=1.0, max_epochs=2.0)
+    assert max(x * 10_000 / have[s] for s, x in weighted(have, a).items()) <= 2.0 + 1e-9
+    assert abs(a - bisected(have, 10_000, 1.0, 2.0)) < 1e-8
+    assert mixing.solve_exponent(sums.filter("s = 'a'"), 5) == 1.0
 
 
-def brute_mix(rows, budget, entropy, epochs):
+def brute_mix(rows, budget, target, epochs):
     """The same plan by sorting each source on one machine; rows: (source, tokens, key, hash of block, order of blocks)."""
     have = {}
     for s, t, *_ in rows:
         have[s] = have.get(s, 0) + t
-    w = mixing.weights(have, mixing.solve_exponent(have, budget, target_entropy=entropy, max_epochs=epochs))
+    w = weighted(have, bisected(have, budget, target, epochs))
     out = []
     for s in have:
         full, rest = divmod(int(w[s] * budget + 0.5), have[s])
@@ -127,6 +159,7 @@ def brute_mix(rows, budget, entropy, epochs):
         for r in own:
             if r[3] not in blocks:
                 blocks.append(r[3])
+        order = {b: i + 1 for i, b in enumerate(blocks)}
         for b in blocks:
             block = [r for r in own if r[3] == b]
             size = sum(r[1] for r in block)
@@ -142,34 +175,58 @@ def brute_mix(rows, budget, entropy, epochs):
                         break
                     taken.append(r)
             at += size
-        out += own * full + taken
-    return sorted(r[2] for r in out)
+        out += [(e, order[r[3]], r[2]) for e in range(full) for r in own] + [(full, order[r[3]], r[2]) for r in taken]
+    return sorted(out)
 
 
 def test_mix_against_brute_force(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", "big" if i % 10 else f"s{i % 3}", 0) for i in range(900)]
     docs = documents(spark, rows)
-    got = mixing.mix(docs, target_entropy=0.9, max_epochs=3.0, budget=5000)
-    key = F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")
     n = docs.groupBy("source").count().withColumn("blocks", F.greatest(F.lit(1), F.floor(F.sqrt("count"))))
     src = F.concat(F.lit("="), F.col("source"))
-    block = F.pmod(F.xxhash64(F.lit(mixing.SEED + 1), key), F.col("blocks"))
-    each = docs.join(n, "source").select(src.alias("s"), mixing.token_count().alias("t"), key.alias("k"), block.alias("b"), F.xxhash64(F.lit(mixing.SEED + 2), src, block).alias("o")).collect()
-    want = brute_mix([tuple(r) for r in each], 5000, 0.9, 3.0)
-    assert sorted(r[0] for r in got.select(key).collect()) == want
-    assert got.agg(F.sum("mix_tokens")).first()[0] <= 5000 + 4
+    key = mixing.row_key(docs, mixing.SEED)
+    block = F.pmod(F.xxhash64(F.lit(mixing.SEED + 1), "k", F.lit(0).cast("long")), F.col("blocks"))
+    each = docs.withColumn("k", key).join(n, "source").select(src.alias("s"), mixing.token_count().alias("t"), "k", block.alias("b"), F.xxhash64(F.lit(mixing.SEED + 2), src, block).alias("o")).collect()
+    for limit in (500_000, 0):
+        got = mixing.mix(docs, target_entropy=0.9, max_epochs=3.0, budget=5000, broadcast_rows=limit)
+        assert sorted((r.mix_epoch, r.mix_block, r.mix_place) for r in got.collect()) == brute_mix([tuple(r) for r in each], 5000, 0.9, 3.0)
+        assert got.agg(F.sum("mix_tokens")).first()[0] <= 5000 + 4
+
+
+def test_copies_are_mixed_like_other_rows(spark):
+    rows = [(7, " ".join(["w"] * 50), "en", "a", 1)] * 200 + [(100 + i, " ".join(["v"] * 50), "en", "b", 1) for i in range(20)]
+    docs = documents(spark, rows)
+    have = {"a": 10_000, "b": 1000}
+    for budget, limits in ((11_000, (500_000, 0)), (3000, (500_000,)), (60, (0,)), (1_000_000, (500_000,))):
+        for limit in limits:
+            got = mixing.mix(docs, budget=budget, broadcast_rows=limit).groupBy("source").agg(F.sum("mix_tokens").alias("t"), F.first("mix_weight").alias("w")).collect()
+            got = {r.source: r.t for r in got}
+            real = min(budget, 44_000)
+            w = weighted(have, bisected(have, real, mixing.ENTROPY, mixing.MAX_EPOCHS))
+            for s in have:
+                quota = int(w[s] * real + 0.5)
+                assert quota - 50 < got.get(s, 0) <= quota, (budget, s, got, quota)
 
 
 def test_mix_edges(spark):
     clash = documents(spark)
-    for name in ("rest", "full", "blocks", "stop", "mix_block", "mix_key", "times"):
+    for name in ("rest", "full", "blocks", "stop", "mix_block", "mix_key", "times", "t", "n", "j", "c", "r", "last", "upto"):
         clash = clash.withColumn(name, F.lit("x"))
     got = mixing.mix(clash).collect()
-    assert {r.rest for r in got} == {"x"}
+    assert {r.rest for r in got} == {"x"} and {r.last for r in got} == {"x"}
     assert {r.source for r in got} <= {"a", "b", None}
     assert mixing.mix(documents(spark, [])).count() == 0
     blank = documents(spark, [(1, None, None, "a", None), (2, "", None, None, 0)])
     assert sorted(r.doc_id for r in mixing.mix(blank).collect()) == [1, 2]
+    odd = documents(spark).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    assert mixing.mix(odd).count() == mixing.mix(odd).count() > 0
+    assert mixing.mix(documents(spark), budget=0).count() == 0
+
+
+def test_mix_of_the_given_documents(spark, small):
+    out = mixing.op3_mixing(spark, small)
+    assert out.dtypes == [("doc_id", "bigint"), ("source", "string"), ("epoch", "bigint"), ("block", "int"), ("place", "bigint"), ("n_tokens", "bigint"), ("weight", "double")]
+    assert out.count() > 100
 
 
 # --- quality
