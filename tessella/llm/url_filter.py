@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 RULES = [
     ("block", "com", "/en/"),
@@ -42,41 +42,42 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     return df.withColumn("digest", F.sha2(F.concat("r_host", "r_path"), 256))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", key_hex: int = 8, broadcast_rules: int = 200_000, max_shapes: int = 4096) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", key_hex: int = 8, broadcast_rules: int = 200_000, broadcast_matches: int = 200_000) -> DataFrame:
     """``pages(page_id, url)`` with host, path, rule and verdict.
 
-    The number of shapes is bounded by ``max_shapes`` (an error beyond it), so a URL gives at most that many expressions. The
-    rules are broadcast only if there are at most ``broadcast_rules`` of them; otherwise both sides are shuffled on the key.
+    A shape is a number of labels and a number of characters, so there are at most 127 times the longest rule's path of them,
+    however many rules, and a URL gives at most one expression each. The rules are broadcast only if there are at most
+    ``broadcast_rules`` of them; otherwise both sides are shuffled on the key. Distinct URLs that match are written, then broadcast
+    if they are at most ``broadcast_matches``, or else joined by shuffling both sides, so that adaptive execution can split a URL
+    that many pages have. Pages without a host match nothing and do not enter that join.
     """
-    shapes = rules.select(F.size(F.split("r_host", "\\.", -1)).alias("labels"), F.length("r_path").alias("chars")).distinct().limit(max_shapes + 1).collect()
-    if len(shapes) > max_shapes:
-        raise ValueError(f"rules of more than {max_shapes} shapes")
+    labels = F.size(F.split("r_host", "\\.", -1))
+    shapes = rules.select(labels.alias("labels"), F.length("r_path").alias("chars")).filter("labels <= 127").distinct().collect()
     host, path = split_url(F.col("url"))
     named = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     if not shapes:
         return named.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = F.split("host", "\\.", -1)
-    made = F.array(*[
-        F.when(
-            (F.size(parts) >= s.labels) & (F.length("path") >= s.chars),
-            F.concat(F.array_join(F.slice(parts, -s.labels, s.labels), "."), F.substring("path", 1, s.chars)),
-        )
-        for s in sorted(shapes)
-    ])
-    urls = named.select("host", "path").distinct()
-    asked = urls.select("host", "path", F.explode(F.array_compact(made)).alias("expression")).withColumn("asked", F.sha2("expression", 256))
+    known = F.expr("array(" + ", ".join(f"named_struct('labels', {s.labels}, 'chars', {s.chars})" for s in sorted(shapes)) + ")")
+    fits = F.filter(known, lambda s: (F.size(parts) >= s["labels"]) & (F.length("path") >= s["chars"]))
+    made = F.transform(fits, lambda s: F.concat(F.array_join(F.slice(parts, -s["labels"], s["labels"]), "."), F.substring(F.col("path"), F.lit(1), s["chars"])))
+    urls = named.filter("host <> ''").select("host", "path").distinct()
+    asked = urls.select("host", "path", F.explode(made).alias("expression")).withColumn("asked", F.sha2("expression", 256))
     keyed = rules.withColumn("key", F.substring("digest", 1, key_hex))
     if rules.count() <= broadcast_rules:
         keyed = F.broadcast(keyed)
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("action"))
-    best = (
+    best = materialise(
         asked.withColumn("key", F.substring("asked", 1, key_hex))
         .join(keyed, "key")
         .filter(F.col("asked") == F.col("digest"))
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "action"), rank).alias("won"))
     )
-    return named.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
+    if best.count() <= broadcast_matches:
+        best = F.broadcast(best)
+    judged = named.filter("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
+    return judged.unionByName(named.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

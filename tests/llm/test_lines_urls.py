@@ -51,7 +51,18 @@ def brute_url(url):
 def test_urls_against_brute_force(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string").withColumn("digest", F.lit("clash")).withColumn("host", F.lit("clash"))
     for most in (200_000, 0):
-        got = judge_urls(pages, rules_frame(spark), broadcast_rules=most).collect()
+        got = judge_urls(pages, rules_frame(spark), broadcast_rules=most, broadcast_matches=most).collect()
         assert sorted(map(str, [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got])) == sorted(map(str, [(i, *brute_url(u)) for i, u in URLS]))
     assert judge_urls(pages.limit(0), rules_frame(spark)).count() == 0
     assert {r.verdict for r in judge_urls(pages, rules_frame(spark, []), default="block").collect()} == {"block"}
+
+
+def test_hot_urls_and_many_shapes(spark):
+    hot = [(i, "http://example.com/en/7") for i in range(300)] + [(1000 + i, None) for i in range(300)] + [(2000, "http://a.b.c.example.org/es/x")]
+    pages = spark.createDataFrame(hot, "page_id long, url string")
+    for most in (200_000, 0):
+        got = judge_urls(pages, rules_frame(spark), broadcast_matches=most).collect()
+        assert sorted(map(str, [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got])) == sorted(map(str, [(i, *brute_url(u)) for i, u in hot]))
+    rules = [("block", ".".join(["x"] * k), "/" + "y" * n) for k in range(1, 9) for n in range(0, 700)]
+    got = judge_urls(spark.createDataFrame([(1, "u://x.x.x/" + "y" * 40), (2, "u://z/")], "page_id long, url string"), rules_frame(spark, rules)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: ("x.x.x/" + "y" * 40, "block"), 2: (None, "allow")}
