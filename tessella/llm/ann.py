@@ -3,12 +3,16 @@
 Vectors are rotated at random, assigned to the nearest of about sqrt(n) centroids (trained on at most ``max_sample`` vectors, the
 one bound here), and every vector is indexed. A list is stored in blocks of about ``block`` vectors. A query meets the blocks of
 its nearest lists; within a block, rotated coordinates are read in column blocks, and after each a hypothesis test abandons the
-candidates whose distance so far shows that they are not among the nearest found. Survivors get their exact distance on the
-original vectors, and the exact best of all blocks are kept.
+candidates whose distance so far shows that they are not among the nearest. The test holds them against one bound that all blocks
+of a query share: the k-th distance among the sample's vectors in the query's nearest lists. The lists that a query needs to have
+k neighbours at all are held against what is found in them alone. Survivors get their exact distance on the original vectors, and
+the exact best of all blocks are kept.
 
 The share of lists to probe is measured on the sample: the least share at which brute force confirms ``target`` recall there.
 Neighbours are further apart in a sample than among all vectors, so this errs to the safe side. A query whose lists hold fewer than
-k other vectors probes on, in order of centroid distance, until they do.
+k other vectors probes on, in order of centroid distance, until they do. The sample is ordered by id, and every product with the
+centroids is made in slices of bounded size. There are at most ``max_sample`` / 2 lists: beyond that many squared vectors the
+lists, and so the work of a query, grow with the table.
 
 Blocks of vectors meet blocks of queries on an equal key, so a list of any size and any number of queries spread over tasks of
 bounded size.
@@ -29,7 +33,7 @@ from pyspark.sql import Window as W
 
 from .common import materialise, table
 
-MAX_SAMPLE, BLOCK, QUERY_BLOCK, TARGET, SEED = 20_000, 256, 256, 0.98, 5
+MAX_SAMPLE, BLOCK, QUERY_BLOCK, TARGET, SEED, SLICE = 20_000, 256, 256, 0.98, 5, 512
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -42,61 +46,87 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
 
 
 class Index:
-    """Centroids, rotation and the number of lists to probe, from a sample of vectors."""
+    """Centroids, rotation, the number of lists to probe, and the sample by its lists."""
 
-    def __init__(self, sample: np.ndarray, n: int, k: int, target: float, seed: int):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, n: int, k: int, target: float, seed: int):
         rng = np.random.default_rng(seed)
-        self.dims = sample.shape[1]
+        self.k, self.dims = k, sample.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(self.dims, self.dims)))[0]
-        lists = max(1, min(math.isqrt(n), len(sample) // 4 or 1))
+        lists = max(1, min(math.isqrt(n), len(sample) // 2 or 1))
         c = sample[rng.choice(len(sample), lists, replace=False)].copy()
         for _ in range(8):
-            near = self._far(sample, c).argmin(1)
-            for i in range(lists):
-                if (own := near == i).any():
-                    c[i] = sample[own].mean(0)
+            near = self._closest(sample, c)
+            total, count = np.zeros_like(c), np.bincount(near, minlength=lists)
+            np.add.at(total, near, sample)
+            c[count > 0] = total[count > 0] / count[count > 0, None]
         self.centroids = c
-        self.probes = self._probes(sample, k, target, rng)
+        lists_of = self._closest(sample, c)
+        self.probes = self._probes(sample, lists_of, k, target, rng)
+        order = np.argsort(lists_of, kind="stable")
+        self.ids, self.sample = ids[order], sample[order]
+        self.starts = np.searchsorted(lists_of[order], np.arange(lists + 1))
 
     @staticmethod
     def _far(x, c):
         return (c**2).sum(1) - 2 * x @ c.T
 
-    def _probes(self, sample, k, target, rng):
+    def _closest(self, x, c):
+        return np.concatenate([self._far(x[i : i + SLICE], c).argmin(1) for i in range(0, len(x), SLICE)])
+
+    def _probes(self, sample, lists, k, target, rng):
         """Lists to probe for the target recall of each sample query's nearest ones."""
         at = rng.choice(len(sample), min(400, len(sample)), replace=False)
         far = (sample**2).sum(1) - 2 * sample[at] @ sample.T
         far[np.arange(len(at)), at] = np.inf
         k = min(k, max(1, len(sample) - 1))
         near = np.argpartition(far, k - 1, axis=1)[:, :k]
-        lists = self._far(sample, self.centroids).argmin(1)
         order = np.argsort(np.argsort(self._far(sample[at], self.centroids), axis=1), axis=1)
         places = np.sort(np.take_along_axis(order, lists[near], axis=1).ravel())
         return int(places[min(len(places) - 1, math.ceil(target * len(places)) - 1)]) + 1
 
-    def nearest(self, x, m=None):
-        return np.argsort(self._far(x, self.centroids), axis=1, kind="stable")[:, :m]
-
-    def probed(self, x, sizes, need):
-        """For each row of ``x`` its nearest lists: ``probes`` of them, or as many as hold its ``need`` vectors."""
-        out = []
-        for i in range(0, len(x), 256):
-            order = self.nearest(x[i : i + 256])
+    def nearest(self, x):
+        return self._closest(x, self.centroids).astype(np.int32) if len(x) else np.zeros(0, np.int32)
+
+    def bound(self, id, v, lists):
+        """An upper bound of a query's k-th distance, squared: that among the sample's vectors in these lists; infinite if they are
+        too few."""
+        found, most = np.zeros(0), max(16 * self.k, 256)
+        for i in lists:
+            a, b = self.starts[i], self.starts[i + 1]
+            own = self.sample[a:b][self.ids[a:b] != id]
+            found = np.concatenate([found, ((own - v) ** 2).sum(1)])
+            if len(found) >= most:
+                break
+        return float(np.partition(found, self.k - 1)[self.k - 1]) if len(found) >= self.k else math.inf
+
+    def probed(self, ids, x, sizes, need):
+        """For each row of ``x`` its nearest lists, ``probes`` of them or as many as hold its ``need`` vectors, and the bound of
+        each list: none in those that hold the first ``need`` vectors."""
+        lists, bounds = [], []
+        for i in range(0, len(x), SLICE):
+            order = np.argsort(self._far(x[i : i + SLICE], self.centroids), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
-            m = np.maximum(self.probes, 1 + (held < need[i : i + 256, None]).sum(1))
-            out += [row[:j].astype(np.int32) for row, j in zip(order, m)]
-        return out
-
-
-def scan(query: np.ndarray, turned: np.ndarray, k: int, *, step: int = 16, slack: float = 2.1) -> np.ndarray:
-    """Positions in ``turned`` (rotated vectors, as columns by dimension) that may be among the k nearest to a rotated query; at
-    least k of them, or all there are."""
+            first = 1 + (held < need[i : i + SLICE, None]).sum(1)
+            for j, row in enumerate(order):
+                m = max(self.probes, first[j])
+                bound = self.bound(ids[i + j], x[i + j], row[:m]) if m > first[j] else math.inf
+                lists.append(row[:m].astype(np.int32))
+                bounds.append([math.inf] * int(min(first[j], m)) + [bound] * int(m - first[j]))
+        return lists, bounds
+
+
+def scan(query: np.ndarray, turned: np.ndarray, k: int, shared: float = math.inf, *, step: int = 16, slack: float = 2.1) -> np.ndarray:
+    """Positions in ``turned`` (rotated vectors, as columns by dimension) that may be among the k nearest to a rotated query.
+    Without a ``shared`` bound (squared) at least k of them, or all there are; with one, those that may be within it."""
     dims, n = turned.shape
-    if n <= k:
+    free = math.isinf(shared)
+    if n <= k and free:
         return np.arange(n)
-    head = min(n, max(4 * k, 32))
-    whole = ((turned[:, :head] - query[:, None]) ** 2).sum(0)
-    bound = np.partition(whole, k - 1)[k - 1]
+    bound = shared
+    if free:
+        head = min(n, max(4 * k, 32))
+        whole = ((turned[:, :head] - query[:, None]) ** 2).sum(0)
+        bound = np.partition(whole, k - 1)[k - 1]
     alive, partial = np.arange(n), np.zeros(n)
     for d in range(0, dims, step):
         e = min(d + step, dims)
@@ -104,7 +134,9 @@ def scan(query: np.ndarray, turned: np.ndarray, k: int, *, step: int = 16, slack
         # The share e/dims of a rotated vector's length is near its expectation; beyond the slack the candidate is given up.
         keep = partial * (dims / e) <= bound * ((1 + slack / math.sqrt(e)) ** 2 if e < dims else 1 + 1e-9)
         alive, partial = alive[keep], partial[keep]
-        if len(alive) < k:  # too many were given up: whole distances for all
+        if not len(alive):
+            break
+        if free and len(alive) < k:  # too many were given up: whole distances for all
             alive, partial = np.arange(n), ((turned - query[:, None]) ** 2).sum(0)
             break
     if len(alive) > k:  # whole distances now: no more than k of them and ties
@@ -130,42 +162,43 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ask = F.lit(True) if is_query is None else is_query
     share = F.lit(True) if n <= max_sample else F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(1_000_000 * max_sample / n)
-    sample = np.array([r.v for r in rows.filter(share).select("v").limit(2 * max_sample).collect()] or [r.v for r in rows.limit(1).select("v").collect()])
-    index = Index(sample, n, k, target, seed)
-
-    def assign(chosen):
-        def run(batches):
-            for b in batches:
-                near = chosen(b) if b.num_rows else []
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], names=["id", "v", "lists"])
+    taken = rows.filter(share).orderBy("id", "v").limit(2 * max_sample).collect() or rows.orderBy("id", "v").limit(1).collect()
+    index = Index(np.array([r.id for r in taken]), np.array([r.v for r in taken]), n, k, target, seed)
 
-        return run
+    def listing(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.nearest(_array(b.column(1))), pa.int32())], names=["id", "v", "list"])
 
-    with_lists = "id long, v array<double>, lists array<int>"
-    listed = materialise(rows.mapInArrow(assign(lambda b: list(index.nearest(_array(b.column(1)), 1).astype(np.int32))), with_lists).select("id", "v", F.col("lists")[0].alias("list")))
+    listed = materialise(rows.mapInArrow(listing, "id long, v array<double>, list int"))
     held = np.zeros(len(index.centroids), np.int64)
-    for r in listed.groupBy("list").count().collect():  # a row for each of at most max_sample / 4 lists
+    for r in listed.groupBy("list").count().collect():  # a row for each of at most max_sample / 2 lists
         held[r["list"]] = r["count"]
+
+    def probing(batches):
+        for b in batches:
+            lists, bounds = index.probed(np.asarray(b.column(0)), _array(b.column(1)), held, np.asarray(b.column(2)) + k) if b.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32())), pa.array(bounds, pa.list_(pa.float64()))], names=["id", "v", "lists", "bounds"])
+
     # A query's own rows are no candidates, so its lists need to hold k vectors besides these.
     own = rows.join(rows.filter(ask).select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
-    asked = rows.filter(ask).dropDuplicates(["id"]).join(own, "id").select("id", "v", "own")
-    probed = assign(lambda b: index.probed(_array(b.column(1)), held, np.asarray(b.column(2)) + k))
-    asked = materialise(asked.mapInArrow(probed, with_lists).select("id", "v", F.explode("lists").alias("list")))
+    asked = rows.filter(ask).groupBy("id").agg(F.min("v").alias("v")).join(own, "id").select("id", "v", "own")
+    probed = asked.mapInArrow(probing, "id long, v array<double>, lists array<int>, bounds array<double>")
+    asked = materialise(probed.select("id", "v", F.explode(F.arrays_zip("lists", "bounds")).alias("p")).select("id", "v", F.col("p.lists").alias("list"), F.col("p.bounds").alias("bound")))
     sizes = listed.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
-    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / query_block).cast("int").alias("asks")))  # a row for each of at most max_sample / 4 lists
+    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / query_block).cast("int").alias("asks")))  # a row for each of at most max_sample / 2 lists
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c: F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col(c)).cast("int")
     here = listed.join(sizes, "list").withColumn("x", dealt("blocks")).withColumn("y", every("asks")).select("list", "x", "y", "id", "v")
-    there = asked.join(sizes, "list").withColumn("y", dealt("asks")).withColumn("x", every("blocks")).select("list", "x", "y", "id", "v")
+    there = asked.join(sizes, "list").withColumn("y", dealt("asks")).withColumn("x", every("blocks")).select("list", "x", "y", "id", "v", "bound")
 
     def meet(left, right):
         ids, v = np.asarray(left.column("id")), _array(left.column("v"))
-        asks, q = np.asarray(right.column("id")), _array(right.column("v"))
+        asks, q, bounds = np.asarray(right.column("id")), _array(right.column("v")), np.asarray(right.column("bound"))
         found = []
         if len(ids) and len(asks):
             turned, turned_q = np.ascontiguousarray((v @ index.rotation).T), q @ index.rotation
             for i in range(len(asks)):
-                at = scan(turned_q[i], turned, k + int((ids == asks[i]).sum()))
+                at = scan(turned_q[i], turned, k + int((ids == asks[i]).sum()), bounds[i])
                 at = at[ids[at] != asks[i]]
                 score = np.sqrt(((v[at] - q[i]) ** 2).sum(1))
                 best = np.lexsort((ids[at], score))[:k]

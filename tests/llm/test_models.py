@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import mixing, pii, quality
-from tessella.llm.ann import search
+from tessella.llm.ann import op10_ann, search
 
 # --- personal data
 
@@ -301,6 +301,43 @@ def test_every_query_gets_its_neighbours(spark):
     assert max(by[5]) < 50
 
 
+def brute_neighbours(ids, v, query, k=10):
+    far = np.sqrt(((v - v[ids == query][0]) ** 2).sum(1))
+    other = np.flatnonzero(ids != query)
+    return [ids[j] for j in other[np.lexsort((ids[other], far[other]))][:k]]
+
+
+def test_few_vectors_in_any_order(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 2))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    results = []
+    for order in (rows, rows[::-1], [rows[i] for i in rng.permutation(60)]):
+        got = search(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3), is_query=F.col("id") == 0).orderBy("rank").collect()
+        results.append([(r.vec_id, r.score) for r in got])
+    assert len(results[0]) == 10 and results[0] == results[1] == results[2]
+
+
+def test_a_query_with_many_rows_of_its_own(spark):
+    v = np.random.default_rng(13).normal(size=(60, 4))
+    rows = [(0, v[0].tolist())] * 14 + [(i, x.tolist()) for i, x in enumerate(v)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query=F.col("id") == 0).collect()
+    assert len(got) == 10 and all(r.vec_id for r in got)
+
+
+def test_recall_on_the_given_vectors(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    out = op10_ann(spark, "/root/testdata/sf0.1")
+    assert out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    rows = [(r.vec_id, r.embedding) for r in frame.collect() if r.embedding and any(r.embedding)]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    hits = [np.isin(brute_neighbours(ids, v, q), x).mean() for q, x in got.items()]
+    assert all(len(x) == 10 for x in got.values()) and np.mean(hits) >= 0.9
+
+
 # --- pipeline
 
 
