@@ -1,10 +1,11 @@
 """A quality classifier: random Fourier features over document statistics, ridge scores, isotonic calibration.
 
-Statistics of each whole text are JVM expressions. Random Fourier features approximate a Gaussian kernel over the standardised
+Statistics of each whole text are JVM expressions, and so is the trained model: a score needs no Python worker. Random Fourier features approximate a Gaussian kernel over the standardised
 statistics. The normal equations are summed within each partition, then in a tree of partitions, so that the driver gets a fixed
 number of fixed-size sums. Scores of rows held back from the ridge are binned and pooled into a monotone calibration.
 
-Training reads at most ``max_rows`` labelled rows (by a hash of the id; all of them if there are fewer), the one bound here.
+Training reads at most ``max_rows`` labelled rows (by a hash of the id; all of them if there are fewer), the one bound here, and
+takes statistics of these rows only.
 Neither ids nor language nor source are inputs of a score.
 
 Defined results: a null or empty text has all statistics zero and a score like any other; rows without a label only do not
@@ -17,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .common import materialise, table
 
@@ -57,6 +57,14 @@ def fold(id: str = "doc_id"):
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5
 
 
+def _double(x) -> str:
+    return f"{float(x)!r}D"
+
+
+def _array(xs) -> str:
+    return f"array({', '.join(xs)})"
+
+
 class Model:
     """Everything that a score needs: scales, random directions, ridge weights and the calibration's knots."""
 
@@ -79,6 +87,24 @@ class Model:
             return np.full(len(stats), 0.5)
         return np.clip(np.interp(self.raw(stats), self.x, self.y), 0, 1)
 
+    def raw_sql(self, stats: str) -> str:
+        """SQL of ``raw``: an inner product for each direction, summed with its cosine's weight."""
+        given = "array(" + ", ".join(f"(greatest(-6D, least(6D, (nvl(nanvl({stats}[{i}], 0D), 0D) - {float(m)!r}D) / {float(s)!r}D)))" for i, (m, s) in enumerate(zip(self.mean, self.scale))) + ")"
+        turn = np.sqrt(2 / len(self.b)) * self.beta[:-1]
+        terms = _array(f"named_struct('w', {_array(map(_double, w))}, 'b', {_double(b)}, 'c', {_double(c)})" for w, b, c in zip(self.w.T, self.b, turn))
+        inner = "aggregate(zip_with(z, t.w, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+        return f"transform(array({given}), z -> aggregate({terms}, {_double(self.beta[-1])}, (s, t) -> s + t.c * cos({inner} + t.b)))[0]"
+
+    def score_sql(self, stats: str) -> str:
+        """SQL of ``score``: the calibration is linear between knots and flat beyond them."""
+        if self.beta is None:
+            return "0.5D"
+        knots = _array(f"named_struct('x', {_double(x)}, 'y', {_double(y)})" for x, y in zip(self.x, self.y))
+        last = len(self.x) - 1
+        line = "k[i - 1].y + (k[i].y - k[i - 1].y) * (r - k[i - 1].x) / (k[i].x - k[i - 1].x)"
+        at = f"transform(array(size(filter(k, q -> q.x <= r))), i -> CASE WHEN i = 0 THEN k[0].y WHEN i > {last} THEN k[{last}].y ELSE {line} END)[0]"
+        return f"greatest(0D, least(1D, transform(array({knots}), k -> transform(array({self.raw_sql(stats)}), r -> {at})[0])[0]))"
+
 
 def _sums(rows: DataFrame, model: Model) -> np.ndarray:
     """[Z'Z | Z'y] over ``rows(stats, y)``: summed by partition, then by groups of partitions."""
@@ -120,12 +146,24 @@ def _isotonic(bins) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
 
 
+def marked(labels: DataFrame, *, id: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(id, y) of the labelled rows to learn from: those whose fold is not 0, about ``max_rows`` of them at most."""
+    marks = materialise(labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).filter(fold(id) != 0).groupBy(id).agg(F.avg(label).alias("y")))
+    total = marks.count()
+    return marks.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * max_rows / total)) if total > max_rows else marks
+
+
+def train_on(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+    """A model from ``docs(id, text)`` and ``labels(id, label)``. The labelled ids are bounded by ``max_rows``, so they are
+    broadcast, no text is shuffled, and only labelled texts have statistics taken."""
+    marks = marked(labels, id=id, label=label, max_rows=max_rows)
+    known = docs.select(id, text).join(F.broadcast(marks.select(id)), id, "left_semi")
+    return train(with_statistics(known, text=text).select(id, "stats"), labels, id=id, label=label, max_rows=max_rows)
+
+
 def train(stats: DataFrame, labels: DataFrame, *, id: str = "doc_id", label: str = "quality", ridge: float = 1e-3, width: float = 3.0, max_rows: int = MAX_ROWS) -> Model:
     """A model from ``stats(id, stats)`` and ``labels(id, label)``, learning from the rows whose fold is not 0."""
-    marks = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).filter(fold(id) != 0).groupBy(id).agg(F.avg(label).alias("y"))
-    total = marks.count()
-    if total > max_rows:
-        marks = marks.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    marks = F.broadcast(marked(labels, id=id, label=label, max_rows=max_rows))
     rows = materialise(stats.select(id, "stats").join(marks, id).withColumn("fold", fold(id)))
     k = len(statistics())
     moments = rows.agg(*[f(F.col("stats")[i]) for f in (F.avg, F.stddev_pop) for i in range(k)]).first()
@@ -139,34 +177,14 @@ def train(stats: DataFrame, labels: DataFrame, *, id: str = "doc_id", label: str
     model.beta = np.linalg.solve(a + ridge * max(a[-1, -1], 1) * np.eye(len(a)), y)
     held = rows.filter("fold = 4")
     held = rows if held.isEmpty() else held
-    bins = held.withColumn("raw", raw_udf(model)("stats")).groupBy(F.round(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * 400).alias("bin")).agg(F.avg("raw"), F.count("*"), F.sum("y")).collect()
+    bins = held.withColumn("raw", F.expr(model.raw_sql("stats"))).groupBy(F.round(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * 400).alias("bin")).agg(F.avg("raw"), F.count("*"), F.sum("y")).collect()
     model.x, model.y = _isotonic([tuple(r)[1:] for r in sorted(bins)])
     return model
 
 
-def _vectors(series):
-    return np.array(series.tolist(), dtype=np.float64).reshape(len(series), -1)
-
-
-def raw_udf(model: Model):
-    @F.pandas_udf(DoubleType())
-    def raw(stats):
-        import pandas as pd
-
-        return pd.Series(model.raw(_vectors(stats)) if len(stats) else [], dtype="float64")
-
-    return raw
-
-
 def score(stats: DataFrame, model: Model, *, out: str = "score") -> DataFrame:
     """``stats`` with the calibrated score of each row."""
-    @F.pandas_udf(DoubleType())
-    def scored(stats):
-        import pandas as pd
-
-        return pd.Series(model.score(_vectors(stats)) if len(stats) else [], dtype="float64")
-
-    return stats.withColumn(out, scored("stats"))
+    return stats.withColumn(out, F.expr(model.score_sql("stats")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
