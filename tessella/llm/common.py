@@ -13,12 +13,27 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the session names in ``spark.checkpoint.dir``. Only a local master, whose
+    executors are the driver, gets a temporary folder where none is named; elsewhere that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder")
+    return (named or tempfile.mkdtemp(prefix="tessella-")).rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own, by whatever file system it is on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that no later step recomputes it and a lost executor
-    costs a reread only. A folder of our own is set only where the session names none (local tests)."""
+    costs a reread only."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

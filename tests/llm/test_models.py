@@ -253,6 +253,29 @@ def test_quality_separates_held_out_rows(spark):
     assert quality.score(stats.limit(0), model).count() == 0
 
 
+def test_quality_against_plain_ridge(spark, small):
+    """The registered query's scores from its own statistics, the model refitted with numpy on one machine."""
+    out = quality.op7_quality(spark, small)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    rows = quality.with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats", quality.fold().alias("f")).collect()
+    known = [r for r in rows if r.f and r.doc_id in marks]
+    x, y, f = np.array([r.stats for r in known]), np.array([marks[r.doc_id] for r in known], float), np.array([r.f for r in known])
+    model = quality.Model(x.mean(0), np.maximum(x.std(0), 1e-3), 3.0)
+    z = model.features(x[f != 4])
+    a = z.T @ z
+    model.beta = np.linalg.solve(a + 1e-3 * a[-1, -1] * np.eye(len(a)), z.T @ y[f != 4])
+    held = model.raw(x[f == 4])
+    bins = {}
+    for raw, label in zip(held, y[f == 4]):
+        bins.setdefault(np.floor(np.clip(raw, -1, 2) * 400 + 0.5), []).append((raw, label))
+    model.x, model.y = quality._isotonic([(np.mean([r for r, _ in v]), len(v), sum(b for _, b in v)) for _, v in sorted(bins.items())])
+    want = dict(zip([r.doc_id for r in rows], model.score(np.array([r.stats for r in rows]))))
+    for r in out.collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.3)
+
+
 def test_isotonic_is_monotone():
     x, y = quality._isotonic([(0, 1, 0), (1, 1, 1), (2, 2, 0), (3, 1, 1)])
     assert list(y) == sorted(y) and abs(y[1] - 1 / 3) < 1e-12 and len(x) == 3
