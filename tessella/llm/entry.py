@@ -1,7 +1,5 @@
 """Registered queries of the corpus operators, with SQL where SQL can express them."""
 
-import corpus_pipeline
-
 from .ann import op10_ann
 from .fingerprints import op4_fingerprints
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -14,7 +12,6 @@ from .token_counts import op8_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
@@ -27,5 +24,3 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op6_url_filter": OP6_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
