@@ -40,6 +40,11 @@ def intact(compiled: Column, deleted: Column, lost: Column) -> Column:
     return F.coalesce(compiled & (lost == 0) & (deleted <= 40), F.lit(False))
 
 
+def small_enough(ok: Column, deleted: Column, diff_lines: Column, most_deleted: int = 40, most_lines: int = 30) -> Column:
+    """Whether a fix works and is small: 60 deleted characters for a teacher's rows, 40 for fixes that are learnt from."""
+    return F.coalesce(ok & (deleted <= most_deleted) & (diff_lines <= most_lines), F.lit(False))
+
+
 def image_similarity(a: Column, b: Column, side: int = 12, block: int = 4) -> Column:
     """Mean over pages of 1 minus the normalised difference of ink in blocks; arrays of arrays of ink densities per page.
 

@@ -38,21 +38,25 @@ def content_chars(x: Column) -> Column:
     return F.length(F.regexp_replace(strip_comments(x), U + r"\s+", ""))
 
 
+# What an error message's particulars look like, in the order in which they are replaced.
+PARTICULARS = [
+    (U + r"^(?:! |\S+\.tex:\d+: )", ""),
+    (r"`[^']*'|'[^']*'|\"[^\"]*\"", "'X'"),
+    (r"\\[A-Za-z@]+", r"\\CS"),
+    (r"\{[^{}]*\}", "{X}"),
+    (U + r"\d+", "N"),
+]
+
+
 def normalize_error(x: Column) -> Column:
     """An error message with its particulars replaced: prefix, quotations, macros, groups, numbers; 70 characters, trimmed."""
-    steps = [
-        (U + r"^(?:! |\S+\.tex:\d+: )", ""),
-        (r"`[^']*'|'[^']*'|\"[^\"]*\"", "'X'"),
-        (r"\\[A-Za-z@]+", r"\\CS"),
-        (r"\{[^{}]*\}", "{X}"),
-        (U + r"\d+", "N"),
-    ]
-    for pattern, by in steps:
+    for pattern, by in PARTICULARS:
         x = F.regexp_replace(x, pattern, by)
     return strip(F.left(x, F.lit(70)))
 
 
-#: How logs name a missing file.
+# How logs name a missing file, and a character that is not set up.
+UNICODE_CHARACTER = D + r"unicode character .+? \(u\+[0-9a-f]+\)"
 FILE_NOT_FOUND = r"File `([^']+)' not found|Cannot find file `([^']+)'|Could not open file (\S+),"
 
 
@@ -67,7 +71,7 @@ def error_signature(message: Column, excerpt: Column) -> Column:
     an undefined control sequence stays; 100 characters."""
     m = F.when(message.rlike(FILE_NOT_FOUND), message).otherwise(F.regexp_replace(message, r"`[^']*'", "`<x>'"))
     m = F.lower(strip(m))
-    m = F.when(m.contains("u+fffd"), m).otherwise(F.regexp_replace(m, D + r"unicode character .+? \(u\+[0-9a-f]+\)", "unicode character <c> (u+<n>)"))
+    m = F.when(m.contains("u+fffd"), m).otherwise(F.regexp_replace(m, UNICODE_CHARACTER, "unicode character <c> (u+<n>)"))
     m = F.regexp_replace(m, U + r"\d+", "<n>")
     line = F.regexp_extract(excerpt, r"(?m)(?d)^l\.\d+.*$", 0)
     macro = F.regexp_extract(line, r"(\\[A-Za-z@]+|\\.)\s*$", 1)

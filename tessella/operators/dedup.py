@@ -39,6 +39,13 @@ def exclusion_stage(df: DataFrame, key: str, text: str, order: str, used: DataFr
     return h.withColumn("stage", stage).drop("hash_", "used_", "rejected_", "seen_", "external_", "first_")
 
 
+def without(df: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows whose key none of the others has."""
+    for other in others:
+        df = df.join(other.select(key), key, "left_anti")
+    return df
+
+
 def leak_keys(df: DataFrame, *columns: str) -> DataFrame:
     """(column, key): all non-empty values of the identifying columns."""
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in columns])

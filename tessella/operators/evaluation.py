@@ -63,3 +63,15 @@ def retry_prompts(results: DataFrame) -> DataFrame:
 
 def unanswered(samples: DataFrame) -> DataFrame:
     return samples.filter(F.trim(F.coalesce("response", F.lit(""))) == "")
+
+
+def calibration(rows: DataFrame, results: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, kind) of what a judge is calibrated on: ``human`` fixes that are small and have a reference, and ``hack``: answers that
+    compile without being strict and delete much where the human fix does not. rows(id, doc, target), results(id, response, compiled,
+    strict)."""
+    deleted = E.deleted_chars(F.col("target"))
+    added = F.aggregate(E.parse_any(F.col("target")), F.lit(0), lambda s, e: s + F.greatest(F.lit(0), E.content_chars(e["replace"]) - E.content_chars(e["search"])))
+    human = rows.filter((deleted <= 25) & (added <= 60)).join(refs.select("doc"), "doc", "left_semi").select("id", F.lit("human").alias("kind"))
+    bad = results.filter(F.col("compiled") & ~F.coalesce("strict", F.lit(False)) & (E.deleted_chars(F.col("response")) > 40))
+    hacks = bad.join(rows.filter(deleted <= 25).select("id"), "id", "left_semi").select("id", F.lit("hack").alias("kind"))
+    return human.unionByName(hacks)

@@ -97,3 +97,10 @@ def author_names(posts: DataFrame, users: DataFrame) -> DataFrame:
     """``author``: the posts' own display name, else that of its owner."""
     u = users.select(F.col("id").alias("user_"), F.col("display_name").alias("name_"))
     return posts.join(u, F.col("owner_user_id") == F.col("user_"), "left").withColumn("author", F.coalesce("owner_display_name", "name_")).drop("user_", "name_")
+
+
+def zipped(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Rows of two frames by their place within a group; what one side has more is left out. Places are given by an explicit order,
+    never by where a row happens to lie."""
+    placed = lambda df, order: df.withColumn("place_", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return placed(a, order_a).join(placed(b, order_b), [*keys, "place_"]).drop("place_")

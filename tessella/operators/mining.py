@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import U, line_count, lines, strip_tags, unescape_basic
+from tessella.functions.text import U, line_count, lines, pick_engine, strip_tags, unescape_basic
 
 # Error messages start with one of these; what a document takes from outside; what it brings along; licences that
-# allow release; stages in order; what betrays a missing resource; what a question says when something does not compile.
+# allow release; what needs a shell; stages in order; what betrays a missing resource; what a question says when something does not compile.
 ERROR_STARTS = (
     "LaTeX Error:", "LaTeX3 Error:", "Package ", "Class ", "Undefined control sequence",
     "Missing ", "Runaway argument", "Extra ", "Misplaced ", "Paragraph ended before",
@@ -35,6 +35,7 @@ BAD_PROMPT = (
     r"(?i)(?d)\x{fffd}|\.(cls|sty)' not found|cref@override@label@type|caption@setfloatcapt|"
     r"Command \\[a-zA-Z@]+ already defined.*\n.*Command \\[a-zA-Z@]+ already defined.*\n.*already defined"
 )
+SHELL = r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\b(?:minted|pythontex|gnuplottex|svg)\b|\\write18|-shell-escape"
 LICENSES = ["MIT", "Apache-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "LPPL-1.3c", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
 MAX_LINES, MAX_CHARS = 400, 14_000
 STAGES = ["broken_timeout", "broken_compiles", "no_located_error", "missing_file", "worker_error", "kept", "pool"]
@@ -83,6 +84,31 @@ def bad_prompt(x: Column) -> Column:
     return x.rlike(BAD_PROMPT)
 
 
+def within_length(x: Column, most: int = 20_000) -> Column:
+    """Whether a prompt is short enough."""
+    return F.length(x) <= most
+
+
+def shell_escape(files: Column) -> Column:
+    """Whether any file of a map needs a shell while it compiles."""
+    return F.exists(F.map_values(files), lambda t: t.rlike(SHELL))
+
+
+def engine_consistent(files: Column, root: str = "main.tex") -> Column:
+    """Whether the root alone asks for the engine that all files together ask for."""
+    return pick_engine(F.element_at(files, root)) == pick_engine(F.array_join(F.map_values(files), "\n"))
+
+
+def keeps_companions(files: Column, fixed: Column, root: str = "main.tex") -> Column:
+    """Whether a fix leaves a project one of several files: the root takes none of them in anew, and some other file still names
+    each file but the root, without its suffix."""
+    inlined = F.lit("\\begin{filecontents")
+    taken = F.contains(F.element_at(fixed, root), inlined) & ~F.contains(F.element_at(files, root), inlined)
+    stem = lambda f: F.regexp_replace(F.regexp_extract(f, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    named = lambda f: F.exists(F.map_entries(fixed), lambda e: (e["key"] != f) & F.contains(e["value"], stem(f)))
+    return ~taken & F.forall(F.filter(F.map_keys(files), lambda f: f != root), named)
+
+
 def licensed(x: Column) -> Column:
     return F.coalesce(x.isin(LICENSES), F.lit(False))
 

@@ -71,6 +71,11 @@ def kept_with_gaps(kept: Column, mark: str = "...") -> Column:
     return F.array_join(F.aggregate(kept, start, step, lambda s: s["out"]), "\n")
 
 
+def placed(df: DataFrame, keys: list[str], *order: Column, out: str = "place") -> DataFrame:
+    """Each row's place (from 1) in its group by a composite order, ascending and descending keys mixed."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def within_budget(df: DataFrame, keys: list[str], order: list[str], size: str, budget: int, most: int | None = None) -> DataFrame:
     """Rows in order up to the first that would push the total over the budget; smaller ones after it are not taken."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -165,6 +170,12 @@ def agreement(df: DataFrame, key: str, agree) -> DataFrame:
     return own.select("r.*", F.coalesce(other, F.lit(False)).alias("agreed"))
 
 
+def needs_teacher(samples: DataFrame, demos: DataFrame, key: str, good: str) -> DataFrame:
+    """Rows of ``demos`` whose prompt was sampled, without any sample that is good."""
+    failed = samples.groupBy(key).agg(F.bool_or(F.coalesce(F.col(good), F.lit(False))).alias("good_")).filter("not good_")
+    return demos.join(failed.select(key), key, "left_semi")
+
+
 def accept_reference(df: DataFrame, key: str = "doc", agreed_deleted: int = 40, judged_deleted: int = 80) -> DataFrame:
     """The accepted candidate of each document or the reason there is none.
 

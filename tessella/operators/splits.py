@@ -42,6 +42,11 @@ def frozen(df: DataFrame, key: str, assigned: DataFrame, percent: int) -> DataFr
     return out.withColumn("side", F.coalesce("old_side", "side")).drop("old_key", "old_side")
 
 
+def by_predicate(df: DataFrame, held: Column) -> DataFrame:
+    """``side`` heldout where a predicate holds; where it is null, train."""
+    return df.withColumn("side", F.when(held, "heldout").otherwise("train"))
+
+
 def lowest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
     """``side`` heldout for the n keys of lowest SHA-1: growing n keeps those chosen before."""
     chosen = df.select(key).distinct().orderBy(F.sha1(F.col(key).cast("string"))).limit(n).withColumn("side_", F.lit("heldout"))
@@ -83,13 +88,19 @@ def balanced(df: DataFrame, prompt: str, positive: Column, key: str, most: int,
     return df.withColumn("place_", place).filter(F.col("place_") <= most).drop("place_")
 
 
-def batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """``batch`` numbers of whole batches in shuffled order; the remainder is dropped. Rows are numbered by ranges of the draw, so no
-    task sees them all."""
+def of_each(df: DataFrame, kind: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """A drawn sample of n rows of each kind."""
+    place = F.row_number().over(W.partitionBy(kind).orderBy(drawn(key, seed), key))
+    return df.withColumn("place_", place).filter(F.col("place_") <= n).drop("place_")
+
+
+def batches(df: DataFrame, key: str, size: int, seed: int = 0, rows_a_cell: int = 100_000) -> DataFrame:
+    """``batch`` numbers of whole batches in shuffled order; the remainder is dropped. Rows are numbered by ranges of the draw, whose
+    number grows with the rows, so no task sees more than a share of them."""
     n = df.count()
-    cells = F.conv(F.left(drawn(key, seed), F.lit(3)), 16, 10).cast("int")
-    marked = df.withColumn("cell_", cells)
-    before = marked.groupBy("cell_").count().withColumn("before_", F.sum("count").over(W.orderBy("cell_").rowsBetween(W.unboundedPreceding, -1)))  # 4,096 rows
+    digits = min(5, max(1, len(f"{n // rows_a_cell:x}")))
+    marked = df.withColumn("cell_", F.conv(F.left(drawn(key, seed), F.lit(digits)), 16, 10).cast("int"))
+    before = marked.groupBy("cell_").count().withColumn("before_", F.sum("count").over(W.orderBy("cell_").rowsBetween(W.unboundedPreceding, -1)))  # at most 16 ** 5 rows
     place = F.coalesce("before_", F.lit(0)) + F.row_number().over(W.partitionBy("cell_").orderBy(drawn(key, seed), key)) - 1
     out = marked.join(F.broadcast(before.drop("count")), "cell_").withColumn("place_", place)
     return out.filter(F.col("place_") < n // size * size).withColumn("batch", F.floor(F.col("place_") / size)).drop("cell_", "before_", "place_")

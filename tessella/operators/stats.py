@@ -32,27 +32,40 @@ def bucket(x: Column, edges: list[int]) -> Column:
     return F.when(x < edges[0], f"<{edges[0]}").otherwise(out)
 
 
-def index_percentile(x: Column, share: float) -> Column:
-    """The sorted values' element at ``int(n * share)``: no interpolation, the upper median at 0.5."""
-    s = F.sort_array(F.collect_list(x))
-    return F.get(s, F.least(F.floor(F.size(s) * F.lit(share)), F.size(s) - 1).cast("int"))
+def percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
+    """The sorted values' elements at ``int(n * share)`` of whole groups: no interpolation, the upper median at 0.5."""
+    return _at_ranks(df, keys, x, {f"p{round(s * 100)}": lambda n, s=s: F.least(F.floor(n * F.lit(s)), n - 1) for s in shares})
 
 
-def rounded_percentile(x: Column, percent: float) -> Column:
-    """The element at the rank rounded half to even."""
-    s = F.sort_array(F.collect_list(x))
-    return F.get(s, F.least(F.size(s) - 1, F.bround((F.size(s) - 1) * F.lit(percent / 100), 0)).cast("int"))
+def rounded_percentiles(df: DataFrame, keys: list[str], x: str, percents: list[float]) -> DataFrame:
+    """The values at the ranks rounded half to even, of whole groups without gathering them."""
+    return _at_ranks(df, keys, x, {f"p{round(p)}": lambda n, p=p: F.least(n - 1, F.bround((n - 1) * F.lit(p / 100), 0)) for p in percents})
 
 
-def percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
-    """Index percentiles of whole groups without gathering them: counts of distinct values, then a running count over those."""
+def _at_ranks(df: DataFrame, keys: list[str], x: str, ranks: dict) -> DataFrame:
+    """The values at ranks (from 0) that follow from a group's size: counts of distinct values, then a running count over those."""
     from pyspark.sql import Window as W
 
     counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("c_"))
     w = W.partitionBy(*keys).orderBy(x)
     run = counts.withColumn("upto_", F.sum("c_").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n_", F.sum("c_").over(W.partitionBy(*keys)))
-    at = lambda s: F.least(F.floor(F.col("n_") * F.lit(s)), F.col("n_") - 1)
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto_") > at(s), F.col(x))).alias(f"p{round(s * 100)}") for s in shares])
+    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto_") > rank(F.col("n_")), F.col(x))).alias(name) for name, rank in ranks.items()])
+
+
+def agreed(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(n, n_agreed): rows, and those whose two columns are equal as they are given."""
+    return df.agg(F.count("*").alias("n"), F.count_if(a == b).alias("n_agreed"))
+
+
+def error_prefix(x: Column, n: int = 25) -> Column:
+    """What two error messages are held against each other by: up to the first quote, ``n`` characters."""
+    return F.left(F.substring_index(x, "'", 1), F.lit(n))
+
+
+def any_and_all(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """Per group, whether any and whether every row has a flag; a missing flag is false."""
+    f = F.coalesce(F.col(flag), F.lit(False))
+    return df.groupBy(*keys).agg(F.bool_or(f).alias(f"any_{flag}"), F.bool_and(f).alias(f"all_{flag}"))
 
 
 def rates(df: DataFrame, keys: list[str], *flags: str) -> DataFrame:

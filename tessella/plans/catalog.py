@@ -8,21 +8,10 @@ from tessella.functions import edits as E
 from tessella.functions import rewards as R
 from tessella.functions import text as X
 from tessella.operators import dedup, joins, selection, splits, stats
+from tessella.plans import reports
 from tessella.sources.tables import table
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE, QUERIES, query
 
 @query("funnel_by_source", "SELECT source, count(*) AS n_docs, sum(length(text)) AS n_chars_total FROM documents GROUP BY source")
 def funnel_by_source(spark, sf_dir):
@@ -33,67 +22,6 @@ def funnel_by_source(spark, sf_dir):
 # --- predicates and projections
 
 
-@query("flt02_contains_both", "SELECT doc_id FROM documents WHERE contains(text, 'the') AND contains(text, 'ing')")
-def flt02(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").contains("the") & F.col("text").contains("ing")).select("doc_id")
-
-
-@query(
-    "flt03_size_caps",
-    "SELECT lang, count(*) AS n, sum(CASE WHEN length(text) - length(replace(text, chr(10), '')) > 400 OR length(text) > 14000 THEN 1 ELSE 0 END) AS n_rejected FROM documents GROUP BY lang",
-)
-def flt03(spark, sf_dir):
-    over = (X.line_count(F.col("text")) - 1 > 400) | (F.length("text") > 14000)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(over).alias("n_rejected"))
-
-
-@query("flt04_marked_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z][a-z]+ed '))) AS n_marked FROM documents")
-def flt04(spark, sf_dir):
-    marked = F.filter(X.lines(F.col("text")), lambda x: x.rlike("^[A-Z][a-z]+ed "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(marked).alias("n_marked"))
-
-
-@query("flt05_first_mention", "SELECT doc_id, lower(trim(regexp_extract(text, '(?i)license[a-z]*|token', 0))) AS mention FROM documents WHERE regexp_matches(text, '(?i)license[a-z]*|token')")
-def flt05(spark, sf_dir):
-    p = "(?i)license[a-z]*|token"
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(p)).select("doc_id", F.lower(F.trim(F.regexp_extract("text", p, 0))).alias("mention"))
-
-
-@query(
-    "flt06_longest_line",
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) "
-    "SELECT doc_id, arg_min(line, row(-length(line), pos)) AS longest FROM l GROUP BY doc_id",
-)
-def flt06(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("pos", "longest"))
-    return selection.best_row(each, ["doc_id"], -F.length("longest"), F.col("pos")).select("doc_id", "longest")
-
-
-@query("flt10_length_filter", "SELECT doc_id, n_chars FROM documents WHERE length(text) <= 2000")
-def flt10(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.length("text") <= 2000).select("doc_id", "n_chars")
-
-
-@query(
-    "flt16_group_filter",
-    "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) BETWEEN 1 AND 4 AND bool_and(l_returnflag <> 'R') AND sum(l_quantity) <= 100",
-)
-def flt16(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.bool_and(F.col("l_returnflag") != "R").alias("ok"), F.sum("l_quantity").alias("q"))
-    return g.filter(F.col("n").between(1, 4) & F.col("ok") & (F.col("q") <= 100)).select("l_orderkey", "n")
-
-
-@query("prj01_page_blocks", "SELECT page_id, len(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS n_blocks, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: length(x))), 0)::BIGINT AS n_chars FROM pages")
-def prj01(spark, sf_dir):
-    blocks = F.regexp_extract_all("html", F.lit("(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(blocks).alias("n_blocks"), F.aggregate(blocks, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
-
-
-@query("prj07_references", "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS ref FROM pages")
-def prj07(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("ref"))
-
-
 # --- text functions
 
 
@@ -217,11 +145,6 @@ def edit09(spark, sf_dir):
     return _responses(spark, sf_dir).select("doc_id", E.deleted_chars(r).alias("deleted"), E.edit_size(r).alias("size"))
 
 
-@query("edit16_diff_lines", "SELECT doc_id, 2 AS diff_lines FROM documents")
-def edit16(spark, sf_dir):
-    return _responses(spark, sf_dir).select("doc_id", E.diff_lines_of(E.parse_edits(F.col("response"))).alias("diff_lines"))
-
-
 # --- joins
 
 
@@ -299,11 +222,6 @@ def agg03(spark, sf_dir):
     return stats.element_histogram(table(spark, sf_dir, "part"), F.split("p_type", " "))
 
 
-@query("agg04_years", "SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS n FROM orders GROUP BY 1")
-def agg04(spark, sf_dir):
-    return table(spark, sf_dir, "orders").withColumn("year", F.left(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(4))).groupBy("year").agg(F.count("*").alias("n"))
-
-
 @query("agg05_buckets", "SELECT CASE WHEN l_quantity < 2 THEN '<2' WHEN l_quantity < 5 THEN '2-4' WHEN l_quantity < 20 THEN '5-19' ELSE '>=20' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
 def agg05(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(stats.bucket(F.col("l_quantity"), [2, 5, 20]).alias("bucket")).agg(F.count("*").alias("n"))
@@ -797,4 +715,11 @@ SELECT stage, count(*) AS n, coalesce(list_position(['used', 'rejected', 'extern
 def rpt01(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     staged = dedup.exclusion_stage(d, "doc_id", "text", "doc_id", d.filter("doc_id % 11 = 0"), d.limit(0), F.col("text").contains("token"), d.limit(0))
-    return stats.funnel(staged, ["used", "rejected", "external", "dup", "kept"]).withColumn("place", F.col("place").cast("int"))
+    empty = d.limit(0).select(F.lit("").alias("error_category"), F.array(F.lit("")).alias("tags"), F.lit("").alias("created"), F.lit(0).alias("diff_lines"))
+    report = reports.mining_report(staged, empty, ["used", "rejected", "external", "dup", "kept"])
+    return report["funnel"].withColumn("place", F.col("place").cast("int"))
+
+
+from . import inventory  # noqa: E402 - fills the same registry
+
+__all__ = ["ORACLE", "QUERIES", "inventory"]

@@ -58,10 +58,10 @@ def post_attributes(spark: SparkSession, path: str, ids: DataFrame | None = None
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
-    """(project, path, text) of the text files under ``root/<project>/``, build outputs left out."""
+    """(project, path, text) of the text files under ``root/<project>/``, build outputs left out; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rest = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^\\Q" + root.rstrip("/") + "\\E/", "")
-    out = files.select(F.substring_index(rest, "/", 1).alias("project"), F.regexp_extract(rest, "^[^/]*/(.*)$", 1).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    out = files.select(F.substring_index(rest, "/", 1).alias("project"), F.regexp_extract(rest, "^[^/]*/(.*)$", 1).alias("path"), F.expr("make_valid_utf8(cast(content AS string))").alias("text"))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     return out.filter(suffix.isin(*TEXT_SUFFIXES) & ~suffix.isin(*BUILD_SUFFIXES))
 

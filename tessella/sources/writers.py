@@ -30,7 +30,8 @@ def routed(df: DataFrame, path: str, route: Column) -> None:
 
 def json_map(df: DataFrame, key: str, path: str) -> None:
     """JSON objects of the rows by key, one object a part."""
-    entry = F.concat(F.lit('"'), F.replace(F.col(key), F.lit('"'), F.lit('\\"')), F.lit('":'), F.to_json(F.struct(*[c for c in df.columns if c != key])))
+    name = F.regexp_extract(F.to_json(F.struct(F.col(key).cast("string").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    entry = F.concat(name, F.lit(":"), F.to_json(F.struct(*[c for c in df.columns if c != key])))
     df.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value")).select("value").write.text(path)
 
 

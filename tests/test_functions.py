@@ -105,7 +105,7 @@ def test_logs_and_prompts(spark):
     short = [(x["severity"], x["file"], x["line"]) for x in items]
     assert short == [("error", "sections/intro.tex", 12), ("warning", "main.tex", 7), ("badbox", "main.tex", 3), ("error", "main.tex", 20), ("error", "main.tex", 12)]
     assert items[0]["message"] == "Undefined control sequence \\foo" and items[1]["fileFromLog"]
-    assert L.parse_log("error: x")[0]["message"] == "Compile failed" and L.parse_log("") == [] == L.parse_log(None)
+    assert L.parse_log("error: x")[0]["message"] == "Compile failed (see log)" and L.parse_log("") == [] == L.parse_log(None)
     files = F.array(F.lit("main.tex"), F.lit("sections/intro.tex"))
     df = spark.createDataFrame([(LOG, "\n".join(f"s{i}" for i in range(1, 200)))], "log string, source string")
     df = df.withColumn("e", L.error_lines(L.parse_log_udf("log", F.lit("main.tex")), F.lit("main.tex"), files))
