@@ -2,13 +2,19 @@
 
 A transducer reads the bytes of one pre-token. Its state holds the longest suffix read that begins some token, and the last token
 of the encoding at each position of that suffix: all that can matter for what follows, and so finitely many states. A transition
-carries the change in the number of tokens that one more byte makes. Transitions are compiled when first taken and kept.
+carries the change in the number of tokens that one more byte makes. The vocabulary has far more transitions than texts use, so they
+are compiled when first taken and kept (up to ``MAX_STATES`` states, then started anew).
 
 The last token of an encoding that grew by a byte is the one token that ends there and that may follow the last token of what
 stands before it; two tokens may follow each other if encoding their joined bytes gives them back.
 
-A long text is read in chunks. Each chunk becomes a map (head, count, tail): the characters before its first and after its last
-certain token border, and the tokens between. Maps compose associatively, so chunks are joined by a parallel prefix scan.
+Around it, a transducer over characters finds the borders of pre-tokens: its state is (kind of run, state within the pre-token,
+characters that wait for what follows), so contractions and the last blank of a run need no look-ahead. ``step`` is its transition.
+A pre-token that is read from its start to its end is one transition of its own, kept in a memo.
+
+A long text is read in chunks. Each chunk becomes a map from the state before it to (state after it, tokens emitted). After the first
+change of character class the state is the same for all states before, so a chunk is read once, and only its head once for each
+state that reaches it. Maps compose associatively, and a prefix scan by doubling steps gives the count up to the end of each chunk.
 
 Defined results: a null or empty text has no tokens; special strings in a text count as one token each; texts of any length are
 read whole; extra columns are carried along, and columns named like the new ones are replaced.
@@ -32,6 +38,38 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 CHUNK, MAX_STATES, MAX_MEMO = 1 << 16, 150_000, 400_000
+# Fixed values of the pre-token format: how contractions go on after the apostrophe.
+CONTRACTIONS = {"s", "t", "m", "d", "re", "ve", "ll"}
+START = ("start", 0, "")
+
+
+class StateMap:
+    """A map from states to (state, tokens), worked out for the states that reach it."""
+
+    def __init__(self, of):
+        self.of, self.known = of, {}
+
+    def __call__(self, state):
+        if (got := self.known.get(state)) is None:
+            got = self.known[state] = self.of(state)
+        return got
+
+    def then(self, other: "StateMap") -> "StateMap":
+        def both(state):
+            middle, n = self(state)
+            last, m = other(middle)
+            return last, n + m
+
+        return StateMap(both)
+
+
+def prefix_scan(maps: list[StateMap]) -> list[StateMap]:
+    """Each map composed with all before it: log n rounds, in each of which all compositions are independent."""
+    d = 1
+    while d < len(maps):
+        maps = [maps[i - d].then(m) if i >= d else m for i, m in enumerate(maps)]
+        d *= 2
+    return maps
 
 
 class Transducer:
@@ -51,7 +89,11 @@ class Transducer:
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pieces = regex.compile(PRE_TOKEN).findall
-        self.border = re.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+        # Where the state is the same whatever came before: class changes, but for blanks and what an apostrophe may begin.
+        change = rf"(?<=\p{{L}})(?=\P{{L}})|(?<=\p{{N}})(?=\P{{N}})|(?<=[^{SPACE}\p{{L}}\p{{N}}'])(?=[{SPACE}\p{{L}}\p{{N}}])|(?<=')(?=[{SPACE}\p{{N}}])"
+        self.border, self.last_border = regex.compile(change), regex.compile("(?r)" + change)
+        self.is_kind = [(kind, regex.compile(f"[{chars}]").match) for kind, chars in (("space", SPACE), ("letters", r"\p{L}"), ("numbers", r"\p{N}"))]
+        self.kinds: dict[str, str] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -101,49 +143,107 @@ class Transducer:
         if (new := self.ids.get(key)) is None:
             new = self.ids[key] = len(self.states)
             self.states.append(key)
+        if not -128 <= emitted < 128:
+            raise OverflowError(f"a byte changes the count by {emitted}")
         step = self.steps[state << 8 | byte] = new << 16 | emitted + 128 << 8
         return step
 
     def run(self, piece: str) -> int:
-        n, at, steps = 0, 0, self.steps
+        return self.feed(0, piece)[1]
+
+    def feed(self, state: int, piece: str) -> tuple[int, int]:
+        """(state, change of the count) after more characters of one pre-token."""
+        n, at, steps = 0, state << 8, self.steps
         for b in piece.encode("utf-8", "surrogatepass"):
             step = steps.get(at | b)
             if step is None:
                 step = self.compile(at >> 8, b)
             n += (step >> 8 & 255) - 128
             at = step >> 16 << 8
-        return n
+        return at >> 8, n
+
+    def kind(self, c: str) -> str:
+        if (known := self.kinds.get(c)) is None:
+            if len(self.kinds) > MAX_MEMO:
+                self.kinds.clear()
+            known = self.kinds[c] = next((k for k, fits in self.is_kind if fits(c)), "others")
+        return known
+
+    def step(self, state, c: str):
+        """(state, tokens) after one more character of a text."""
+        run, at, waiting = state
+        kind = self.kind(c)
+        if run == "apostrophe":
+            said = waiting + c
+            if said in CONTRACTIONS:
+                return START, self.run("'" + said)
+            if any(x.startswith(said) for x in CONTRACTIONS):
+                return ("apostrophe", 0, said), 0
+            at, n = self.feed(0, "'")
+            if not waiting:
+                after, m = self.step(("others", at, ""), c)
+                return after, n + m
+            at, m = self.feed(0, waiting)
+            after, k = self.step(("letters", at, ""), c)
+            return after, n + m + k
+        if run == "space":
+            if kind == "space":
+                at, n = self.feed(at, waiting)
+                return ("space", at, c), n
+            if waiting == " ":
+                at, n = self.feed(0, waiting + c)
+                return (kind, at, ""), n
+            after, n = self.step(START, c)
+            return after, n + self.run(waiting)
+        if run == kind:
+            at, n = self.feed(at, c)
+            return (kind, at, ""), n
+        if c == "'":
+            return ("apostrophe", 0, ""), 0
+        if kind == "space":
+            return ("space", 0, c), 0
+        at, n = self.feed(0, c)
+        return (kind, at, ""), n
+
+    def finish(self, state) -> int:
+        """Tokens that the waiting characters make at a text's end, or before a border."""
+        run, at, waiting = state
+        if run == "apostrophe":
+            return self.run("'") + (self.run(waiting) if waiting else 0)
+        return self.feed(at, waiting)[1]
+
+    def read(self, state, text: str):
+        n = 0
+        for c in text:
+            state, m = self.step(state, c)
+            n += m
+        return state, n
 
     def tokens(self, text: str) -> int:
-        if len(self.states) > MAX_STATES:
-            self.reset()
         return sum(map(self.memo.__getitem__, self.pieces(text)))
 
-    def chunk_map(self, text: str):
-        """(head, count, tail), or (text, None, None) where the chunk has no certain border."""
+    def chunk_map(self, text: str) -> StateMap:
         first = self.border.search(text)
         if first is None:
-            return text, None, None
-        last = first.start()
-        for m in self.border.finditer(text, max(first.start(), len(text) - 4096)):
-            last = m.start()
-        return text[: first.start()], self.tokens(text[first.start() : last]), text[last:]
-
-    def compose(self, a, b):
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        return (a[0], a[1] + self.tokens(a[2] + b[0]) + b[1], b[2])
+            return StateMap(lambda state: self.read(state, text))
+        first, last = first.start(), self.last_border.search(text).start()
+        head = text[:first]
+        after, rest = self.read(START, text[last:])
+        rest += self.tokens(text[first:last])
+
+        def of(state):
+            state, n = self.read(state, head)
+            return after, n + self.finish(state) + rest
+
+        return StateMap(of)
 
     def plain(self, text: str) -> int:
+        if len(self.states) > MAX_STATES:  # never between the chunks of a text, whose maps hold states
+            self.reset()
         if len(text) <= CHUNK:
             return self.tokens(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return self.tokens(head) + (n + self.tokens(tail) if n is not None else 0)
+        state, n = prefix_scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1](START)
+        return n + self.finish(state)
 
     def count(self, text: str | None) -> int:
         if not text:

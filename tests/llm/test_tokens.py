@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from fixtures import documents, texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import sentencepiece_codec as spc
@@ -33,6 +34,20 @@ def test_transducer_counts_as_the_library(bpe, monkeypatch):
     assert machine.count(None) == machine.count("") == 0
 
 
+def test_character_transducer_and_scan(bpe):
+    machine = tc.Transducer(bpe[0])
+    for x in fuzz(1500, 21) + ["'r", "'re", "'rx", "''s", " 's", "a'll", "'", "x'", " \n a", "\n\na", "  ", "5'd6", "日本。語a1!", "don't we've I'LL 'T"]:
+        state, n = machine.read(tc.START, x)
+        want = machine.tokens(x)
+        assert n + machine.finish(state) == want, x
+        maps = tc.prefix_scan([machine.chunk_map(x[i : i + 3]) for i in range(0, len(x), 3)])
+        for k, m in enumerate(maps):
+            state, n = m(tc.START)
+            assert n + machine.finish(state) == machine.tokens(x[: 3 * k + 3]), (x, k)
+    long = "ab" * 200_000
+    assert machine.count(long) == len(bpe[1].encode(long).ids)
+
+
 def test_count_tokens_frame(spark, bpe):
     docs = documents(spark)
     got = tc.count_tokens(docs, bpe[0]).collect()
@@ -51,3 +66,12 @@ def test_pieces_as_the_library(spark):
     want = [(len(i), sha(",".join(map(str, i))), sha(sp.decode(i))) for i in (sp.encode(t or "") for t in texts())]
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     assert spc.encode_texts(documents(spark, []), path).count() == 0
+
+
+def test_clashing_columns_and_registered_queries(spark, small):
+    path, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    odd = documents(spark).withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit("x"))
+    assert dict(tc.count_tokens(odd, path).dtypes)["n_tokens"] == "bigint" and tc.count_tokens(odd, path).count() == odd.count()
+    assert spc.encode_texts(odd, model).count() == odd.count()
+    assert tc.op8_token_counts(spark, small).dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]
+    assert spc.op9_sentencepiece(spark, small).dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
