@@ -65,82 +65,139 @@ def swapped(rng: random.Random, word: str) -> str:
     return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
 
 
+# Macros that a typo leaves alone; environments that a wrong end names; macros whose argument loses its brace; what the
+# places of the mutations look like; keys of drawings; lengths that lose their number.
+SKIPPED = {
+    "begin", "end", "documentclass", "usepackage", "newcommand", "renewcommand", "providecommand", "newenvironment", "input",
+    "include", "bibliography", "bibliographystyle", "RequirePackage", "LoadClass", "ProvidesPackage",
+}
+ENVIRONMENTS = ["itemize", "enumerate", "figure", "table", "equation", "align", "center", "abstract"]
+MACRO = r"\\([a-zA-Z]{4,})"
+DOLLARS = r"(?<!\$)\$([^$\n]{2,80})\$(?!\$)"
+ARGUMENT = (
+    r"\\(textbf|textit|textsc|texttt|emph|underline|footnote|mbox|section|subsection|"
+    r"subsubsection|paragraph|caption|title|author|thanks|mathrm|mathbf|text|label|cite|ref)"
+    r"\{([^{}\n]{2,60})\}"
+)
+END, BEGIN = r"\\end\{([a-zA-Z*]+)\}", r"\\begin\{([a-zA-Z]{4,})\}"
+PACKAGE = r"(?m)^[ \t]*\\usepackage(\[[^\]]*\])?\{[^}]+\}[^\n]*\n"
+DEFINITION = r"(?m)^[ \t]*\\(?:newcommand|providecommand|DeclareMathOperator\*?)\{?\\([a-zA-Z]+)\}?[^\n]*\n"
+BODY = r"(?m)^[ \t]*\\(?:newcommand|renewcommand)\{?\\([a-zA-Z]+)\}?(?:\[\d+\])?\{(.+)\}[ \t]*$"
+TITLE = r"\\(?:section|subsection)\{([^{}\n]{8,60})\}"
+INPUT, GRAPHICS, BIB_STYLE = r"\\(?:input|include)\{([^}]+)\}", r"\\includegraphics\s*(?:\[[^\]]*\])?\s*\{([^{}]+)\}", r"\\bibliographystyle\{([^}]+)\}"
+BIB_ENTRY, CITED = r"(?m)^@\w+\s*\{([^,]+),\n(?:.*\n)*?\}\s*$", r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{([^}]+)\}"
+STYLE_BODY = r"(?m)^[ \t]*\\(?:newcommand|renewcommand|providecommand|def)\s*\\([a-zA-Z]+)[^\n]*\{([^\n]*)\}[ \t]*$"
+LENGTH = r"(\\(?:hspace|vspace|rule|setlength\{\\[a-zA-Z]+\}|addtolength\{\\[a-zA-Z]+\}|hskip|vskip|kern)\*?\{?)(-?\d*\.?\d+)(\s*(?:cm|em|ex|pt|mm|in|bp)\b)"
+DRAWING = r"\\begin\{(?:tikzpicture|axis)\}|\\tikz\b|\\pgfplotsset"
+DRAWING_KEY = (
+    r"\b(line width|node distance|minimum width|minimum height|inner sep|outer sep|text width|"
+    r"rounded corners|column sep|row sep|xshift|yshift|opacity|anchor|fill|draw|scale|font|"
+    r"xlabel|ylabel|legend pos|ymode|xmode|width|height|mark|color)\s*="
+)
+PARAMETER = r"(?m)^[ \t]*\\(?:newcommand|renewcommand|providecommand)\*?\{?\\([a-zA-Z]+)\}?(\[\d\])[^\n]*\{[^\n]*#1[^\n]*\}[ \t]*$"
+REMARK = r"(?m)^[ \t]*(%+[ \t]*)[A-Za-z][A-Za-z ,.'-]{20,}[ \t]*$"
+TRIES = 20
+
+
+def uses(text: str, name: str) -> int:
+    return len(re.findall(rf"\\{name}\b", text))
+
+
 @mutation
 def typo_macro(text, rng) -> Iterator:
-    for m in shuffled(rng, re.finditer(r"\\([a-zA-Z]{4,})", text)):
-        if m.group(1) not in ("begin", "end", "documentclass"):
+    """Two letters of a macro of the body exchanged."""
+    for m in shuffled(rng, re.finditer(MACRO, text)):
+        if m.start() > body_start(text) and m.group(1) not in SKIPPED:
             yield m.start(1), m.end(1), swapped(rng, m.group(1))
 
 
-@mutation
-def drop_dollar(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?<!\\)\$", text[body_start(text) :])):
-        yield m.start() + body_start(text), m.end() + body_start(text), ""
+def _cut(pattern: str):
+    """Mutations that take the last character of a place away."""
 
+    def gen(text, rng):
+        for m in shuffled(rng, re.finditer(pattern, text)):
+            yield m.end() - 1, m.end(), ""
 
-@mutation
-def drop_brace(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?<!\\)\}", text)):
-        yield m.start(), m.end(), ""
+    return gen
+
+
+MUTATIONS["drop_dollar"], MUTATIONS["drop_brace"] = _cut(DOLLARS), _cut(ARGUMENT)
 
 
 @mutation
 def extra_brace(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?m)\S[ \t]*$", text[body_start(text) :]))[:20]:
-        yield m.end() + body_start(text), m.end() + body_start(text), "}"
+    """A closing brace too many at the end of a line of the body."""
+    ends = [m for m in re.finditer(r"[^\s\\%{}](?=\n)", text) if m.start() > body_start(text)]
+    for m in shuffled(rng, ends)[:TRIES]:
+        yield m.end(), m.end(), "}"
 
 
 @mutation
 def env_mismatch(text, rng):
-    for m in shuffled(rng, re.finditer(r"\\end\{([a-zA-Z*]+)\}", text)):
+    """An environment that ends under another name."""
+    for m in shuffled(rng, re.finditer(END, text)):
         if m.group(1) != "document":
-            yield m.start(1), m.end(1), rng.choice([x for x in ("itemize", "center", "table", "equation") if x != m.group(1)])
+            yield m.start(1), m.end(1), rng.choice([x for x in ENVIRONMENTS if x != m.group(1)])
 
 
 @mutation
 def typo_begin_env(text, rng):
-    for m in shuffled(rng, re.finditer(r"\\begin\{([a-zA-Z]{4,})\}", text)):
+    """Two letters of the name that an environment begins with exchanged."""
+    for m in shuffled(rng, re.finditer(BEGIN, text)):
         if m.group(1) != "document":
             yield m.start(1), m.end(1), swapped(rng, m.group(1))
 
 
 @mutation
 def drop_usepackage(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?m)^\\usepackage(?:\[[^\]]*\])?\{[^}]+\}", text)):
-        yield m.start(), m.end(), "% " + "removed"
+    """A package's line gone."""
+    for m in shuffled(rng, re.finditer(PACKAGE, text)):
+        yield m.start(), m.end(), ""
 
 
 @mutation
 def extra_amp(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?<!\\)&", text)):
-        yield m.start(), m.end(), "& &"
+    """An alignment mark between two words of the body."""
+    gaps = [m for m in re.finditer(r"(?<=[a-z]) (?=[a-z])", text) if m.start() > body_start(text)]
+    for m in shuffled(rng, gaps)[:TRIES]:
+        yield m.start(), m.start(), " &"
 
 
 @mutation
 def drop_newcommand(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?m)^\\newcommand\*?\{?(\\[a-zA-Z]+)\}?.*$", text)):
-        if m.group(1) in text[m.end() :]:
-            yield m.start(), m.end(), "% removed"
+    """The line of a definition gone that is used."""
+    for m in shuffled(rng, re.finditer(DEFINITION, text)):
+        if uses(text, m.group(1)) > 1:
+            yield m.start(), m.end(), ""
 
 
 @mutation
 def at_distance(text, rng):
-    for m in shuffled(rng, re.finditer(r"\\newcommand\*?\{?(\\[a-zA-Z]+)\}?(?:\[\d\])?\{([^{}]+)\}", text)):
-        if len(re.findall(re.escape(m.group(1)) + r"(?![a-zA-Z])", text)) >= 3:
-            yield m.end(2), m.end(2), "\\undefinedmacro"
+    """A typo within a definition that is used twice or more: the errors come up where it is used."""
+    for m in shuffled(rng, re.finditer(BODY, text)):
+        inner = re.compile(MACRO).search(text, m.start(2), m.end(2))
+        if inner and uses(text, m.group(1)) > 2:
+            yield inner.start(1), inner.end(1), swapped(rng, inner.group(1))
 
 
 @mutation
 def option_clash(text, rng):
-    for m in shuffled(rng, re.finditer(r"(?m)^\\usepackage(?:\[[^\]]*\])?\{([a-zA-Z]+)\}", text)):
-        yield m.end(), m.end(), f"\n\\usepackage[clashing]{{{m.group(1)}}}"
+    """A package loaded once more with another option."""
+    for m in shuffled(rng, re.finditer(PACKAGE, text)):
+        name = re.search(r"\{([^}]+)\}", m.group()).group(1)
+        if "," not in name:
+            yield m.end() - 1, m.end() - 1, f"\n\\usepackage[draft]{{{name}}}"
 
 
 @mutation
 def fragile_cmd(text, rng):
+    """A footnote in a title that goes to the table of contents."""
     if "\\tableofcontents" in text:
-        for m in shuffled(rng, re.finditer(r"\\(?:sub)*section\*?\{", text)):
-            yield m.end(), m.end(), "\\footnote{x}"
+        for m in shuffled(rng, re.finditer(TITLE, text)):
+            yield m.end(1), m.end(1), "\\footnote{see appendix}"
+
+
+HARD = ["at_distance", "fragile_cmd", "option_clash"]
 
 
 def make_break(text: str, name: str, seed: int) -> dict | None:
@@ -172,85 +229,145 @@ def make_breaks(text: str, k: int, seed: int) -> list[dict] | None:
 # --- mutations of projects: (files, rng) -> (file, start, end, by)
 
 
-def _children(files: dict[str, str], root: str = "main.tex") -> list[str]:
-    return sorted(f for f in files if f.endswith(".tex") and f != root)
+def children(files: dict[str, str], root: str = "main.tex") -> list[str]:
+    """Sources that the root takes in, comments apart: what nothing reads cannot break a build."""
+    live = re.sub(r"(?<!\\)%.*", "", files.get(root, ""))
+    named = [m.strip() for m in re.findall(INPUT, live)]
+    return [f for f in dict.fromkeys(x if x.endswith(".tex") else x + ".tex" for x in named) if f in files]
 
 
-@project_mutation
-def child_error(files, rng):
-    for f in shuffled(rng, _children(files)):
-        for name in rng.sample(sorted(MUTATIONS), len(MUTATIONS)):
-            for x in MUTATIONS[name](files[f], rng):
-                yield (f, *x)
+def _styles(files):
+    return [f for f in files if f.endswith((".sty", ".cls"))]
 
 
-@project_mutation
-def sty_macro(files, rng):
-    for f in shuffled(rng, sorted(x for x in files if x.endswith((".sty", ".cls")))):
-        for x in drop_newcommand(files[f], rng):
-            yield (f, *x)
+def _parts(files):
+    return list(dict.fromkeys([*children(files), *_styles(files)]))
+
 
+def lifted(name: str):
+    """A single-file mutation on one of the root's children."""
 
-def _argument(pattern: str):
     def gen(files, rng):
-        for f in shuffled(rng, sorted(x for x in files if x.endswith(".tex"))):
-            for m in shuffled(rng, re.finditer(pattern, files[f])):
-                yield f, m.start(1), m.end(1), swapped(rng, m.group(1))
+        for f in shuffled(rng, children(files))[:1]:
+            for x in MUTATIONS[name](files[f], rng):
+                yield (f, *x)
 
     return gen
 
 
-PROJECT_MUTATIONS["input_path"] = _argument(r"\\(?:input|include)\{([^}]+)\}")
-PROJECT_MUTATIONS["graphics_path"] = _argument(r"\\includegraphics(?:\[[^\]]*\])?\{([^}]+)\}")
-PROJECT_MUTATIONS["bib_style"] = _argument(r"\\bibliographystyle\{([^}]+)\}")
+EASY = sorted(set(MUTATIONS) - set(HARD))
 
 
 @project_mutation
-def bib_entry(files, rng):
-    for f in shuffled(rng, sorted(x for x in files if x.endswith(".bib"))):
-        for m in shuffled(rng, re.finditer(r"(?m)^\s*\w+\s*=\s*[{\"].*[}\"](,)\s*$", files[f])):
-            yield f, m.start(1), m.end(1), ""
+def child_error(files, rng):
+    """Any of the easy mutations on one of the root's children."""
+    yield from lifted(rng.choice(EASY))(files, rng)
 
 
 @project_mutation
-def preamble_drop(files, rng):
-    for x in drop_usepackage(files.get("main.tex", ""), rng):
-        yield ("main.tex", *x)
+def sty_macro(files, rng):
+    """A typo within a macro of a style that another file uses; a project's own macro files first, classes last."""
+    for f in sorted(_styles(files), key=lambda f: (f.endswith(".cls"), "macro" not in f.lower(), f)):
+        for m in list(re.finditer(STYLE_BODY, files[f]))[:50]:
+            inner = re.compile(MACRO).search(files[f], m.start(2), m.end(2))
+            if inner and any(uses(t, m.group(1)) for g, t in files.items() if g != f):
+                yield f, inner.start(1), inner.end(1), swapped(rng, inner.group(1))
 
 
-@project_mutation
-def missing_number(files, rng):
-    for f in shuffled(rng, _children(files) or ["main.tex"]):
-        for m in shuffled(rng, re.finditer(r"\\(?:vspace|hspace)\*?\{([^}]+)\}", files.get(f, ""))):
-            yield f, m.start(1), m.end(1), "cm"
+def _stem(m) -> tuple[int, int] | None:
+    """Where a path's base name without suffix is, if it has four characters."""
+    path = m.group(1)
+    base = path.rstrip().rpartition("/")[2]
+    stem = base.rpartition(".")[0] or base
+    at = m.start(1) + path.rindex(base) if base else 0
+    return (at, at + len(stem)) if len(stem) >= 4 else None
 
 
-@project_mutation
-def sty_stray_text(files, rng):
-    for f in shuffled(rng, sorted(x for x in files if x.endswith(".sty"))):
-        for m in shuffled(rng, re.finditer(r"(?m)^\\newcommand.*$", files[f])):
-            yield f, m.end(), m.end(), "\nstray text"
+def _misnamed(pattern: str, chosen):
+    """Two letters of a path's base name exchanged, in the files that are chosen."""
+
+    def gen(files, rng):
+        for f in shuffled(rng, chosen(files)):
+            for m in shuffled(rng, list(re.finditer(pattern, files.get(f, "")))[:TRIES]):
+                if at := _stem(m):
+                    yield f, *at, swapped(rng, files[f][slice(*at)])
+
+    return gen
+
+
+PROJECT_MUTATIONS["input_path"] = _misnamed(INPUT, lambda files: ["main.tex"])
+PROJECT_MUTATIONS["graphics_path"] = _misnamed(GRAPHICS, lambda files: [f for f in files if f.endswith(".tex")])
+PROJECT_MUTATIONS["graphics_nonroot"] = _misnamed(GRAPHICS, children)
 
 
 @project_mutation
-def pgfkeys_key(files, rng):
-    for f in shuffled(rng, sorted(x for x in files if x.endswith(".tex"))):
-        for m in shuffled(rng, re.finditer(r"\\(?:draw|node|addplot|tikzset|pgfplotsset)\s*[\[{]", files[f])):
-            yield f, m.end(), m.end(), "no such key=1, "
+def bib_style(files, rng):
+    """Two letters of the bibliography style exchanged."""
+    for m in list(re.finditer(BIB_STYLE, files.get("main.tex", "")))[:1]:
+        yield "main.tex", m.start(1), m.end(1), swapped(rng, m.group(1))
 
 
 @project_mutation
-def illegal_param(files, rng):
-    for f in shuffled(rng, sorted(x for x in files if x.endswith((".tex", ".sty")))):
-        for m in shuffled(rng, re.finditer(r"\\newcommand\*?\{?\\[a-zA-Z]+\}?\{([^{}]*)\}", files[f])):
-            yield f, m.end(1), m.end(1), "#1"
+def bib_entry(files, rng):
+    """A cited entry without its last brace."""
+    cited = {k.strip() for t in files.values() for m in re.findall(CITED, t) for k in m.split(",")}
+    for f in sorted(x for x in files if x.endswith(".bib")):
+        known = [m for m in re.finditer(BIB_ENTRY, files[f]) if m.group(1).strip() in cited]
+        for m in shuffled(rng, known)[:10]:
+            end = m.start() + len(m.group().rstrip())
+            yield f, end - 1, end, ""
 
 
 @project_mutation
-def graphics_nonroot(files, rng):
-    for f in shuffled(rng, _children(files)):
-        for m in shuffled(rng, re.finditer(r"\\includegraphics(?:\[[^\]]*\])?\{([^}]+)\}", files[f])):
-            yield f, m.start(1), m.end(1), "missing/" + m.group(1)
+def preamble_drop(files, rng):
+    """A package gone from the root of a project that has children."""
+    if children(files):
+        for x in list(drop_usepackage(files["main.tex"], rng))[:8]:
+            yield ("main.tex", *x)
+
+
+def _in_parts(pattern: str, group: int, chosen, by=lambda rng, x: ""):
+    """A group of a place changed, in files that are not the root."""
+
+    def gen(files, rng):
+        for f in shuffled(rng, chosen(files)):
+            for m in shuffled(rng, re.finditer(pattern, files[f]))[:12]:
+                yield f, m.start(group), m.end(group), by(rng, m.group(group))
+
+    return gen
+
+
+PROJECT_MUTATIONS["missing_number"] = _in_parts(LENGTH, 2, _parts)
+PROJECT_MUTATIONS["pgfkeys_key"] = _in_parts(DRAWING_KEY, 1, lambda files: [f for f in _parts(files) if re.search(DRAWING, files[f])], swapped)
+PROJECT_MUTATIONS["illegal_param"] = _in_parts(PARAMETER, 2, _parts)
+PROJECT_MUTATIONS["sty_stray_text"] = _in_parts(REMARK, 1, _styles)
+
+# How often each mutation is drawn when projects are broken at random; ``child_`` ones are single-file mutations lifted.
+WEIGHTS = {
+    "child_typo_macro": 3, "sty_macro": 3, "missing_number": 2, "child_drop_dollar": 2, "child_extra_brace": 2, "child_drop_brace": 1,
+    "child_env_mismatch": 1, "child_typo_begin_env": 1, "sty_stray_text": 2, "pgfkeys_key": 2, "illegal_param": 2, "child_extra_amp": 1,
+    "child_drop_newcommand": 1, "bib_entry": 1, "graphics_nonroot": 1,
+}
+for _name in EASY:
+    PROJECT_MUTATIONS[f"child_{_name}"] = lifted(_name)
+
+
+def break_projects(files: dict[str, str], k: int, seed: int, names: dict[str, int] | None = None) -> list[dict] | None:
+    """Up to k edits by mutations drawn by weight, those that do not apply passed over; null without any, or if they cannot be taken
+    back one by one."""
+    weights = WEIGHTS if names is None else names
+    rng = random.Random(f"project:{seed}:{sum(map(len, files.values()))}")
+    now, out = dict(files), []
+    for name in rng.sample(list(weights), sum(weights.values()), counts=list(weights.values())):
+        if len(out) < k and (edit := break_project(now, name, rng.randrange(1 << 30))):
+            now[edit["file"]] = now[edit["file"]].replace(edit["search"], edit["replace"], 1)
+            out.append(edit)
+    back = dict(now)
+    for e in reversed(out):
+        if back[e["file"]].count(e["replace"]) != 1:
+            return None
+        back[e["file"]] = back[e["file"]].replace(e["replace"], e["search"], 1)
+    return out if out and back == files else None
 
 
 def break_project(files: dict[str, str], name: str, seed: int) -> dict | None:

@@ -620,14 +620,14 @@ def gen_perturbed(spark, sf_dir):
 
     t = F.concat(F.lit("\\documentclass{article}\n\\usepackage{amsmath}\n\\begin{document}\n"), F.regexp_replace("text", "\\b([a-z]{8,})\\b", "\\\\emph{$1}"), F.lit("\n\\end{document}\n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("tex"))
-    return perturbed(docs, "tex", ["typo_macro", "drop_brace", "drop_usepackage"]).select("doc_id", "mutation", "seed", F.col("edit.search").alias("search"), F.col("edit.replace").alias("replace"))
+    return perturbed(docs, "tex").select("doc_id", "mutation", "seed", F.col("edit.search").alias("search"), F.col("edit.replace").alias("replace"))
 
 
 @query("log01_parse")
 def log01(spark, sf_dir):
     from tessella.functions.logs import error_lines, parse_log_udf
 
-    log = F.concat(F.lit("(./main.tex\n! Undefined control sequence.\nl."), F.col("doc_id") + 1, F.lit(" \\foo\n(./sections/a.tex\nLaTeX Warning: x on input line 3.\n! "), F.left("text", F.lit(50)), F.lit("\nl.7 y\n))"))
+    log = F.concat(F.lit("(./main.tex\n! Undefined control sequence.\nl."), F.col("doc_id") + 1, F.lit(" \\foo\n(./sections/a.tex\nLaTeX Warning: x on input line 3.\n! "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nl.7 y\n))"))
     docs = table(spark, sf_dir, "documents").select("doc_id", parse_log_udf(log, F.lit("main.tex")).alias("items"))
     e = error_lines(F.col("items"), F.lit("main.tex"), F.array(F.lit("main.tex"), F.lit("sections/a.tex")))
     return docs.select("doc_id", F.size("items").alias("n_items"), F.explode(e).alias("e")).select("doc_id", "n_items", "e.line", "e.file", "e.fileLabel")

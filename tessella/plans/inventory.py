@@ -811,3 +811,57 @@ def rpt04(spark, sf_dir):
 def rpt01(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"), F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("error_category"), F.array("o_orderpriority").alias("tags"), F.lit(3).alias("diff_lines"))
     return reports.mining_report(o, o, ["O", "F", "P"])["years"]
+
+
+# --- mutations: sources with one place for each, so that SQL can say what comes out
+
+
+_PLACES = {
+    "typo_macro": ("\\abbb{#}", "\\babb{#}"),
+    "drop_dollar": ("in $x#$ here", "in $x# here"),
+    "drop_brace": ("\\emph{w#} x", "\\emph{w# x"),
+    "extra_brace": ("\\x{#}\nend\n", "end}"),
+    "typo_begin_env": ("\\begin{abbb}#", "\\begin{babb}#"),
+    "drop_usepackage": ("\\usepackage{p#}\nL#\n", "L#"),
+    "extra_amp": ("A b c D#", "A b & c D#"),
+    "drop_newcommand": ("\\newcommand{\\qq}{#}\nQ\\qq #\n", "Q\\qq #"),
+    "at_distance": ("\\newcommand{\\qq}{\\abbb #}\n\\qq\\qq 1\n", "\\newcommand{\\qq}{\\babb #}"),
+    "option_clash": ("\\usepackage{p#}\n", "\\usepackage{p#}\n\\usepackage[draft]{p#}"),
+    "fragile_cmd": ("\\tableofcontents\n\\section{title no #}", "\\section{title no #\\footnote{see appendix}}"),
+}
+_HEAD = "\\documentclass{a}\n\\begin{document}\n"
+
+
+def _sql_text(x):
+    return " || chr(10) || ".join(" || n || ".join(f"'{y}'" for y in line.split("#")) for line in x.split("\n"))
+
+
+@query("gen_single_site", "WITH d AS (SELECT doc_id, doc_id::VARCHAR AS n FROM documents WHERE doc_id >= 10) " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS mutation, {_sql_text(after)} AS replace FROM d" for name, (_, after) in _PLACES.items()))
+def gen_single_site(spark, sf_dir):
+    from tessella.operators.perturb import perturbed
+
+    n = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents").filter("doc_id >= 10").select("doc_id")
+    out = None
+    for name, (before, _) in _PLACES.items():
+        tex = F.concat(F.lit(_HEAD), F.replace(F.lit(before), F.lit("#"), n), F.lit("\n"))
+        one = perturbed(docs.withColumn("tex", tex), "tex", [name]).select("doc_id", "mutation", F.col("edit.replace").alias("replace"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "gen_project_single_site",
+    "WITH d AS (SELECT page_id, page_id::VARCHAR AS n FROM pages), m AS (SELECT page_id, unnest(['input_path', 'bib_style', 'sty_macro', 'missing_number', 'illegal_param', 'sty_stray_text']) AS mutation, "
+    "unnest(['main.tex', 'main.tex', 'a.sty', 'abbb.tex', 'a.sty', 'a.sty']) AS file, unnest(['\\input{babb}', '\\bibliographystyle{babb}', '\\newcommand\\mymac{\\babb}' || n, '\\vspace{cm}' || n, '\\newcommand{\\p}{#1' || n || '}', 'words and more words than twenty']) AS replace FROM d) SELECT * FROM m WHERE mutation <> 'sty_macro'",
+)
+def gen_project_single_site(spark, sf_dir):
+    from tessella.operators.perturb import perturbed_projects
+
+    n = F.col("page_id").cast("string")
+    files = F.create_map(
+        F.lit("main.tex"), F.lit("\\input{abbb}\n\\bibliographystyle{abbb}\n"), F.lit("abbb.tex"), F.concat(F.lit("\\vspace{2cm}"), n, F.lit("\n\\mymac\n")),
+        F.lit("a.sty"), F.concat(F.lit("\\newcommand\\mymac{\\abbb}"), n, F.lit("\n\\newcommand{\\p}[1]{#1"), n, F.lit("}\n% words and more words than twenty\n")),
+    )
+    names = ["input_path", "bib_style", "missing_number", "illegal_param", "sty_stray_text"]
+    return perturbed_projects(table(spark, sf_dir, "pages").withColumn("files", files), "files", names).select("page_id", "mutation", "edit.file", "edit.replace")
