@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from tessella.functions.text import strip_comments
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]+)\}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``, and read from there. Only a local master gets
+    a folder of its own where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
+    return df.checkpoint(eager=True)
+
+
 def inclusions(files: DataFrame, project: str = "project", path: str = "path", text: str = "text") -> DataFrame:
     """(project, src, dst): names that files include, as they are and next to the including file, with and without the suffix."""
     found = files.select(project, F.col(path).alias("src"), F.explode(F.regexp_extract_all(strip_comments(F.col(text)), F.lit(INCLUDE), F.lit(1))).alias("name"))
@@ -22,10 +36,10 @@ def inclusions(files: DataFrame, project: str = "project", path: str = "path", t
 def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int = 50, keep=None) -> DataFrame:
     """(keys, root, node) of all nodes reachable from each root, itself included; edges(keys, src, dst), roots(keys, root).
 
-    Breadth first; nodes seen are not expanded again, so cycles end. ``keep`` writes each round's result down (a checkpoint, or a
-    table) to cut the lineage.
+    Breadth first; nodes seen are not expanded again, so cycles end. ``keep`` writes each round's result down (a table); a checkpoint
+    if not given. Either way the lineage is cut, and a lost executor costs a reread.
     """
-    keep = keep or (lambda df: df.checkpoint(eager=True) if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache())
+    keep = keep or kept
     seen = keep(roots.withColumn("node", F.col("root")).distinct())
     front = seen
     for _ in range(max_depth):

@@ -29,21 +29,25 @@ def score(rows: DataFrame, refs: DataFrame, backend: CompileBackend) -> DataFram
     r = r.withColumn("same_", F.col("applied") & (entries(F.col("done_.files")) == entries(F.col("files"))))
     ask = F.col("applied") & ~F.col("exact") & ~F.col("same_")
     jobs = backend.compile(r.filter(ask).select("id", F.col("done_.files").alias("files"), "root")).select("id", "result")
-    r = r.join(jobs, "id", "left").join(refs.select("doc", F.col("text").alias("ref_text"), F.col("pages").alias("ref_pages"), "sim_min"), "doc", "left")
+    r = r.join(jobs, "id", "left").join(refs.select("doc", F.col("text").alias("ref_text"), F.col("pages").alias("ref_pages"), F.col("img").alias("ref_img"), F.coalesce("ascii", F.lit(False)).alias("ref_ascii"), "sim_min"), "doc", "left")
     r = r.withColumn("compiled", F.col("exact") | F.coalesce("result.ok", F.lit(False)))
-    r = r.withColumn("pdf_sim_", P.words_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text")).withColumn("text_sim_", P.text_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text"))
+    r = r.withColumn("pdf_sim_", P.words_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text", "ref_ascii")).withColumn("text_sim_", P.text_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text", "ref_ascii"))
+    # Both sides' pages as ink densities; without pages on either side there is no image similarity.
+    r = r.withColumns({"ink_": P.page_inks_udf(F.when(F.col("compiled"), F.col("result.pdf_img"))), "ref_ink_": P.page_inks_udf("ref_img")})
+    r = r.withColumn("img_sim_", F.when((F.size("ink_") > 0) & (F.size("ref_ink_") > 0), R.image_similarity(F.col("ink_"), F.col("ref_ink_"))))
     pages_ok = F.col("result.pdf_pages") == F.col("ref_pages")
-    strict, sim = R.composite(pages_ok, F.col("text_sim_"), F.lit(None).cast("double"), F.col("pdf_sim_"), F.col("sim_min"))
+    strict, sim = R.composite(pages_ok, F.col("text_sim_"), F.col("img_sim_"), F.col("pdf_sim_"), F.col("sim_min"))
     exact = F.col("exact")
     return r.withColumns({
         "timed_out": F.coalesce("result.timed_out", F.lit(False)),
         "pages_ok": F.when(exact, True).otherwise(pages_ok),
         "pdf_sim": F.when(exact, 1.0).otherwise(F.col("pdf_sim_")),
         "text_sim": F.when(exact, 1.0).otherwise(F.col("text_sim_")),
+        "img_sim": F.when(exact, 1.0).otherwise(F.col("img_sim_")),
         "sim": F.when(exact, 1.0).otherwise(sim),
         "strict": exact | (F.col("compiled") & strict),
         "has_ref": F.col("ref_text").isNotNull(),
-    }).drop("edits_", "done_", "same_", "result", "pdf_sim_", "text_sim_", "ref_text", "ref_pages", "sim_min")
+    }).drop("edits_", "done_", "same_", "result", "pdf_sim_", "text_sim_", "img_sim_", "ink_", "ref_ink_", "ref_img", "ref_ascii", "ref_text", "ref_pages", "sim_min")
 
 
 def with_retry(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +48,9 @@ def similar_sets(left: DataFrame, right: DataFrame, id: str, items: str, thresho
     """(left_id, right_id, similarity) of sets whose Jaccard similarity reaches the threshold, exactly.
 
     Equal sets are one class with a member of smallest id. Items are ordered by how rare they are; two sets that similar share one of
-    the first ``n - ceil(threshold * n) + 1``, and their sizes differ little, so only such pairs are held against each other.
+    the first ``n - ceil(threshold * n) + 1``, and their sizes differ little. A pair meets in the first item that both prefixes share
+    only if what is left of both sets after it can still reach the threshold. Sizes are part of the join's key, in bands that grow
+    with the threshold, so that an item that many sets share is split by size.
     """
     def classes(df, name):
         s = F.array_sort(F.array_distinct(F.col(items)))
@@ -58,9 +62,15 @@ def similar_sets(left: DataFrame, right: DataFrame, id: str, items: str, thresho
     def prefixes(df, name):
         each = df.select(f"{name}_id", F.size(f"{name}_set").alias("n"), F.explode(f"{name}_set").alias("item")).join(rare, "item")
         place = F.row_number().over(W.partitionBy(f"{name}_id").orderBy("count", "item"))
-        return each.withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(f"{name}_id", F.col("n").alias(f"{name}_size"), "item")
-
-    met = prefixes(a, "left").join(prefixes(b, "right"), "item").filter((F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (F.col("right_size") >= F.col("left_size") * threshold - 1e-9))
+        return each.withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(f"{name}_id", F.col("n").alias(f"{name}_size"), F.col("p").alias(f"{name}_p"), "item")
+
+    # Bands of sizes: similar sets are in the same band or in neighbouring ones.
+    band = lambda n: F.floor(F.log(n) / F.lit(-math.log(threshold) + 1e-9)).cast("int")
+    ours = prefixes(a, "left").withColumn("band", F.explode(F.array(*[band(F.col("left_size")) + d for d in (-1, 0, 1)])))
+    theirs = prefixes(b, "right").withColumn("band", band(F.col("right_size")))
+    rest = F.least(F.col("left_size") - F.col("left_p"), F.col("right_size") - F.col("right_p")) + F.least("left_p", "right_p")
+    enough = rest * (1 + threshold) >= (F.col("left_size") + F.col("right_size")) * threshold - 1e-9
+    met = ours.join(theirs, ["item", "band"]).filter((F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (F.col("right_size") >= F.col("left_size") * threshold - 1e-9) & enough)
     pairs = met.select("left_id", "right_id").distinct().join(a, "left_id").join(b, "right_id")
     sim = F.size(F.array_intersect("left_set", "right_set")) / F.size(F.array_union("left_set", "right_set"))
     return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity", "left_n", "right_n")

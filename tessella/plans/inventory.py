@@ -865,3 +865,245 @@ def gen_project_single_site(spark, sf_dir):
     )
     names = ["input_path", "bib_style", "missing_number", "illegal_param", "sty_stray_text"]
     return perturbed_projects(table(spark, sf_dir, "pages").withColumn("files", files), "files", names).select("page_id", "mutation", "edit.file", "edit.replace")
+
+
+# --- sources and sinks: what is written is read again
+
+
+def _folder(spark):
+    """A new folder where the session keeps what executors share; a temporary one for a local session that names none."""
+    import tempfile
+    import uuid
+
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/inventory-{uuid.uuid4().hex}"
+
+
+@query("src01_json_lines", "SELECT doc_id, text, lang, n_chars FROM documents")
+def src01(spark, sf_dir):
+    from tessella.sources import writers
+
+    path = _folder(spark)
+    writers.json_lines(_docs(spark, sf_dir, "text", "lang", "n_chars"), path)
+    return readers.json_lines(spark, path, "doc_id long, text string, lang string, n_chars long")
+
+
+@query("src02_reference_map", "SELECT '\"' || doc_id::VARCHAR || '\\' AS doc, text, (n_chars % 7)::INT AS pages FROM documents")
+def src02(spark, sf_dir):
+    from tessella.sources import writers
+
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit("\\")).alias("doc"), "text", (F.col("n_chars") % 7).cast("int").alias("pages"))
+    writers.json_map(rows, "doc", path)
+    return readers.reference_map(spark, path).select("doc", "text", "pages")
+
+
+@query("src04_post_rows", "SELECT p_partkey AS \"Id\", (1 + p_partkey % 2)::INT AS \"PostTypeId\", p_name || ' <b>&' AS \"Title\" FROM part")
+def src04(spark, sf_dir):
+    path = _folder(spark)
+    k = F.col("p_partkey")
+    row = F.concat(F.lit('  <row Id="'), k.cast("string"), F.lit('" PostTypeId="'), (1 + k % 2).cast("string"), F.lit('" Title="'), "p_name", F.lit(' &lt;b&gt;&amp;" />'))
+    head = spark.range(1).select(F.lit("<posts>").alias("value"))
+    table(spark, sf_dir, "part").select(row.alias("value")).unionByName(head).write.text(path)
+    return readers.post_rows(spark, path).select("Id", "PostTypeId", "Title")
+
+
+@query("src05_post_attributes", "SELECT p_partkey AS id, p_name || ' &lt;' AS title FROM part WHERE p_partkey % 3 = 0")
+def src05(spark, sf_dir):
+    path = _folder(spark)
+    row = F.concat(F.lit('<row Id="'), F.col("p_partkey").cast("string"), F.lit('" Title="'), "p_name", F.lit(' &lt;" />'))
+    part = table(spark, sf_dir, "part")
+    part.select(row.alias("value")).write.text(path)
+    return readers.post_attributes(spark, path, part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"))).select("id", F.element_at("attributes", "Title").alias("title"))
+
+
+@query("src13_container", "SELECT page_id, 'a' || page_id::VARCHAR || '.tex' AS path, 'x' || chr(10) AS text FROM pages UNION ALL SELECT page_id, 'b/c.sty', url || chr(10) FROM pages")
+def src13(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    bar = "=" * 12 + "\n"
+    one = lambda name, text: F.concat(F.lit(bar + "FILE: "), name, F.lit("\n" + bar), text, F.lit("\n"))
+    whole = F.concat(F.lit("intro\n"), one(F.concat(F.lit("a"), k, F.lit(".tex")), F.lit("x")), one(F.lit("/etc/passwd"), F.lit("no")), one(F.lit("../up"), F.lit("no")), one(F.lit("b/c.sty"), F.col("url")))
+    return readers.split_container(table(spark, sf_dir, "pages").select("page_id", whole.alias("text")), "text").select("page_id", "path", "text")
+
+
+@query("src14_discover", "SELECT page_id AS project, unnest(['a', 'b' || page_id::VARCHAR]) AS entry FROM pages")
+def src14(spark, sf_dir):
+    text = F.concat(F.lit("use a;\nuse b"), F.col("page_id").cast("string"), F.lit(";\n"))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("project"), F.lit("list.txt").alias("path"), text.alias("text"))
+    return readers.discover(files.unionByName(files.withColumn("path", F.lit("other.txt"))), "list.txt", "use (\\w+);")
+
+
+@query("src12_project_files", "SELECT 'p' || (page_id % 5)::VARCHAR AS project, count(*) AS n FROM pages WHERE page_id < 20 GROUP BY 1")
+def src12(spark, sf_dir):
+    root = _folder(spark)
+    some = table(spark, sf_dir, "pages").filter("page_id < 20")
+    named = some.select(F.concat(F.lit("p"), (F.col("page_id") % 5).cast("string")).alias("project"), "url", F.col("page_id").alias("k"))
+    # One text part a page, named .txt, in the folder of its project.
+    named.repartition(20, "k").select("project", "url", "k").write.partitionBy("project", "k").text(root)
+    found = readers.project_files(spark, root).filter(~F.col("path").contains("_SUCCESS"))
+    return found.groupBy(F.regexp_replace("project", "^project=", "").alias("project")).agg(F.count("*").alias("n"))
+
+
+@query("snk02_append_new", "SELECT doc_id FROM documents")
+def snk02(spark, sf_dir):
+    from tessella.sources import writers
+
+    path = _folder(spark)
+    writers.append_new(_docs(spark, sf_dir).filter("doc_id % 3 = 0"), path, "doc_id")
+    writers.append_new(_docs(spark, sf_dir), path, "doc_id")
+    return spark.read.parquet(path)
+
+
+@query("snk03_routed", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'pool' ELSE 'kept' END AS route FROM documents")
+def snk03(spark, sf_dir):
+    from tessella.sources import writers
+
+    path = _folder(spark)
+    writers.routed(_docs(spark, sf_dir, "n_chars"), path, F.when(F.col("n_chars") > 1000, "pool").otherwise("kept"))
+    return spark.read.parquet(path).select("doc_id", "route")
+
+
+@query("snk05_released_files", "SELECT page_id AS project, unnest(['a.tex', 'b.pdf']) AS path FROM pages")
+def snk05(spark, sf_dir):
+    from tessella.sources import writers
+
+    names = F.array(*map(F.lit, ["a.tex", "a.pdf", "b.pdf", "a.aux", "x/y.log"]))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("project"), F.explode(names).alias("path"), F.lit("x").alias("text"))
+    return writers.released_files(files).select("project", "path")
+
+
+@query("snk07_placeholders", "SELECT page_id AS project, 'plot' || page_id::VARCHAR || '.pdf' AS path FROM pages WHERE page_id % 2 = 0")
+def snk07(spark, sf_dir):
+    from tessella.sources import writers
+
+    k = F.col("page_id").cast("string")
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("project"), F.concat(F.lit("\\includegraphics[w]{figs/plot"), k, F.lit("} \\includegraphics{example-image}\\includegraphics{old.png}")).alias("a"), F.lit(None).cast("string").alias("b"))
+    have = docs.select("project", F.lit("old.png").alias("path")).unionByName(docs.filter("project % 2 = 1").select("project", F.concat(F.lit("plot"), F.col("project").cast("string"), F.lit(".pdf")).alias("path")))
+    return writers.placeholders_needed(docs, "project", ["a", "b"], have)
+
+
+@query("snk06_manifest", "SELECT 'docs' AS file, count(*) AS rows FROM documents")
+def snk06(spark, sf_dir):
+    from tessella.sources import writers
+
+    path = _folder(spark)
+    docs = _docs(spark, sf_dir)
+    docs.write.parquet(path)
+    return writers.manifest(spark, {"docs": path}, {"docs": docs}).filter("bytes > 0 and length(sha256) = 64").select("file", "rows")
+
+
+# --- effects by recorded results, runs, checks
+
+
+@query("eff01_recorded", "SELECT doc_id, doc_id % 3 = 0 AS ok, doc_id % 3 = 2 AS timed_out FROM documents")
+def eff01(spark, sf_dir):
+    from tessella.operators import effects
+    from tessella.schemas import COMPILE_RESULT, conform
+
+    jobs = _docs(spark, sf_dir).select("doc_id", F.create_map(F.lit("main.tex"), F.col("doc_id").cast("string")).alias("files"), F.lit("main.tex").alias("root"))
+    known = jobs.filter("doc_id % 3 <> 2").withColumns({"key": effects.project_hash(F.col("files"), F.col("root")), "ok": F.col("doc_id") % 3 == 0, "timed_out": F.lit(False)})
+    results = conform(known, f"key string, {COMPILE_RESULT}")
+    return effects.Recorded(results).compile(jobs).select("doc_id", "result.ok", "result.timed_out")
+
+
+@query("eff06_pair_stage", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'child_fails' WHEN 2 THEN 'single_file' WHEN 3 THEN 'asset_missing' WHEN 4 THEN 'parent_compiles' WHEN 5 THEN 'no_located_error' ELSE 'kept' END AS stage FROM documents")
+def eff06(spark, sf_dir):
+    from tessella.operators.effects import pair_stage
+
+    k = F.col("doc_id") % 7
+    side = lambda ok, late: F.struct(ok.alias("ok"), late.alias("timed_out"))
+    stage = pair_stage(side(k == 4, k == 0), side(k != 1, F.lit(False)), F.when(k == 2, 1).otherwise(2), k != 3, k != 5)
+    return _docs(spark, sf_dir).select("doc_id", stage.alias("stage"))
+
+
+@query("eff09_verdicts", "SELECT doc_id, CASE WHEN quality = 1 THEN 'faithful' WHEN quality = 0 THEN 'workaround' ELSE 'unclear' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def eff09(spark, sf_dir):
+    from tessella.operators.effects import with_verdicts
+
+    said = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "faithful").otherwise("workaround").alias("verdict"), F.lit("").alias("reason"))
+    return with_verdicts(_docs(spark, sf_dir), said, "doc_id").select("doc_id", "verdict")
+
+
+@query("eff12_known_names", "SELECT p_partkey, p_type IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0) AS known FROM part")
+def eff12(spark, sf_dir):
+    from tessella.operators.effects import known_names
+
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"))
+    return known_names(part, part.filter("p_partkey % 2 = 0")).select("p_partkey", "known")
+
+
+@query("aux01_baseline", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' AND l_quantity <= 20")
+def aux01(spark, sf_dir):
+    from tessella.operators.effects import baseline
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct((F.col("l_linestatus") == "O").alias("ok"), F.col("l_quantity").alias("seconds")).alias("result"))
+    return baseline(rows, 20).select("l_orderkey", "l_linenumber")
+
+
+@query("scr03_with_retry", "SELECT doc_id AS id, doc_id % 2 = 0 OR doc_id % 3 = 0 AS compiled, doc_id % 2 = 0 AS pass1 FROM documents")
+def scr03(spark, sf_dir):
+    from tessella.operators.evaluation import with_retry
+
+    k = F.col("id")
+    first = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).withColumns({"compiled": k % 2 == 0, "strict": F.lit(False), "sim": F.lit(0.5), "applied": F.lit(True), "response": F.lit("a")})
+    return with_retry(first, first.filter("not compiled").withColumn("compiled", k % 3 == 0)).select("id", "compiled", "pass1")
+
+
+@query(
+    "scr01_scores",
+    "SELECT doc_id::VARCHAR AS id, doc_id % 4 <> 3 AS applied, doc_id % 4 < 2 AS compiled, doc_id % 4 = 0 AS exact, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN round((1.0 + 0.5) / 2, 9) END AS sim FROM documents",
+)
+def scr01(spark, sf_dir):
+    from tessella.operators import effects, evaluation
+    from tessella.schemas import COMPILE_RESULT, REFERENCE, conform
+
+    k = F.col("n") % 4
+    text = F.concat(F.lit("head\nbad "), F.col("n").cast("string"), F.lit("\ntail"))
+    edit = lambda s, r: E.format_edits(F.array(F.struct(F.lit("main.tex").alias("file"), s.alias("search"), r.alias("replace"))))
+    bad = F.concat(F.lit("bad "), F.col("n").cast("string"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n")).select(
+        F.col("n").cast("string").alias("id"), F.col("n").cast("string").alias("doc"), "n", F.create_map(F.lit("main.tex"), text).alias("files"), F.lit("main.tex").alias("root"),
+        F.create_map(F.lit("main.tex"), F.replace(text, F.lit("bad"), F.lit("good"))).alias("fixed"),
+        F.when(k == 3, edit(F.lit("absent"), F.lit("x"))).when(k == 0, edit(bad, F.replace(bad, F.lit("bad"), F.lit("good")))).otherwise(edit(bad, F.concat(F.lit("other"), F.col("n").cast("string")))).alias("response"),
+    )
+    white, black = F.lit(b"\xff" * (48 * 64)), F.lit(b"\x00" * (48 * 64))
+    done = rows.filter(k.isin(1, 2)).withColumn("files", F.create_map(F.lit("main.tex"), F.replace(text, bad, F.concat(F.lit("other"), F.col("n").cast("string")))))
+    done = done.withColumns({"key": effects.project_hash(F.col("files"), F.col("root")), "ok": k == 1, "timed_out": F.lit(False), "pdf_text": F.lit("some  words"), "pdf_pages": F.lit(1), "pdf_img": F.array(black, black)})
+    refs = rows.select("doc", F.lit("some words").alias("text"), F.lit(1).alias("pages"), F.array(black, white).alias("img"))
+    scored = evaluation.score(rows, conform(refs, REFERENCE), effects.Recorded(conform(done, f"key string, {COMPILE_RESULT}")))
+    return scored.select("id", "applied", "compiled", "exact", F.round("sim", 9).alias("sim"))
+
+
+@query("sel09_verifier_rows", "WITH u AS (SELECT l_orderkey AS id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS i, l_returnflag AS text, 1 - l_tax AS sim FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY i) = 1) SELECT id, i, CASE WHEN sim >= 0.95 THEN 'yes' ELSE 'no' END AS label FROM u")
+def sel09(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("i"), F.col("l_returnflag").alias("text"), (1 - F.col("l_tax")).alias("sim"))
+    return reports.verifier_rows(rows, "id", 3).select("id", "i", "label")
+
+
+@query("strm01_available", "SELECT doc_id FROM documents")
+def strm01(spark, sf_dir):
+    root = _folder(spark)
+    docs = _docs(spark, sf_dir)
+    docs.filter("doc_id % 2 = 0").write.parquet(f"{root}/in/a")
+    docs.filter("doc_id % 3 <> 0").write.parquet(f"{root}/in/b")
+    docs.filter("doc_id % 6 = 3").write.parquet(f"{root}/in/c")
+    incremental.process_available(spark, f"{root}/in/*", docs.schema, "doc_id", lambda df: df, f"{root}/out", f"{root}/log")
+    return spark.read.parquet(f"{root}/out").select("doc_id")
+
+
+@query("rpt05_release_check", "SELECT DISTINCT a.lang AS key FROM documents a JOIN documents b ON a.lang = b.lang WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 = 1")
+def rpt05(spark, sf_dir):
+    from tessella.plans.release import check
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return check(docs.filter("id % 10 = 0"), docs.filter("id % 10 = 1"), "lang")["leaks"].select("key")
+
+
+@query("strm06_capped", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3")
+def strm06(spark, sf_dir):
+    root = _folder(spark)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    events.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    out = incremental.capped_stream(stream, "user_id", "event_id", 3)
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/out")
