@@ -457,7 +457,7 @@ def str06(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(signature, "a<n>\\.sty", "a0.sty").alias("signature"))
 
 
-@query("str07_html", r"SELECT page_id, sha1(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '&lt;', '<'), '&copy;', chr(169)), '&middot;', chr(183)), '&gt;', '>'), '&quot;', '""'), '&amp;', '&')) AS h FROM pages".replace('""', '"'))
+@query("str07_html", r"SELECT page_id, sha1(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '&lt;', '<'), '&copy;', chr(169)), '&middot;', chr(183)), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')) AS h FROM pages")
 def str07(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha1(P.unescape_udf(X.strip_tags(F.col("html")))).alias("h"))
 
