@@ -21,7 +21,8 @@ MAX_RATIO, MIN_PAGES = 0.1, 3
 def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(tessella_host, tessella_drop: hashes of the host's boilerplate lines), hosts without any left out.
 
-    A host's list is bounded by its mean number of lines a page over ``max_ratio``. Lines are counted by 64-bit hash: a clash
+    A host's list is bounded by its mean number of lines a page over ``max_ratio``, so what a page is held against grows with the
+    host's pages' length and not with the host. The ratio counts in millionths, in whole numbers. Lines are counted by 64-bit hash: a clash
     within one host can matter only if it meets one of those few lines. Counting is pre-aggregated before its shuffle, so a
     line on a third of all pages costs one row a task.
     """
@@ -31,7 +32,7 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", m
     often = seen.groupBy("tessella_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     return (
         often.join(totals, "tessella_host")
-        .filter(F.col("n") > F.col("n_pages") * F.lit(max_ratio))
+        .filter(F.col("n") * 1_000_000 > F.col("n_pages") * round(max_ratio * 1_000_000))
         .groupBy("tessella_host")
         .agg(F.collect_set("line").alias("tessella_drop"))
     )
