@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import append_arrow, small_batches, table
 
 MARK = "▁"
-MAX_MEMO, MAX_PAIRS, MAX_KEPT = 450_000, 500_000, 48
+MAX_MEMO, MAX_WORDS, MAX_PAIRS, MAX_KEPT = 60_000, 400_000, 200_000, 48
 
 
 class Codec:
@@ -182,7 +182,7 @@ class _Words(dict):
         parts = list(map(self.codec.memo.__getitem__, self.codec.segments(MARK + word)))
         made = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
         if len(word) <= MAX_KEPT:
-            if len(self) >= MAX_MEMO:
+            if len(self) >= MAX_WORDS:
                 self.clear()
             self[word] = made
         return made
