@@ -1107,3 +1107,86 @@ def strm06(spark, sf_dir):
     out = incremental.capped_stream(stream, "user_id", "event_id", 3)
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{root}/out")
+
+
+# --- prompts and the rest
+
+
+@query("str15_verifier_prompt", "SELECT doc_id, true AS framed FROM documents")
+def str15(spark, sf_dir):
+    from tessella.functions.prompts import ASK, verifier_prompt
+
+    made = verifier_prompt(F.col("text"), F.concat(F.lit("\n fix "), F.col("doc_id").cast("string"), F.lit(" \n")))
+    want = F.concat(F.col("text"), F.lit(ASK[0] + "fix "), F.col("doc_id").cast("string"), F.lit(ASK[1]))
+    return table(spark, sf_dir, "documents").select("doc_id", (made == want).alias("framed"))
+
+
+@query(
+    "prm02_source_block",
+    "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE trim(replace(text, chr(10), '')) <> ''), w AS (SELECT doc_id, l, len(l) <= 3 AS whole, greatest(0, 2 - 1 - 25) AS a, least(len(l), 2 + 25) AS b FROM l), "
+    "p AS (SELECT doc_id, whole OR (a = 0 AND b = len(l)) AS whole, a, b, CASE WHEN whole THEN l ELSE l[a + 1:b] END AS part FROM w) "
+    "SELECT doc_id, sha1(chr(10) || chr(10) || 'Current content of `main.tex` (' || CASE WHEN whole THEN 'full file' ELSE 'lines ' || (a + 1)::VARCHAR || '-' || b::VARCHAR END || ', line-numbered):' || chr(10) || '```' || chr(10) || "
+    "left(array_to_string(list_transform(part, lambda x, i: i::VARCHAR || ': ' || x), chr(10)), 500) || chr(10) || '```') AS h FROM p",
+)
+def prm02(spark, sf_dir):
+    from tessella.functions.prompts import source_block
+
+    e = lambda line, label: F.struct(F.lit(line).alias("line"), F.lit("bad").alias("text"), F.lit(None).cast("string").alias("file"), F.lit(label).cast("string").alias("fileLabel"))
+    docs = table(spark, sf_dir, "documents").filter(F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != "")
+    return docs.select("doc_id", F.sha1(source_block(F.lit("main.tex"), F.col("text"), F.array(e(400, "other.tex"), e(2, None)), 3, 500)).alias("h"))
+
+
+@query("prm03_companions", "SELECT page_id, chr(10) || chr(10) || 'File `b.tex`:' || chr(10) || '```' || chr(10) || 'y' || page_id::VARCHAR || chr(10) || '```' AS block FROM pages")
+def prm03(spark, sf_dir):
+    from tessella.functions.prompts import companions
+
+    texts = F.create_map(F.lit("a.tex"), F.lit("x"), F.lit("b.tex"), F.concat(F.lit("y"), F.col("page_id").cast("string")), F.lit("c.tex"), F.repeat(F.lit("z"), 200))
+    wanted = F.array(*map(F.lit, ["none.tex", "b.tex", "b.tex", "c.tex", "a.tex"]))
+    return table(spark, sf_dir, "pages").select("page_id", companions(F.map_keys(texts), wanted, texts, budget=100).alias("block"))
+
+
+@query("aux10_system_prompt", "SELECT conv_id, turn, true AS ok FROM conversations")
+def aux10(spark, sf_dir):
+    from tessella.functions.prompts import messages, system_prompt
+
+    m = messages(F.col("text"), None, 512)
+    ok = (F.get(m, F.lit(0))["content"] == F.lit(system_prompt(512))) & (F.size(m) == 2) & F.lit(system_prompt(512) != system_prompt() and "512" in system_prompt(512))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ok.alias("ok"))
+
+
+@query(
+    "join08_with_human_fix",
+    "WITH c AS (SELECT doc_id AS doc, 0 AS candidate, doc_id % 2 = 0 AS human_ok FROM documents) SELECT doc, CASE WHEN human_ok THEN 0 ELSE 1 END::INT AS candidate, 'agreed' AS how FROM c",
+)
+def join08(spark, sf_dir):
+    doc = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    shared = {"agreed": F.lit(True), "faithful": F.lit(False), "deleted": F.lit(10), "diff_lines": F.lit(2)}
+    human = doc.withColumns({"candidate": F.lit(0), "human": F.lit(True), "ok": F.col("doc") % 2 == 0, **shared})
+    taught = doc.withColumns({"candidate": F.lit(1), "human": F.lit(False), "ok": F.lit(True), **shared})
+    return selection.accept_reference(human.unionByName(taught))
+
+
+@query("str23_closest_line", "SELECT page_id, 'alpha' || chr(10) || '  hello world ' || page_id::VARCHAR || 'x' || chr(10) || 'omega' AS t FROM pages")
+def str23(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    doc = F.concat(F.lit("alpha\n  hello world "), k, F.lit("\nomega"))
+    return table(spark, sf_dir, "pages").select("page_id", P.splice_udf(doc, F.concat(F.lit("hello world "), k, F.lit("x"))).alias("t"))
+
+
+@query("aux05_exclusion_after", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def aux05(spark, sf_dir):
+    return joins.with_references(_docs(spark, sf_dir), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_anti")
+
+
+@query("aux14_result_by_id", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def aux14(spark, sf_dir):
+    return incremental.latest(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("rec01_named_inclusions", "SELECT page_id AS project, 'main.tex' AS root, unnest(['main.tex', 'a.tex', 'd/b.tex']) AS node FROM pages")
+def rec01_named(spark, sf_dir):
+    text = lambda p: F.when(p == "main.tex", "\\input{a}% \\input{c}").when(p == "a.tex", "\\include{d/b}").when(p == "d/b.tex", "\\input{b}").otherwise("x")
+    paths = F.array(*map(F.lit, ["main.tex", "a.tex", "d/b.tex", "c.tex"]))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("project"), F.explode(paths).alias("path")).withColumn("text", text(F.col("path")))
+    roots = files.filter("path = 'main.tex'").select("project", F.col("path").alias("root"))
+    return closure.closure(closure.inclusions(files), roots, ["project"])
