@@ -9,6 +9,7 @@ from tessella.functions import edits as E
 from tessella.functions import python_text as P
 from tessella.functions import rewards as R
 from tessella.functions.text import strip_thought
+from tessella.schemas import REFERENCE, conform
 
 from .effects import CompileBackend
 
@@ -29,7 +30,7 @@ def score(rows: DataFrame, refs: DataFrame, backend: CompileBackend) -> DataFram
     r = r.withColumn("same_", F.col("applied") & (entries(F.col("done_.files")) == entries(F.col("files"))))
     ask = F.col("applied") & ~F.col("exact") & ~F.col("same_")
     jobs = backend.compile(r.filter(ask).select("id", F.col("done_.files").alias("files"), "root")).select("id", "result")
-    r = r.join(jobs, "id", "left").join(refs.select("doc", F.col("text").alias("ref_text"), F.col("pages").alias("ref_pages"), F.col("img").alias("ref_img"), F.coalesce("ascii", F.lit(False)).alias("ref_ascii"), "sim_min"), "doc", "left")
+    r = r.join(jobs, "id", "left").join(conform(refs, REFERENCE).select("doc", F.col("text").alias("ref_text"), F.col("pages").alias("ref_pages"), F.col("img").alias("ref_img"), F.coalesce("ascii", F.lit(False)).alias("ref_ascii"), "sim_min"), "doc", "left")
     r = r.withColumn("compiled", F.col("exact") | F.coalesce("result.ok", F.lit(False)))
     r = r.withColumn("pdf_sim_", P.words_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text", "ref_ascii")).withColumn("text_sim_", P.text_similarity_udf(F.when(F.col("compiled"), F.col("result.pdf_text")), "ref_text", "ref_ascii"))
     # Both sides' pages as ink densities; without pages on either side there is no image similarity.
