@@ -171,7 +171,7 @@ def test_assignment_names_agreement(spark):
 
 
 def test_perturbed_frame(spark):
-    doc = "\\documentclass{a}\n\\begin{document}\nText \\textbf{x} $a$ y\n\\end{document}\n"
+    doc = "\\documentclass{a}\n\\begin{document}\nText \\textbf{x} $ab$ y\n\\end{document}\n"
     df = spark.createDataFrame([(1, doc), (2, None)], "id int, text string")
     got = perturb.perturbed(df, "text", ["typo_macro", "drop_dollar"], [0, 1]).collect()
     assert len(got) == 4 and {r.mutation for r in got} == {"typo_macro", "drop_dollar"} and all(doc.count(r.edit.search) == 1 for r in got)

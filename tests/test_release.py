@@ -36,7 +36,7 @@ def test_reports(spark):
 
 
 def test_examples_and_companions(spark):
-    doc = "\\documentclass{a}\n\\begin{document}\nText \\textbf{x} $a$ y\n\\end{document}\n"
+    doc = "\\documentclass{a}\n\\begin{document}\nText \\textbf{x} $ab$ y\n\\end{document}\n"
     made = perturb.examples(perturb.perturbed(spark.createDataFrame([(1, doc)], "id int, text string"), "text", ["drop_dollar"]), "id", "text").first()
     assert P._applied(made.broken, [(e.replace, e.search) for e in made.break_edits]) == doc and made.target.startswith("<edit>")
     texts = F.create_map(*[F.lit(x) for x in ("main.tex", "\\usepackage{my}\\input{a}", "a.tex", "A", "my.sty", "S", "r.bib", "B")])
