@@ -10,7 +10,7 @@ fixed examples (``EXAMPLES``) are counted with them, so that a small table learn
 
 Boosted trees are fitted to these counts, each fifth of the rows scored by trees that have not seen it. A generator's threshold is
 the least score at which the candidates that no base span covers are precise enough; without labelled ones among them it is the
-score of a probability of ``PRECISION``. The trees are applied as CASE expressions. Chosen candidates that no base span overlaps
+score of a probability of ``PRECISION``. Candidates with a cue have a threshold of their own, found among such candidates alone. The trees are applied as CASE expressions. Chosen candidates that no base span overlaps
 are added; a number that overlaps a card or an address that failed its check never is.
 
 Matches have no positions in SQL; they follow from the lengths of the pieces that the same pattern splits a text into, summed by
@@ -40,7 +40,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GENERATORS = {
     "email": (r"[^\s@<>|]{1,200}+@[^\s@<>|]{1,200}+", "@"),
     "number": (r"(?<![A-Za-z0-9])\+?[0-9](?:[ ().-]{0,3}[0-9]){4,40}+(?![A-Za-z0-9])", "[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20}"),
+    # A name up to its = is no part of the value.
+    "secret": (r"(?<![A-Za-z0-9_/+-])(?![A-Za-z_][A-Za-z0-9_-]*+=[A-Za-z0-9_/+-])[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{19,}+", r"[A-Za-z0-9_/+=-]{20}"),
 }
 KINDS = ["email", "ip", "card", "phone", "number", "secret"]
 # Fixed cue words: names that announce a secret, and names that announce contact or payment data. They label, and are no features.
@@ -49,6 +50,7 @@ CONTACT_CUE = r"(?i)(?:mail|phone|tel|fax|call|mobile|card|iban|account|ssn|addr
 RANGES = {"generator": 3, "length": 5, "digits": 4, "upper": 3, "hexadecimal": 2, "separators": 3, "quoted": 2, "assigned": 2, "domain": 2}
 MAX_VECTORS = int(np.prod(list(RANGES.values())))
 PRECISION, ROUNDS, RATE, FOLDS = 0.9, 30, 0.3, 5
+STEPS, ANY = 31, -1e300
 # Fixed examples of our own: how secrets and contacts are written, and what only looks like them.
 EXAMPLES = [
     'token = "0f3a9c55d7e1b2648a90cc13ef5d7720b4a6e811"', "api_key: 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "password='Zq8vT2mLx0Rk7Yw5Nc3B'", "secret=dGhpcyBpcyBhIHNlY3JldCB2YWx1ZQ==",
@@ -67,11 +69,11 @@ def _powers(ks) -> str:
     return f"array({', '.join(str(1 << k) for k in ks)})"
 
 
-def running(xs: str, step: str, steps: int = 21) -> str:
-    """SQL of running totals of an array under an associative ``step`` of p (before) and x, by doubling; for arrays of up to
-    2 ** ``steps`` elements."""
+def running(xs: str, step: str) -> str:
+    """SQL of running totals of an array under an associative ``step`` of p (before) and x, by doubling. ``STEPS`` doublings are as
+    many as an array can have; those beyond its size do nothing."""
     shifted = f"transform(a, (x, i) -> if(i >= d, transform(array(a[greatest(i - d, 0)]), p -> {step})[0], x))"
-    return f"aggregate({_powers(range(steps))}, {xs}, (a, d) -> if(size(a) > d, {shifted}, a))"
+    return f"aggregate({_powers(range(STEPS))}, {xs}, (a, d) -> if(size(a) > d, {shifted}, a))"
 
 
 def found(text: str, pattern: str, worth: str) -> str:
@@ -102,9 +104,9 @@ def reach(spans: str) -> str:
     return running(f"array_sort({spans})", "named_struct('start', x.start, 'end', greatest(p.end, x.end))")
 
 
-def overlap(far: str, steps: int = 21) -> str:
+def overlap(far: str) -> str:
     """SQL of how many code points of ``m`` the last span that starts before its end reaches over; ``far`` as ``reach`` gives it."""
-    last = f"aggregate({_powers(reversed(range(steps)))}, -1, (at, d) -> if(at + d < size({far}) AND {far}[at + d].start < m.end, at + d, at))"
+    last = f"aggregate({_powers(reversed(range(STEPS)))}, -1, (at, d) -> if(at + d < size({far}) AND {far}[at + d].start < m.end, at + d, at))"
     return f"coalesce(transform(array({last}), l -> if(l < 0, 0, greatest(0, least({far}[l].end, m.end) - greatest({far}[l].start, m.start))))[0], 0)"
 
 
@@ -113,8 +115,8 @@ def _bin(x: str, *edges) -> str:
 
 
 def candidates(text: str, base: str, failed: str) -> Column:
-    """array<struct<start, end, features, free, y>> of a text; ``base`` and ``failed`` are columns of spans. ``free``: no base span,
-    and of numbers no failed one, overlaps; ``y``: the weak label."""
+    """array<struct<start, end, features, free, cue, y>> of a text; ``base`` and ``failed`` are columns of spans. ``free``: no base
+    span, and of numbers no failed one, overlaps; ``cue``: a word before it says what it is; ``y``: the weak label."""
     features = {
         "length": _bin("length(m.m)", 8, 13, 19, 32),
         "digits": _bin("length(regexp_replace(m.m, '[^0-9]', '')) / length(m.m)", 0.05, 0.5, 0.95),
@@ -130,9 +132,11 @@ def candidates(text: str, base: str, failed: str) -> Column:
     def described(g, kind):
         met = f"named_struct('start', m.start, 'end', m.end, 'm', m.m, 'over', {overlap('far')}, 'bad', {overlap('bad')}, 'before', substring({text}, greatest(m.start - 23, 1), least(m.start, 24)))"
         free = "m.over = 0 AND m.bad = 0" if kind == "number" else "m.over = 0"
-        y = f"m.before RLIKE {sql(SECRET_CUE)}" if kind == "secret" else f"(m.over * 5 >= (m.end - m.start) * 4 OR ({free}) AND m.before RLIKE {sql(CONTACT_CUE)})"
+        cue = f"m.before RLIKE {sql(SECRET_CUE if kind == 'secret' else CONTACT_CUE)}"
+        y = "x.cue" if kind == "secret" else "(m.over * 5 >= (m.end - m.start) * 4 OR x.free AND x.cue)"
         fields = ", ".join(f"'{k}', {v}" for k, v in {"generator": g, **features}.items())
-        return f"transform(transform({found(text, *GENERATORS[kind])}, m -> {met}), m -> named_struct('start', m.start, 'end', m.end, 'features', named_struct({fields}), 'free', {free}, 'y', int({y})))"
+        marked = f"transform(array(named_struct('free', {free}, 'cue', {cue})), x -> named_struct('start', m.start, 'end', m.end, 'features', named_struct({fields}), 'free', x.free, 'cue', x.cue, 'y', int({y})))[0]"
+        return f"transform(transform({found(text, *GENERATORS[kind])}, m -> {met}), m -> {marked})"
 
     every = ", ".join(described(g, kind) for g, kind in enumerate(GENERATORS))
     return F.expr(f"transform(array({reach(base)}), far -> transform(array({reach(failed)}), bad -> concat({every}))[0])[0]")
@@ -188,8 +192,9 @@ def as_expression(trees, features: str) -> str:
 
 
 def thresholds(scored: list, precision: float = PRECISION) -> list[float]:
-    """For each generator, the least score at which (generator, score, n, positives) of free candidates are precise enough; without
-    positives, or if no score is precise enough, the score of that probability, or just above all that were seen to be wrong."""
+    """For each generator, the least score at which (generator, score, n, positives) of free candidates are precise enough, none
+    (``ANY``) if all of them together are; without positives, or if no score is precise enough, the score of that probability, or
+    just above all that were seen to be wrong."""
     out, fixed = [], float(np.log(precision / (1 - precision)))
     for g in range(RANGES["generator"]):
         own = sorted(((s, n, p) for k, s, n, p in scored if k == g), reverse=True)
@@ -197,27 +202,29 @@ def thresholds(scored: list, precision: float = PRECISION) -> list[float]:
         for i, (s, a, b) in enumerate(own):
             n, p = n + a, p + b
             if p and p >= precision * n and (i + 1 == len(own) or own[i + 1][0] < s):
-                cut = s
+                cut = s if i + 1 < len(own) else ANY
         out.append(float(cut) if cut is not None else max([fixed, *(s + 1e-9 for s, a, b in own if b < a)]))
     return out
 
 
-def learned(counts: list) -> tuple[list, list[float]]:
-    """Trees and thresholds from (fold, features, free, n, positives); the fixed examples are fold -1 and in every training set."""
+def learned(counts: list) -> tuple[list, list[float], list[float]]:
+    """Trees, thresholds of all candidates and thresholds of those with a cue, from (fold, features, free, cue, n, positives); the
+    fixed examples are fold -1 and in every training set. Look-alikes without a cue raise the first thresholds only, so they hide
+    none that a word before it names."""
 
     def merged(rows):
         total: dict = {}
-        for _, f, _, n, p in rows:
+        for _, f, _, _, n, p in rows:
             a, b = total.get(f, (0, 0))
             total[f] = a + n, b + p
         return [(f, *v) for f, v in sorted(total.items())]
 
-    scored = []
+    scored: list = []
     for k in range(FOLDS):
         trees = fit(merged([c for c in counts if c[0] != k]))
         seen: dict = {}
-        scored += [(c[1][0], seen.setdefault(c[1], predict(trees, c[1])), c[3], c[4]) for c in counts if c[0] == k and c[2]]
-    return fit(merged(counts)), thresholds(scored)
+        scored += [(c[1][0], seen.setdefault(c[1], predict(trees, c[1])), c[4], c[5], c[3]) for c in counts if c[0] == k and c[2]]
+    return fit(merged(counts)), thresholds([c[:4] for c in scored]), thresholds([c[:4] for c in scored if c[4]])
 
 
 def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,10 +239,11 @@ def detect(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.withColumn("failed_", F.concat(place("ip", "NOT s.ok"), place("card", "NOT s.ok"))).withColumns({k: place(k, "s.ok") for k in BASE})
     rows = materialise(rows.withColumn("c_", candidates("t_", "concat(email, ip, card, phone)", "failed_")).drop("t_", "failed_"))
     each = rows.select("fold_", F.explode("c_").alias("c"))
-    counts = each.groupBy(F.col("fold_").alias("fold"), "c.features", "c.free").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).collect()  # at most 12 * MAX_VECTORS rows
+    counts = each.groupBy(F.col("fold_").alias("fold"), "c.features", "c.free", "c.cue").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).collect()  # at most 24 * MAX_VECTORS rows
     seen = rows.filter("fold_ >= 0").drop("fold_")
-    trees, cuts = learned(sorted((r.fold, tuple(r.features[f] for f in RANGES), r.free, r.n, r.p) for r in counts))
-    chosen = f"filter(c_, c -> c.free AND ({as_expression(trees, 'c.features')}) >= CASE c.features.generator WHEN 0 THEN {cuts[0]!r}D WHEN 1 THEN {cuts[1]!r}D ELSE {cuts[2]!r}D END)"
+    trees, cuts, cued = learned(sorted((r.fold, tuple(r.features[f] for f in RANGES), r.free, r.cue, r.n, r.p) for r in counts))
+    of_generator = lambda xs: f"array({', '.join(f'{x!r}D' for x in xs)})[c.features.generator]"
+    chosen = f"filter(c_, c -> c.free AND ({as_expression(trees, 'c.features')}) >= if(c.cue, least({of_generator(cued)}, {of_generator(cuts)}), {of_generator(cuts)}))"
     kind = f"array({', '.join(map(sql, GENERATORS))})[c.features.generator]"
     return seen.withColumn("added", F.expr(f"array_sort(transform({chosen}, c -> named_struct('kind', {kind}, 'start', c.start, 'end', c.end)))")).drop("c_")
 

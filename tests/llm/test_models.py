@@ -2,6 +2,7 @@ import math
 import re
 
 import numpy as np
+import pytest
 from fixtures import ROWS, documents, texts
 from pyspark.sql import functions as F
 
@@ -54,7 +55,31 @@ def test_a_long_secret_is_found_whole(spark):
     secret = "".join(np.random.default_rng(9).choice(letters, 2000))
     docs = spark.createDataFrame([(f'key = 1, secret="{secret}" and more',), (f"secret={secret}==",)], "text string").withColumn("none", F.array().cast("array<struct<start:int,end:int>>"))
     got = [[(c.start, c.end, c.y) for c in r.c] for r in docs.select(pii.candidates("text", "none", "none").alias("c")).collect()]
-    assert got == [[(17, 2017, 1)], [(0, 2009, 0)]]
+    assert got == [[(17, 2017, 1)], [(7, 2009, 1)]]
+
+
+def test_cued_secrets_of_any_form_are_found_among_look_alikes(spark):
+    rng = np.random.default_rng(8)
+    value = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 32))
+    cued = ["token: {}", "secret = {}", "password: {}", "api_key={}", "x?a=1&token={}&b=2", 'export ACCESS_KEY="{}"']
+    alike = ["bearer {}", "pwd=x {}", "key: {}", "see {} there"]
+    rows = [(i, f"see {cued[i % 6].format(value())} ok", "en", "a", 0) for i in range(60)] + [(1000 + i, alike[i % 4].format(value()), "en", "a", 0) for i in range(600)]
+    rows += [(2000 + i, f"version {i}.0 of {i + 1990}, pages {i}", "en", "a", 0) for i in range(30)]
+    got = {r.doc_id: r.added for r in pii.detect(documents(spark, rows)).collect()}
+    for i, text, *_ in rows[:60]:
+        assert [text[a.start : a.end] for a in got[i]] == [re.search("[A-Za-z0-9]{32}", text)[0]], text
+    assert not any(got[i] for i, *_ in rows if i >= 1000)
+
+
+@pytest.mark.parametrize("steps", [1, 3, 31])
+def test_running_totals_double_as_often_as_they_must(spark, monkeypatch, steps):
+    """The module's doublings are as many as an array can have; fewer give other sums beyond 2 ** steps elements."""
+    assert 1 << pii.STEPS > (1 << 31) - 1
+    monkeypatch.setattr(pii, "STEPS", steps)
+    for n in (0, 1, 2, 7, 8, 9, 1000):
+        got = spark.range(1).select(F.expr(pii.running(f"transform(sequence(0, {n}), (x, i) -> int(i + 1))", "p + x"))).first()[0]
+        want = [i * (i + 1) // 2 for i in range(1, n + 2)]
+        assert (got == want) == (n + 1 <= 1 << steps)
 
 
 def test_secrets_of_a_small_table_and_failed_cards(spark, small):
