@@ -84,10 +84,12 @@ def token_count(text: str = "text"):
 
 
 def row_key(docs: DataFrame, seed: int) -> Column:
-    """A hash of every column, the same for copies only. Columns that cannot be hashed count by their text."""
+    """128 bits of hash of every column, as (a, b), the same for copies only. Columns that cannot be hashed count by their text."""
     plain = lambda t: not isinstance(t, (T.MapType, T.VariantType)) and all(map(plain, [t.elementType] if isinstance(t, T.ArrayType) else [f.dataType for f in t] if isinstance(t, T.StructType) else []))
     cols = [F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema]
-    return F.xxhash64(F.lit(seed), *[x for c in cols for x in (c.isNull(), c)])
+    marked = [x for c in cols for x in (c.isNull(), c)]
+    # The halves begin from seeds of their own, so columns that clash in one do not in the other.
+    return F.struct(F.xxhash64(F.lit(seed), *marked).alias("a"), F.xxhash64(F.lit(~seed), *marked, F.lit(seed)).alias("b"))
 
 
 def planned(slim: DataFrame, budget: int | None, target_entropy: float, max_epochs: float) -> DataFrame:
@@ -111,8 +113,8 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     """``docs`` as often as the mix takes each row, with ``mix_epoch`` (from 0), ``mix_block``, ``mix_place``, ``mix_tokens`` and
     ``mix_weight``.
 
-    ``budget``: tokens of the mix; all tokens there are if not given. ``key``: what the seeded orders hash, the same for copies
-    only; all columns if not given. Side tables are broadcast up to ``broadcast_rows`` rows, and joined by key beyond.
+    ``budget``: tokens of the mix; all tokens there are if not given. ``key``: what the seeded orders hash, within a source the same
+    for copies only; 128 bits of hash of all columns if not given. Side tables are broadcast up to ``broadcast_rows`` rows, and joined by key beyond.
     """
     docs = docs.drop(*INTERNAL)
     tokens = token_count() if tokens is None else tokens
@@ -155,12 +157,13 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
         last = F.when(F.col("mix_taken") == "whole", F.col("mix_copies")).when(F.col("mix_taken") == "part", F.coalesce("mix_row", F.lit(0))).otherwise(0)
         return df.withColumn("mix_last", last.cast("long"))
 
-    copied = slim.filter("mix_n > 1").select("mix_key")
+    item = ["mix_source", "mix_key"]
+    copied = slim.filter("mix_n > 1").select(*item)
     many = materialise(copied)
     n_many = many.count()
     repeated = F.broadcast(many) if n_many <= broadcast_rows else many
     # Single rows: their block follows from their key, so texts stay where they are.
-    single = marked.join(repeated, "mix_key", "left_anti") if n_many else marked
+    single = marked.join(repeated, item, "left_anti") if n_many else marked
     single = times(single.join(plan, "mix_source").withColumns({"mix_block": F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key", F.lit(0).cast("long")), b), "mix_copies": F.lit(1).cast("long")}))
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_full") + F.col("mix_last") - 1))
     out = single.filter(F.col("mix_full") + F.col("mix_last") > 0).withColumn("mix_epoch", epochs)
@@ -169,14 +172,14 @@ def mix(docs: DataFrame, *, source: str = "source", tokens=None, key=None, budge
     if not n_many:
         return out
     # Copies: one row of each item is kept, and comes as often as all its copies are taken, a part of them at a time.
-    kept = marked.join(repeated, "mix_key", "left_semi").dropDuplicates(["mix_key"])
+    kept = marked.join(repeated, item, "left_semi").dropDuplicates(item)
     counts = times(_grouped(parts.filter("mix_n > 1")))
     kinds = F.array(F.struct(F.col("mix_full").alias("e"), F.lit(0).cast("long").alias("from"), F.col("mix_last").alias("to")))
     wholes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mix_full") - 1), lambda e: F.struct(e.alias("e"), F.lit(0).cast("long").alias("from"), F.col("mix_copies").alias("to")))
     runs = F.filter(F.concat(F.when(F.col("mix_full") > 0, wholes).otherwise(F.array().cast("array<struct<e:bigint,from:bigint,to:bigint>>")), kinds), lambda r: r["to"] > 0)
     runs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(0).cast("long"), r["to"] - 1, F.lit(PART).cast("long")), lambda i: F.struct(r["e"].alias("e"), i.alias("from"), F.least(F.lit(PART), r["to"] - i).alias("c")))))
-    dealt = counts.select("mix_key", "mix_order", "mix_weight", F.explode(runs).alias("mix_run"))
-    again = kept.join(dealt, "mix_key").repartition(F.xxhash64("mix_key", "mix_order", "mix_run"))
+    dealt = counts.select(*item, "mix_order", "mix_weight", F.explode(runs).alias("mix_run"))
+    again = kept.join(dealt, item).repartition(F.xxhash64("mix_key", "mix_order", "mix_run"))
     again = again.withColumn("mix_i", F.explode(F.sequence(F.lit(1), F.col("mix_run.c").cast("int")))).withColumn("mix_epoch", F.col("mix_run.e"))
     return out.unionByName(again.select(*columns))
 
@@ -190,5 +193,5 @@ def _grouped(parts: DataFrame) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select(
-        "doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_place").alias("place"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight")
+        "doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_place.a").alias("place"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight")
     )
