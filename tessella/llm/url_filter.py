@@ -45,14 +45,14 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", key_hex: int = 8, broadcast_rules: int = 200_000, broadcast_matches: int = 200_000) -> DataFrame:
     """``pages(page_id, url)`` with host, path, rule and verdict.
 
-    A shape is a number of labels and a number of characters, so there are at most 127 times the longest rule's path of them,
-    however many rules, and a URL gives at most one expression each. The rules are broadcast only if there are at most
+    A shape is a number of labels and a number of characters, so there are at most as many as the rules' most labels times their
+    longest path, however many rules, and a URL gives at most one expression each. The rules are broadcast only if there are at most
     ``broadcast_rules`` of them; otherwise both sides are shuffled on the key. Distinct URLs that match are written, then broadcast
     if they are at most ``broadcast_matches``, or else joined by shuffling both sides, so that adaptive execution can split a URL
     that many pages have. Pages without a host match nothing and do not enter that join.
     """
     labels = F.size(F.split("r_host", "\\.", -1))
-    shapes = rules.select(labels.alias("labels"), F.length("r_path").alias("chars")).filter("labels <= 127").distinct().collect()
+    shapes = rules.select(labels.alias("labels"), F.length("r_path").alias("chars")).distinct().collect()
     host, path = split_url(F.col("url"))
     named = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     if not shapes:

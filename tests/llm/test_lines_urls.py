@@ -66,3 +66,10 @@ def test_hot_urls_and_many_shapes(spark):
     rules = [("block", ".".join(["x"] * k), "/" + "y" * n) for k in range(1, 9) for n in range(0, 700)]
     got = judge_urls(spark.createDataFrame([(1, "u://x.x.x/" + "y" * 40), (2, "u://z/")], "page_id long, url string"), rules_frame(spark, rules)).collect()
     assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: ("x.x.x/" + "y" * 40, "block"), 2: (None, "allow")}
+
+
+def test_rules_of_many_labels(spark):
+    long = ".".join(["x"] * 300)
+    rules = rules_frame(spark, [("block", long, "/"), ("allow", "x", "/")])
+    pages = spark.createDataFrame([(1, f"u://a.{long}/p"), (2, "u://a.x/p"), (3, f"u://{long[2:]}/p")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in judge_urls(pages, rules).collect()} == {1: f"{long}/", 2: "x/", 3: "x/"}
