@@ -3,7 +3,8 @@
 A transducer reads the bytes of one pre-token. Its state holds the longest suffix read that begins some token, and the last token
 of the encoding at each position of that suffix: all that can matter for what follows, and so finitely many states. A transition
 carries the change in the number of tokens that one more byte makes. The vocabulary has far more transitions than texts use, so they
-are compiled when first taken and kept (up to ``MAX_STATES`` states, then started anew).
+are compiled when first taken and kept. Beyond ``MAX_STATES`` states the tables are started anew, in the middle of a pre-token too: what
+outlives a reading holds a state's content, not its number.
 
 The last token of an encoding that grew by a byte is the one token that ends there and that may follow the last token of what
 stands before it; two tokens may follow each other if encoding their joined bytes gives them back.
@@ -40,7 +41,8 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 CHUNK, MAX_STATES, MAX_MEMO = 1 << 16, 150_000, 400_000
 # Fixed values of the pre-token format: how contractions go on after the apostrophe.
 CONTRACTIONS = {"s", "t", "m", "d", "re", "ve", "ll"}
-START = ("start", 0, "")
+EMPTY = (b"", (-1,), (0,))
+START = ("start", EMPTY, "")
 
 
 class StateMap:
@@ -95,13 +97,19 @@ class Transducer:
         self.is_kind = [(kind, regex.compile(f"[{chars}]").match) for kind, chars in (("space", SPACE), ("letters", r"\p{L}"), ("numbers", r"\p{N}"))]
         self.kinds: dict[str, str] = {}
         self.follows: dict[tuple[int, int], bool] = {}
+        self.memo = _Memo(self.run)
         self.reset()
 
     def reset(self):
-        self.states = [(b"", (-1,), (0,))]
-        self.ids = {self.states[0]: 0}
+        self.states, self.ids = [], {}
         self.steps: dict[int, int] = {}
-        self.memo = _Memo(self.run)
+        self.number(EMPTY)
+
+    def number(self, key) -> int:
+        if (known := self.ids.get(key)) is None:
+            known = self.ids[key] = len(self.states)
+            self.states.append(key)
+        return known
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a few bytes, by the merge rules themselves."""
@@ -140,27 +148,29 @@ class Transducer:
         emitted = count[k] + 1
         cut = next(k for k in range(len(read) + 1) if read[k:] in self.live)
         key = (read[cut:], (*last, t)[cut:], (*(c - emitted for c in count), 0)[cut:])
-        if (new := self.ids.get(key)) is None:
-            new = self.ids[key] = len(self.states)
-            self.states.append(key)
+        new = self.number(key)
         if not -128 <= emitted < 128:
             raise OverflowError(f"a byte changes the count by {emitted}")
         step = self.steps[state << 8 | byte] = new << 16 | emitted + 128 << 8
         return step
 
     def run(self, piece: str) -> int:
-        return self.feed(0, piece)[1]
+        return self.feed(EMPTY, piece)[1]
 
-    def feed(self, state: int, piece: str) -> tuple[int, int]:
+    def feed(self, state: tuple, piece: str) -> tuple[tuple, int]:
         """(state, change of the count) after more characters of one pre-token."""
-        n, at, steps = 0, state << 8, self.steps
+        n, at = 0, self.number(state) << 8
         for b in piece.encode("utf-8", "surrogatepass"):
-            step = steps.get(at | b)
+            step = self.steps.get(at | b)
             if step is None:
+                if len(self.states) >= MAX_STATES:
+                    now = self.states[at >> 8]
+                    self.reset()
+                    at = self.number(now) << 8
                 step = self.compile(at >> 8, b)
             n += (step >> 8 & 255) - 128
             at = step >> 16 << 8
-        return at >> 8, n
+        return self.states[at >> 8], n
 
     def kind(self, c: str) -> str:
         if (known := self.kinds.get(c)) is None:
@@ -178,12 +188,12 @@ class Transducer:
             if said in CONTRACTIONS:
                 return START, self.run("'" + said)
             if any(x.startswith(said) for x in CONTRACTIONS):
-                return ("apostrophe", 0, said), 0
-            at, n = self.feed(0, "'")
+                return ("apostrophe", EMPTY, said), 0
+            at, n = self.feed(EMPTY, "'")
             if not waiting:
                 after, m = self.step(("others", at, ""), c)
                 return after, n + m
-            at, m = self.feed(0, waiting)
+            at, m = self.feed(EMPTY, waiting)
             after, k = self.step(("letters", at, ""), c)
             return after, n + m + k
         if run == "space":
@@ -191,7 +201,7 @@ class Transducer:
                 at, n = self.feed(at, waiting)
                 return ("space", at, c), n
             if waiting == " ":
-                at, n = self.feed(0, waiting + c)
+                at, n = self.feed(EMPTY, waiting + c)
                 return (kind, at, ""), n
             after, n = self.step(START, c)
             return after, n + self.run(waiting)
@@ -199,10 +209,10 @@ class Transducer:
             at, n = self.feed(at, c)
             return (kind, at, ""), n
         if c == "'":
-            return ("apostrophe", 0, ""), 0
+            return ("apostrophe", EMPTY, ""), 0
         if kind == "space":
-            return ("space", 0, c), 0
-        at, n = self.feed(0, c)
+            return ("space", EMPTY, c), 0
+        at, n = self.feed(EMPTY, c)
         return (kind, at, ""), n
 
     def finish(self, state) -> int:
@@ -238,8 +248,6 @@ class Transducer:
         return StateMap(of)
 
     def plain(self, text: str) -> int:
-        if len(self.states) > MAX_STATES:  # never between the chunks of a text, whose maps hold states
-            self.reset()
         if len(text) <= CHUNK:
             return self.tokens(text)
         state, n = prefix_scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1](START)

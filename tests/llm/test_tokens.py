@@ -48,6 +48,25 @@ def test_character_transducer_and_scan(bpe):
     assert machine.count(long) == len(bpe[1].encode(long).ids)
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 40])
+def test_states_stay_bounded_within_a_text(bpe, monkeypatch, chunk):
+    monkeypatch.setattr(tc, "CHUNK", chunk)
+    monkeypatch.setattr(tc, "MAX_STATES", 50)
+    machine = tc.Transducer(bpe[0])
+    most, number = 0, machine.number
+
+    def watched(key):
+        nonlocal most
+        got = number(key)
+        most = max(most, len(machine.states))
+        return got
+
+    machine.number = watched
+    for x in [*fuzz(300, 77), "".join(chr(97 + i * i % 26) for i in range(5000)), "don't " * 300 + "xyz" * 2000, " ".join(f"w{i}q" for i in range(3000))]:
+        assert machine.count(x) == len(bpe[1].encode(x, add_special_tokens=False).ids), x[:50]
+    assert 25 < most <= 52
+
+
 def test_count_tokens_frame(spark, bpe):
     docs = documents(spark)
     got = tc.count_tokens(docs, bpe[0]).collect()
