@@ -11,11 +11,12 @@ the exact best of all blocks are kept.
 The share of lists to probe is measured on the sample: the least share at which brute force confirms ``target`` recall there.
 Neighbours are further apart in a sample than among all vectors, so this errs to the safe side. A query whose lists hold fewer than
 k other vectors probes on, in order of centroid distance, until they do. The sample is ordered by id, and every product with the
-centroids is made in slices of bounded size. There are at most ``max_sample`` / 2 lists: beyond that many squared vectors the
+centroids is made in slices of bounded size; the sample has at most ``MAX_BYTES`` of vectors and is broadcast. There are at most ``max_sample`` / 2 lists: beyond that many squared vectors the
 lists, and so the work of a query, grow with the table.
 
 Blocks of vectors meet blocks of queries on an equal key, so a list of any size and any number of queries spread over tasks of
-bounded size.
+bounded size. Vectors are dealt to blocks by a hash of id and vector; of equal rows of an id with more than ``block`` rows only k
+are dealt, since no result can hold more.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a
 query with fewer other vectors gets them all; ties go to the smaller id; repeated candidate rows are candidates each, repeated
@@ -34,6 +35,7 @@ from pyspark.sql import Window as W
 from .common import materialise, table
 
 MAX_SAMPLE, BLOCK, QUERY_BLOCK, TARGET, SEED, SLICE = 20_000, 256, 256, 0.98, 5, 512
+MAX_BYTES = 1 << 28
 
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -157,17 +159,24 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
 
     rows = materialise(usable(vectors, id, vector))
     out = "query_id long, vec_id long, score double"
-    n = rows.count()
+    n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    max_sample = max(1, min(max_sample, MAX_BYTES // (16 * dims)))  # twice as many rows are taken at most
+    many = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("id"))
+    if not many.isEmpty():
+        copies = rows.join(many, "id", "left_semi").groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+        rows = materialise(rows.join(many, "id", "left_anti").unionByName(copies.select("id", "v", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("id", "v")))
+        n = rows.count()
     ask = F.lit(True) if is_query is None else is_query
     share = F.lit(True) if n <= max_sample else F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(1_000_000 * max_sample / n)
     taken = rows.filter(share).orderBy("id", "v").limit(2 * max_sample).collect() or rows.orderBy("id", "v").limit(1).collect()
     index = Index(np.array([r.id for r in taken]), np.array([r.v for r in taken]), n, k, target, seed)
+    held_index = vectors.sparkSession.sparkContext.broadcast(index)
 
     def listing(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.nearest(_array(b.column(1))), pa.int32())], names=["id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held_index.value.nearest(_array(b.column(1))), pa.int32())], names=["id", "v", "list"])
 
     listed = materialise(rows.mapInArrow(listing, "id long, v array<double>, list int"))
     held = np.zeros(len(index.centroids), np.int64)
@@ -176,7 +185,7 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
 
     def probing(batches):
         for b in batches:
-            lists, bounds = index.probed(np.asarray(b.column(0)), _array(b.column(1)), held, np.asarray(b.column(2)) + k) if b.num_rows else ([], [])
+            lists, bounds = held_index.value.probed(np.asarray(b.column(0)), _array(b.column(1)), held, np.asarray(b.column(2)) + k) if b.num_rows else ([], [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32())), pa.array(bounds, pa.list_(pa.float64()))], names=["id", "v", "lists", "bounds"])
 
     # A query's own rows are no candidates, so its lists need to hold k vectors besides these.
@@ -187,16 +196,17 @@ def search(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding",
     sizes = listed.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
     sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / query_block).cast("int").alias("asks")))  # a row for each of at most max_sample / 2 lists
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = lambda c: F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col(c)).cast("int")
-    here = listed.join(sizes, "list").withColumn("x", dealt("blocks")).withColumn("y", every("asks")).select("list", "x", "y", "id", "v")
-    there = asked.join(sizes, "list").withColumn("y", dealt("asks")).withColumn("x", every("blocks")).select("list", "x", "y", "id", "v", "bound")
+    dealt = lambda c, *of: F.pmod(F.xxhash64(F.lit(seed + 1), *of), F.col(c)).cast("int")
+    here = listed.join(sizes, "list").withColumn("x", dealt("blocks", "id", "v")).withColumn("y", every("asks")).select("list", "x", "y", "id", "v")
+    there = asked.join(sizes, "list").withColumn("y", dealt("asks", "id")).withColumn("x", every("blocks")).select("list", "x", "y", "id", "v", "bound")
 
     def meet(left, right):
         ids, v = np.asarray(left.column("id")), _array(left.column("v"))
         asks, q, bounds = np.asarray(right.column("id")), _array(right.column("v")), np.asarray(right.column("bound"))
         found = []
         if len(ids) and len(asks):
-            turned, turned_q = np.ascontiguousarray((v @ index.rotation).T), q @ index.rotation
+            rotation = held_index.value.rotation
+            turned, turned_q = np.ascontiguousarray((v @ rotation).T), q @ rotation
             for i in range(len(asks)):
                 at = scan(turned_q[i], turned, k + int((ids == asks[i]).sum()), bounds[i])
                 at = at[ids[at] != asks[i]]

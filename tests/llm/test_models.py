@@ -233,6 +233,15 @@ def test_copies_are_mixed_like_other_rows(spark):
                 assert quota - 50 < got.get(s, 0) <= quota, (budget, s, got, quota)
 
 
+def test_items_whose_hashes_clash_in_half_are_apart(spark):
+    docs = documents(spark, [(i, "w " * (1 + i % 3), "en", "a" if i % 2 else "b", i) for i in range(40)])
+    for key in (F.struct(F.lit(1).alias("a"), F.xxhash64("doc_id").alias("b")), F.struct(F.xxhash64("doc_id").alias("a"), F.lit(1).alias("b")), F.floor(F.col("doc_id") / 2)):
+        got = mixing.mix(docs, key=key, target_entropy=0.1, max_epochs=4.0).filter("mix_epoch = 0").collect()
+        assert sorted(r.doc_id for r in got) == list(range(40))
+    two = docs.select(mixing.row_key(docs, 1).alias("k")).distinct().collect()
+    assert len({r.k.a for r in two} | {r.k.b for r in two}) == 80
+
+
 def test_mix_edges(spark):
     clash = documents(spark)
     for name in ("rest", "full", "blocks", "stop", "mix_block", "mix_key", "times", "t", "n", "j", "c", "r", "last", "upto"):
@@ -301,6 +310,15 @@ def test_quality_against_plain_ridge(spark, small):
         assert abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.3)
 
 
+@pytest.mark.parametrize("folds", [[4], [1, 2, 3]])
+def test_quality_with_rows_of_one_kind_of_fold_only(spark, folds):
+    docs = documents(spark, [(i, "good words in a row. " * 9 if i % 2 else "@@ ## 11 " * 9, "en", "a", 0) for i in range(300)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int").filter(quality.fold().isin(folds))
+    model = quality.train(quality.with_statistics(docs).select("doc_id", "stats"), marks)
+    got = quality.score(quality.with_statistics(docs), model).collect()
+    assert min(r.score for r in got if r.doc_id % 2) > 0.7 > 0.3 > max(r.score for r in got if not r.doc_id % 2)
+
+
 def test_isotonic_is_monotone():
     x, y = quality._isotonic([(0, 1, 0), (1, 1, 1), (2, 2, 0), (3, 1, 1)])
     assert list(y) == sorted(y) and abs(y[1] - 1 / 3) < 1e-12 and len(x) == 3
@@ -373,6 +391,20 @@ def test_a_query_with_many_rows_of_its_own(spark):
     assert len(got) == 10 and all(r.vec_id for r in got)
 
 
+def test_an_id_that_repeats_is_dealt_in_blocks(spark):
+    v = np.random.default_rng(17).normal(size=(90, 4))
+    rows = [(1, v[1].tolist())] * 500 + [(2, v[i % 30].tolist()) for i in range(300)] + [(i, x.tolist()) for i, x in enumerate(v) if i > 2]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = search(frame, is_query=F.col("id").isin(1, 50), block=16).orderBy("query_id", "rank").collect()
+    for q in (1, 50):
+        far = np.sqrt(((x - v[q]) ** 2).sum(1))
+        best = sorted((f, i) for f, i in zip(far, ids) if i != q)[:10]
+        own = [r for r in got if r.query_id == q]
+        assert len(own) == 10 and own[0].vec_id == best[0][1] and sum(r.score <= best[-1][0] + 1e-9 for r in own) >= 7
+    assert sum(r.vec_id == 2 for r in got) > 2  # its equal rows are candidates each
+
+
 def test_recall_on_the_given_vectors(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
