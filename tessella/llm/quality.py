@@ -9,7 +9,8 @@ takes statistics of these rows only.
 Neither ids nor language nor source are inputs of a score.
 
 Defined results: a null or empty text has all statistics zero and a score like any other; rows without a label only do not
-train; several labels of an id are averaged; without any labels every score is 0.5; repeated rows keep their rows; extra
+train; several labels of an id are averaged; where all labelled rows are of fold 4 the ridge learns from these,
+and where none is the calibration reads the rows that the ridge learned from; without any labels every score is 0.5; repeated rows keep their rows; extra
 columns are carried along by ``score`` and a column named like the new one is replaced.
 """
 
