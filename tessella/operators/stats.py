@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .closure import kept
+
 
 def histogram(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Counts, most common first, ties by value."""
@@ -42,14 +46,60 @@ def rounded_percentiles(df: DataFrame, keys: list[str], x: str, percents: list[f
     return _at_ranks(df, keys, x, {f"p{round(p)}": lambda n, p=p: F.least(n - 1, F.bround((n - 1) * F.lit(p / 100), 0)) for p in percents})
 
 
-def _at_ranks(df: DataFrame, keys: list[str], x: str, ranks: dict) -> DataFrame:
-    """The values at ranks (from 0) that follow from a group's size: counts of distinct values, then a running count over those."""
-    from pyspark.sql import Window as W
-
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("c_"))
-    w = W.partitionBy(*keys).orderBy(x)
-    run = counts.withColumn("upto_", F.sum("c_").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n_", F.sum("c_").over(W.partitionBy(*keys)))
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto_") > rank(F.col("n_")), F.col(x))).alias(name) for name, rank in ranks.items()])
+def _at_ranks(df: DataFrame, keys: list[str], x: str, ranks: dict, *, most: int = 100_000) -> DataFrame:
+    """The values at ranks (from 0) that follow from a group's size: counts of distinct values, then a running count over those.
+
+    A group of more than ``most`` distinct values is first narrowed to the ranges that hold the ranks, again and again.
+    """
+    counts = kept(df.filter(F.col(x).isNotNull()).groupBy(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col(x).alias("x_")).agg(F.count("*").alias("c_")))
+    by = [f"k{i}_" for i in range(len(keys))]
+    sizes = kept(counts.groupBy(*by).agg(F.sum("c_").alias("n_"), F.count("*").alias("d_")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name_"), rank(F.col("n_")).cast("long").alias("rank_")) for name, rank in ranks.items()]))
+    asked = sizes.select(*by, "d_", wanted.alias("w")).select(*by, "d_", "w.*")
+    found, rows, group = [], counts, by
+    while True:
+        small = asked.filter(F.col("d_") <= most)
+        found.append(_ranked(rows, small, group).select(*by, "name_", "x_"))
+        asked = asked.filter(F.col("d_") > most)
+        if asked.isEmpty():
+            break
+        rows, asked = _narrowed(rows, asked, group)
+        group = [*by, "name_"]
+    values = reduce(DataFrame.unionByName, found)
+    out = values.groupBy(*by).agg(*[F.max(F.when(F.col("name_") == name, F.col("x_"))).alias(name) for name in ranks])
+    return out.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *ranks)
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on ``by``, where nulls are equal; the columns of ``b`` that are not in ``by`` are added."""
+    b = b.select(*[F.col(c).alias(f"{c}r") for c in by], *[c for c in b.columns if c not in by])
+    on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"{c}r")) for c in by], F.lit(True))
+    return a.join(b, on).drop(*[f"{c}r" for c in by])
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, name_, x_): the value at each asked rank, by a running count over a group's distinct values."""
+    held = _same(rows, asked.select(*by).distinct(), by)
+    run = held.withColumn("upto_", F.sum("c_").over(W.partitionBy(*by).orderBy("x_").rowsBetween(W.unboundedPreceding, 0)))
+    asked = asked if "name_" not in by else asked.select(*by, "rank_")
+    return _same(run, asked, by).filter(F.col("upto_") > F.col("rank_")).groupBy(*dict.fromkeys([*by, "name_"])).agg(F.min("x_").alias("x_"))
+
+
+def _narrowed(rows: DataFrame, asked: DataFrame, by: list[str], parts: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The rows of the ranges that hold the asked ranks, keyed by the rank's name, and the ranks within them. Ranges are cut at
+    ``parts`` approximate quantiles of a group's distinct values, whose rows are then counted, so ranks stay exact."""
+    groups = kept(asked.select(*by).distinct())
+    cuts = kept(_same(rows, groups, by).groupBy(*by).agg(F.percentile_approx("x_", [i / parts for i in range(1, parts)], 50 * parts).alias("cuts_")))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
+    bin_ = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get("cuts_", at + s - 1) <= F.col("x_"), s).otherwise(0))
+    binned = _same(rows, cuts, by).withColumn("bin_", bin_).drop("cuts_")
+    sums = binned.groupBy(*by, "bin_").agg(F.sum("c_").alias("s_"), F.count("*").alias("d_"))
+    before = F.coalesce(F.sum("s_").over(W.partitionBy(*by).orderBy("bin_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # ``parts`` rows a group
+    met = _same(asked.drop("d_"), sums.withColumn("before_", before), by)
+    chosen = met.filter((F.col("before_") <= F.col("rank_")) & (F.col("rank_") < F.col("before_") + F.col("s_")))
+    chosen = kept(chosen.withColumn("rank_", F.col("rank_") - F.col("before_")).drop("s_", "before_"))
+    narrow = _same(binned, chosen.select(*dict.fromkeys([*by, "bin_", "name_"])), [*by, "bin_"]).drop("bin_")
+    return kept(narrow), chosen.drop("bin_")
 
 
 def agreed(df: DataFrame, a: Column, b: Column) -> DataFrame:
