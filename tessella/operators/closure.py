@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip_comments
+from tessella.sources.folders import shared_folder
 
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]+)\}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``, and read from there. Only a local master gets
-    a folder of its own where none is named."""
+    """``df`` written to the folder that driver and executors share, and read from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -33,22 +30,24 @@ def inclusions(files: DataFrame, project: str = "project", path: str = "path", t
     return each.join(files.select(project, F.col(path).alias("dst")), [project, "dst"]).select(project, "src", "dst").filter("src <> dst").distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int = 50, keep=None) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int | None = None, keep=None) -> DataFrame:
     """(keys, root, node) of all nodes reachable from each root, itself included; edges(keys, src, dst), roots(keys, root).
 
-    Breadth first; nodes seen are not expanded again, so cycles end. ``keep`` writes each round's result down (a table); a checkpoint
+    Breadth first; nodes seen are not expanded again, so cycles end, and chains of any length are followed unless ``max_depth`` makes
+    a longer one an error. ``keep`` writes each round's result down (a table); a checkpoint
     if not given. Either way the lineage is cut, and a lost executor costs a reread.
     """
     keep = keep or kept
     seen = keep(roots.withColumn("node", F.col("root")).distinct())
     front = seen
-    for _ in range(max_depth):
+    for depth in itertools.count(1):
         step = front.join(edges, [*[front[k] == edges[k] for k in keys], front["node"] == edges["src"]]).select(*[front[k] for k in keys], front["root"], edges["dst"].alias("node")).distinct()
         front = keep(step.join(seen, [*keys, "root", "node"], "left_anti"))
         if front.isEmpty():
             return seen
+        if depth == max_depth:
+            raise RuntimeError(f"a closure is deeper than {max_depth}")
         seen = keep(seen.unionByName(front))
-    raise RuntimeError(f"a closure is deeper than {max_depth}")
 
 
 def pick_root(reached: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .closure import kept
+from .joins import similar_sets
+
 
 def _best(df: DataFrame, keys: list[str], by: Column, largest: bool) -> DataFrame:
     """One row a group by a composite key, pre-aggregated before the shuffle, so a hot group costs a row a task."""
@@ -162,12 +165,41 @@ def representatives(df: DataFrame, key: str, output: list[str]) -> DataFrame:
 
 
 def agreement(df: DataFrame, key: str, agree) -> DataFrame:
-    """Rows that agree with any other row of their group; ``agree(a, b)`` is a predicate over two struct columns."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    groups = df.groupBy(key).agg(F.collect_list(row).alias("rows"))
-    own = groups.select(F.posexplode("rows").alias("p", "r"), "rows")
-    other = F.exists(F.transform("rows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: (y["i"] != F.col("p")) & agree(F.col("r"), y["x"]))
-    return own.select("r.*", F.coalesce(other, F.lit(False)).alias("agreed"))
+    """Rows that agree with any other row of their group; ``agree(a, b)`` is a predicate over two struct columns.
+
+    A semi-join by key, which stops at a row's first agreement and gathers no group; equalities in the predicate become keys.
+    """
+    rows = kept(df.withColumn("row_", F.monotonically_increasing_id()))
+    own = F.struct(*[F.col(c) for c in df.columns])
+    others = rows.select(F.col(key).alias("other_key_"), F.col("row_").alias("other_row_"), own.alias("other_"))
+    met = (F.col(key) == F.col("other_key_")) & (F.col("row_") != F.col("other_row_")) & agree(own, F.col("other_"))
+    marks = rows.join(others, met, "left_semi").select("row_", F.lit(True).alias("agreed"))
+    return rows.join(marks, "row_", "left").drop("row_").withColumn("agreed", F.coalesce("agreed", F.lit(False)))
+
+
+def similar_agreement(df: DataFrame, id: str, blocks: list[str], text: str, similarity: float = 0.985, confirm=None) -> DataFrame:
+    """(id, agreed): whether the text of a row is like that of any other row with the same ``blocks`` (pages, document).
+
+    Likeness is 2 x (words in common, counted) / (words of both), which no similarity of word sequences exceeds; ``confirm(a, b)``, an
+    expression over two texts, then holds the pairs that reach it against such a similarity. Words numbered by their occurrence make
+    a text's multiset a set, so pairs come from the exact set join: by rare words and sizes, never all pairs of a block. Equal
+    multisets are one class; copies agree without a pair. Texts without words agree with none.
+    """
+    rows = df.select(F.col(id).alias("id_"), F.to_json(F.struct(*blocks)).alias("block_"), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "").alias("w_"))
+    words = rows.select("id_", "block_", F.explode("w_").alias("w")).groupBy("id_", "block_", "w").agg(F.count("*").cast("int").alias("c"))
+    items = words.select("id_", F.explode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda k: F.concat_ws("\x1f", "block_", k, "w"))).alias("item"))
+    sets = kept(items.groupBy("id_").agg(F.array_sort(F.collect_list("item")).alias("items_")).withColumn("class_", F.sha2(F.array_join("items_", "\x1e"), 256)))
+    classes = kept(sets.groupBy("class_").agg(F.min("id_").alias("rep_"), F.first("items_").alias("items_"), F.count("*").alias("n_")))
+    bound = similarity / (2 - similarity)  # of the sets' Jaccard similarity
+    pairs = similar_sets(classes, classes, "rep_", "items_", bound).filter("left_id < right_id").select("left_id", "right_id")
+    if confirm is not None:
+        texts = df.select(F.col(id).alias("id_"), F.col(text).alias("t_"))
+        side = lambda name: texts.select(F.col("id_").alias(f"{name}_id"), F.col("t_").alias(f"{name}_t_"))
+        pairs = pairs.join(side("left"), "left_id").join(side("right"), "right_id").filter(confirm(F.col("left_t_"), F.col("right_t_")) >= similarity)
+    near = pairs.select(F.explode(F.array("left_id", "right_id")).alias("rep_")).distinct()
+    found = classes.join(near.withColumn("near_", F.lit(True)), "rep_", "left").select("class_", (F.coalesce("near_", F.lit(False)) | (F.col("n_") > 1)).alias("agreed"))
+    marks = sets.select("id_", "class_").join(found, "class_").select(F.col("id_").alias(id), "agreed")
+    return df.select(id).join(marks, id, "left").withColumn("agreed", F.coalesce("agreed", F.lit(False)))
 
 
 def needs_teacher(samples: DataFrame, demos: DataFrame, key: str, good: str) -> DataFrame:

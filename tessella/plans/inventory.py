@@ -11,6 +11,7 @@ from tessella.functions import text as X
 from tessella.operators import closure, dedup, joins, mining, selection, splits, stats
 from tessella.plans import reports
 from tessella.sources import readers
+from tessella.sources.folders import scratch
 from tessella.sources.tables import table
 from tessella.streaming import incremental
 
@@ -870,36 +871,38 @@ def gen_project_single_site(spark, sf_dir):
 # --- sources and sinks: what is written is read again
 
 
-def _folder(spark):
-    """A new folder where the session keeps what executors share; a temporary one for a local session that names none."""
-    import tempfile
-    import uuid
+def in_scratch(f):
+    """A query that writes: ``f`` gets a folder's name, its result is kept, and the folder is removed."""
 
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/inventory-{uuid.uuid4().hex}"
+    def run(spark, sf_dir):
+        with scratch(spark) as path:
+            return closure.kept(f(spark, sf_dir, path))
+
+    return run
 
 
 @query("src01_json_lines", "SELECT doc_id, text, lang, n_chars FROM documents")
-def src01(spark, sf_dir):
+@in_scratch
+def src01(spark, sf_dir, path):
     from tessella.sources import writers
 
-    path = _folder(spark)
     writers.json_lines(_docs(spark, sf_dir, "text", "lang", "n_chars"), path)
     return readers.json_lines(spark, path, "doc_id long, text string, lang string, n_chars long")
 
 
 @query("src02_reference_map", "SELECT '\"' || doc_id::VARCHAR || '\\' AS doc, text, (n_chars % 7)::INT AS pages FROM documents")
-def src02(spark, sf_dir):
+@in_scratch
+def src02(spark, sf_dir, path):
     from tessella.sources import writers
 
-    path = _folder(spark)
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit("\\")).alias("doc"), "text", (F.col("n_chars") % 7).cast("int").alias("pages"))
     writers.json_map(rows, "doc", path)
     return readers.reference_map(spark, path).select("doc", "text", "pages")
 
 
 @query("src04_post_rows", "SELECT p_partkey AS \"Id\", (1 + p_partkey % 2)::INT AS \"PostTypeId\", p_name || ' <b>&' AS \"Title\" FROM part")
-def src04(spark, sf_dir):
-    path = _folder(spark)
+@in_scratch
+def src04(spark, sf_dir, path):
     k = F.col("p_partkey")
     row = F.concat(F.lit('  <row Id="'), k.cast("string"), F.lit('" PostTypeId="'), (1 + k % 2).cast("string"), F.lit('" Title="'), "p_name", F.lit(' &lt;b&gt;&amp;" />'))
     head = spark.range(1).select(F.lit("<posts>").alias("value"))
@@ -908,8 +911,8 @@ def src04(spark, sf_dir):
 
 
 @query("src05_post_attributes", "SELECT p_partkey AS id, p_name || ' &lt;' AS title FROM part WHERE p_partkey % 3 = 0")
-def src05(spark, sf_dir):
-    path = _folder(spark)
+@in_scratch
+def src05(spark, sf_dir, path):
     row = F.concat(F.lit('<row Id="'), F.col("p_partkey").cast("string"), F.lit('" Title="'), "p_name", F.lit(' &lt;" />'))
     part = table(spark, sf_dir, "part")
     part.select(row.alias("value")).write.text(path)
@@ -933,8 +936,8 @@ def src14(spark, sf_dir):
 
 
 @query("src12_project_files", "SELECT 'p' || (page_id % 5)::VARCHAR AS project, count(*) AS n FROM pages WHERE page_id < 20 GROUP BY 1")
-def src12(spark, sf_dir):
-    root = _folder(spark)
+@in_scratch
+def src12(spark, sf_dir, root):
     some = table(spark, sf_dir, "pages").filter("page_id < 20")
     named = some.select(F.concat(F.lit("p"), (F.col("page_id") % 5).cast("string")).alias("project"), "url", F.col("page_id").alias("k"))
     # One text part a page, named .txt, in the folder of its project.
@@ -944,20 +947,20 @@ def src12(spark, sf_dir):
 
 
 @query("snk02_append_new", "SELECT doc_id FROM documents")
-def snk02(spark, sf_dir):
+@in_scratch
+def snk02(spark, sf_dir, path):
     from tessella.sources import writers
 
-    path = _folder(spark)
     writers.append_new(_docs(spark, sf_dir).filter("doc_id % 3 = 0"), path, "doc_id")
     writers.append_new(_docs(spark, sf_dir), path, "doc_id")
     return spark.read.parquet(path)
 
 
 @query("snk03_routed", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'pool' ELSE 'kept' END AS route FROM documents")
-def snk03(spark, sf_dir):
+@in_scratch
+def snk03(spark, sf_dir, path):
     from tessella.sources import writers
 
-    path = _folder(spark)
     writers.routed(_docs(spark, sf_dir, "n_chars"), path, F.when(F.col("n_chars") > 1000, "pool").otherwise("kept"))
     return spark.read.parquet(path).select("doc_id", "route")
 
@@ -982,10 +985,10 @@ def snk07(spark, sf_dir):
 
 
 @query("snk06_manifest", "SELECT 'docs' AS file, count(*) AS rows FROM documents")
-def snk06(spark, sf_dir):
+@in_scratch
+def snk06(spark, sf_dir, path):
     from tessella.sources import writers
 
-    path = _folder(spark)
     docs = _docs(spark, sf_dir)
     docs.write.parquet(path)
     return writers.manifest(spark, {"docs": path}, {"docs": docs}).filter("bytes > 0 and length(sha256) = 64").select("file", "rows")
@@ -1080,8 +1083,8 @@ def sel09(spark, sf_dir):
 
 
 @query("strm01_available", "SELECT doc_id FROM documents")
-def strm01(spark, sf_dir):
-    root = _folder(spark)
+@in_scratch
+def strm01(spark, sf_dir, root):
     docs = _docs(spark, sf_dir)
     docs.filter("doc_id % 2 = 0").write.parquet(f"{root}/in/a")
     docs.filter("doc_id % 3 <> 0").write.parquet(f"{root}/in/b")
@@ -1099,8 +1102,8 @@ def rpt05(spark, sf_dir):
 
 
 @query("strm06_capped", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3")
-def strm06(spark, sf_dir):
-    root = _folder(spark)
+@in_scratch
+def strm06(spark, sf_dir, root):
     events = table(spark, sf_dir, "events").select("user_id", "event_id")
     events.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")

@@ -13,26 +13,30 @@ from tessella.sources.readers import existing
 def process_available(spark: SparkSession, source: str, schema, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *, files_per_batch: int = 100, timeout: int | None = None) -> int:
     """Runs ``work`` over files that came since the last run, and appends its rows whose key is new; returns the number of batches.
 
-    Exactly once: the checkpoint says which files are done, and each batch overwrites its own folder ``batch=<n>``, so a batch that a
-    crash repeats leaves no second copy.
+    Two streams: one writes each batch's results to a folder of its own beside the checkpoint, overwritten if a crash repeats the batch;
+    the other appends those to ``out`` and keeps the keys it has seen as state, so a batch costs its own rows, however many came
+    before. Both are exactly once, by the checkpoint's record of files and the file sink's record of what it committed.
     """
     batches = []
+    staged = f"{checkpoint}/staged"
 
     def write(df: DataFrame, n: int) -> None:
-        rows = work(df).dropDuplicates([key])
-        known = [p for p in existing(df.sparkSession, [out])]
-        if known:
-            old = df.sparkSession.read.parquet(out)
-            rows = rows.join(old.filter(F.col("batch") != n).select(key), key, "left_anti") if "batch" in old.columns else rows
-        rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        work(df).dropDuplicates([key]).write.mode("overwrite").parquet(f"{staged}/batch={n}")
         batches.append(n)
 
+    def run(writer) -> None:
+        query = writer.trigger(availableNow=True).start()
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
+            query.stop()
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if timeout is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(timeout):
-        query.stop()
+    run(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/work"))
+    if existing(spark, [staged]):
+        made = spark.read.parquet(staged).drop("batch").schema
+        fresh = spark.readStream.schema(made).parquet(f"{staged}/*").dropDuplicates([key])
+        run(fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/keys"))
     return len(batches)
 
 
