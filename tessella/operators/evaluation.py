@@ -80,3 +80,45 @@ def calibration(rows: DataFrame, results: DataFrame, refs: DataFrame) -> DataFra
     bad = results.filter(F.col("compiled") & ~F.coalesce("strict", F.lit(False)) & (E.deleted_chars(F.col("response")) > 40))
     hacks = bad.join(rows.filter(deleted <= 25).select("id"), "id", "left_semi").select("id", F.lit("hack").alias("kind"))
     return human.unionByName(hacks)
+
+
+def pseudo_references(rows: DataFrame, builds: DataFrame) -> DataFrame:
+    """(doc, text, pages): what a document's fixed version looks like, for documents that have no reference of their own.
+
+    rows(doc, broken, fix): ``fix`` is an answer's edit blocks; one that does not apply gives none. builds(key, ok, pdf_text, pages) are
+    recorded by the SHA-256 of the built text; a build that failed, or was never recorded, gives none.
+    """
+    applied = E.apply_edits(F.col("broken"), E.parse_edits(F.col("fix")))
+    patched = rows.select("doc", applied.alias("a")).filter("a.error is null").select("doc", F.sha2("a.doc", 256).alias("key"))
+    good = builds.filter(F.coalesce("ok", F.lit(False))).select("key", F.col("pdf_text").alias("text"), "pages").dropDuplicates(["key"])
+    return patched.join(good, "key").select("doc", "text", "pages")
+
+
+def references_to_build(rows: DataFrame, have: DataFrame, failed: DataFrame, doc: str = "doc", order: str = "id") -> DataFrame:
+    """One row of each document, the first, that has no reference yet and is not listed as failed; ``how``: rendered as of its own time
+    where a row names a year, else built as it is."""
+    from .selection import first_wins
+
+    first = first_wins(rows, [doc], order)
+    todo = first.join(have.select(doc), doc, "left_anti").join(failed.select(doc), doc, "left_anti")
+    return todo.withColumn("how", F.when((F.col("mutation") == "organic") & F.col("hist_year").isNotNull(), "historic").otherwise("as_is"))
+
+
+def probe(results: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A probe run: (keys, n, n_fixed, n_applied), and (keys, id, compiled) with one row an id, compiled if any of its rows did."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    summary = results.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(yes("compiled")).alias("n_fixed"), F.count_if(yes("applied")).alias("n_applied"))
+    return summary, results.groupBy(*keys, "id").agg(F.bool_or(yes("compiled")).alias("compiled"))
+
+
+def guarded(f, ddl: str):
+    """``f`` as an expression that never ends a job: struct<value, error>, the error's kind and message instead of a raised one."""
+    from pyspark.sql.types import StructType
+
+    def safe(*args):
+        try:
+            return f(*args), None
+        except Exception as e:  # whatever a row does to f is that row's result
+            return None, f"{type(e).__name__}: {e}"[:200]
+
+    return F.udf(safe, StructType.fromDDL(f"value {ddl}, error string"), useArrow=True)

@@ -147,6 +147,21 @@ def questions(posts: DataFrame) -> DataFrame:
     ).filter("error_message is not null or error_mention is not null")
 
 
+def unlabelled(posts: DataFrame) -> DataFrame:
+    """Candidate questions for a pool without fixes: no answer is needed; ``has_accepted`` says whether there is one."""
+    return questions(posts).withColumn("has_accepted", F.col("accepted_answer_id").isNotNull()).drop("accepted_answer_id")
+
+
+def question_funnel(posts: DataFrame) -> DataFrame:
+    """(stage, n): questions, those with a sign of an error, with a whole document, and of these the ones too long; in one pass."""
+    signs = (F.size(error_messages(F.col("body"))) > 0) | mention(F.col("body")).isNotNull()
+    doc = longest_document(F.col("blocks"))
+    q = posts.filter("post_type = 1").select(signs.alias("s"), doc.alias("d"))
+    whole = F.col("s") & F.col("d").isNotNull()
+    counts = q.agg(F.count("*").alias("questions"), F.count_if("s").alias("q_error_line"), F.count_if(whole).alias("q_mwe"), F.count_if(whole & ~within_caps(F.col("d"))).alias("q_too_long"))
+    return counts.select(F.explode(F.create_map(*[x for c in counts.columns for x in (F.lit(c), F.col(c))])).alias("stage", "n"))
+
+
 def commit_candidates(files: DataFrame, key: str = "sha", suffixes: tuple[str, ...] = (".tex", ".sty", ".cls", ".bib"), ignored: str = r"(^|/)(build|out|\.github)/") -> DataFrame:
     """Commits that only modify 1 to 4 text files by at most 40 lines; commit_files(sha, path, status, added, removed)."""
     seen = files.filter(~F.col("path").rlike(ignored))

@@ -43,6 +43,15 @@ def latency(results: DataFrame, keys: list[str]) -> DataFrame:
     return stats.percentiles(results, keys, "wall_s", [0.5, 0.9])
 
 
+def lanes(rows: DataFrame, lane: str, dimensions: list[str]) -> DataFrame:
+    """(lane, dimension, value, n): the counts of every table of every lane's report, from one pass over the rows. A missing value of a
+    dimension is counted as null."""
+    sets = [[F.col(lane), F.col(d)] for d in dimensions]
+    grouped = rows.groupingSets(sets, lane, *dimensions).agg(F.count("*").alias("n"), *[F.grouping(d).alias(f"g_{d}") for d in dimensions])
+    pick = lambda of: F.coalesce(*[F.when(F.col(f"g_{d}") == 0, of(d)) for d in dimensions])
+    return grouped.select(F.col(lane).alias("lane"), pick(F.lit).alias("dimension"), pick(lambda d: F.col(d).cast("string")).alias("value"), "n")
+
+
 def chart_points(results: DataFrame, prices: DataFrame) -> DataFrame:
     """Per arm: accuracy, upper-median latency and cost a thousand fixes; prices(arm, price_in, price_out)."""
     cost = stats.cost_per_thousand(F.col("prompt_chars"), F.col("out_tokens"), F.col("price_in"), F.col("price_out"))
