@@ -42,12 +42,13 @@ def tuples(found: list[bytes], ends: np.ndarray, longest: int):
     ``found`` holds the words of texts one after another, ``ends`` where each text ends.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    coded = pa.array(found, pa.binary()).dictionary_encode()
-    vocabulary, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    coded = pa.array(found, pa.large_binary()).dictionary_encode()
+    vocabulary, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     end_of = np.repeat(ends, np.diff(ends, prepend=0))
     at, number = np.arange(len(ids)), ids
-    spelled = vocabulary  # the bytes of each distinct run, once
+    spelled, space = vocabulary, pa.scalar(b" ", pa.large_binary())  # the bytes of each distinct run, once
     for size in range(1, longest + 1):
         if size > 1:
             whole = at + size <= end_of[at]
@@ -55,8 +56,8 @@ def tuples(found: list[bytes], ends: np.ndarray, longest: int):
             pairs = pa.array(number * len(vocabulary) + ids[at + size - 1]).dictionary_encode()
             before, last = np.divmod(pairs.dictionary.to_numpy(), max(1, len(vocabulary)))
             number = pairs.indices.to_numpy().astype(np.int64)
-            spelled = [b"%b %b" % (spelled[p], vocabulary[w]) for p, w in zip(before.tolist(), last.tolist())]
-        yield at, number, np.fromiter(map(crc32, spelled), np.int64, len(spelled))
+            spelled = pc.binary_join_element_wise(spelled.take(pa.array(before)), vocabulary.take(pa.array(last)), space)
+        yield at, number, np.fromiter(map(crc32, spelled.to_numpy(zero_copy_only=False)), np.int64, len(spelled))
 
 
 def stretches(batches, column: int, size: int = CHUNK):
