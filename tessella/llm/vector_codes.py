@@ -59,7 +59,12 @@ def _bound(a, b, at_a, at_b) -> np.ndarray:
     (mean_a, rest_a, length), (mean_b, rest_b, _) = a, b
     out = 0.0
     for j in range(len(length)):
-        out = out + length[j] * (mean_a[at_a, j] - mean_b[at_b, j]) ** 2 + (rest_a[at_a, j] - rest_b[at_b, j]) ** 2
+        mean, rest = mean_a[:, j][at_a] - mean_b[:, j][at_b], rest_a[:, j][at_a] - rest_b[:, j][at_b]
+        mean *= mean
+        mean *= length[j]
+        rest *= rest
+        mean += rest
+        out = mean + out
     return out
 
 
@@ -80,16 +85,19 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
         own = x[i : i + SLICE]
         rows = [_blocks(own.astype(np.float64), s) for s in sizes]
         low = _bound(rows[0], books[0], np.arange(len(own))[:, None], every[None, :])
-        guess = ((own - book[low.argmin(1)]) ** 2).sum(1)
-        at, entry = np.nonzero(low <= guess[:, None] + margin)
+        rest = own - book[low.argmin(1)]
+        guess = np.einsum("ij,ij->i", rest, rest)
+        at, entry = np.nonzero(low <= (guess + margin)[:, None])
         for row, entries in zip(rows[1:], books[1:]):
             keep = _bound(row, entries, at, entry) <= guess[at] + margin
             at, entry = at[keep], entry[keep]
-        distance = ((own[at] - book[entry]) ** 2).sum(1)
+        rest = own[at] - book[entry]
         exact += len(at) + len(own)
-        order = np.lexsort((entry, distance, at))
-        first = order[np.searchsorted(at[order], np.arange(len(own)))]
-        code[i : i + SLICE], far[i : i + SLICE] = entry[first], distance[first]
+        # The given up are further than any that is left; the first of equals is the lower index.
+        distance = np.full((len(own), len(book)), np.iinfo(np.int64).max)
+        distance[at, entry] = np.einsum("ij,ij->i", rest, rest)
+        code[i : i + SLICE] = distance.argmin(1)
+        far[i : i + SLICE] = distance.min(1)
     return code, far, exact
 
 
