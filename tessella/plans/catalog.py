@@ -720,6 +720,6 @@ def rpt01(spark, sf_dir):
     return report["funnel"].withColumn("place", F.col("place").cast("int"))
 
 
-from . import collection, inventory  # noqa: E402 - fill the same registry
+from . import collection, inventory, texts  # noqa: E402 - fill the same registry
 
-__all__ = ["ORACLE", "QUERIES", "collection", "inventory"]
+__all__ = ["ORACLE", "QUERIES", "collection", "inventory", "texts"]
