@@ -219,12 +219,12 @@ def aux07(spark, sf_dir):
 @query(
     "sel11_references_to_build",
     "SELECT source AS doc, min(doc_id) AS id, CASE WHEN min(doc_id) % 2 = 0 THEN 'historic' ELSE 'as_is' END AS how FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) % 2 = 0) "
-    "AND source NOT IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 5 = 0) GROUP BY source",
+    "AND source NOT IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 7 = 0) GROUP BY source",
 )
 def sel11(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     even = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id").groupBy("source").count().filter("count % 2 = 0")
-    fifth = docs.groupBy("source").count().filter("count % 5 = 0")
+    fifth = docs.groupBy("source").count().filter("count % 7 = 0")
     doc = lambda df: df.select(F.col("source").alias("doc"))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.lit("organic").alias("mutation"), F.when(F.col("doc_id") % 2 == 0, 2015).alias("hist_year"))
     return evaluation.references_to_build(rows, doc(even), doc(fifth)).select("doc", "id", "how")
@@ -283,3 +283,88 @@ def strm08(spark, sf_dir, path):
     took = snapshots.run(spark, f"{path}/in", events.schema, lambda df: df.filter("value > 50"), f"{path}/out", f"{path}/log", {f"{k}:{s}": F.count_if((F.col("event_type") == s) & test) for s in stages for k, test in (("n", F.lit(True)), ("kept", F.col("value") > 50))}, target=events.count(), progress="n:", files_per_batch=1)
     each = took.select(F.explode("counters").alias("k", "n")).groupBy(F.substring_index("k", ":", 1).alias("kind"), F.substring_index("k", ":", -1).alias("stage")).agg(F.sum("n").alias("n"))
     return each.groupBy("stage").agg(F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("n"), F.sum(F.when(F.col("kind") == "kept", F.col("n"))).alias("n_kept"))
+
+
+# --- the miners, from posts to rows
+
+_GOOD, _BAD = "\\goodmacro here it is", "\\badmacro here it is"
+
+
+def _posts(spark, sf_dir):
+    """Documents as questions, each with two answers; what becomes of one follows from its text's length."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+\z", "")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("t"), (F.length(text) % 8).alias("k"))
+    whole = lambda line: F.concat(F.lit("\\documentclass{a}\n" + line + "\n"), F.when(F.col("k") == 2, "\\input{other}\n").otherwise(""), "t", F.lit("\n\\end{document}\n"))
+    docs = docs.withColumns({"broken": whole(_BAD), "fixed": whole(_GOOD)})
+    code = lambda x: F.array(x)
+    none = F.array().cast("array<string>")
+    body = F.when(F.col("id") % 2 == 0, F.lit("! Undefined control sequence.")).otherwise("it won't compile")
+    q = docs.select("id", F.lit(1).alias("post_type"), F.lit(None).cast("long").alias("parent_id"), F.when(F.col("k") != 0, F.col("id") + 1_000_000).alias("accepted_answer_id"), F.lit(3).alias("score"), F.lit("2015-02-03T00:00:00").alias("created"), F.lit("t").alias("title"), F.lit("<a>").alias("tags"), body.alias("body"), code(F.col("broken")).alias("blocks"))
+    said = F.when(F.col("k") == 1, none).when(F.col("k") == 3, code(F.col("broken"))).when(F.col("k") == 4, code(F.lit("nothing of it"))).otherwise(code(F.col("fixed")))
+    a = docs.select((F.col("id") + 1_000_000).alias("id"), F.lit(2).alias("post_type"), F.col("id").alias("parent_id"), F.lit(None).cast("long").alias("accepted_answer_id"), F.lit(1).alias("score"), F.lit("2015-02-03").alias("created"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("tags"), F.lit("").alias("body"), said.alias("blocks"))
+    b = docs.select((F.col("id") + 2_000_000).alias("id"), F.lit(2).alias("post_type"), F.col("id").alias("parent_id"), F.lit(None).cast("long").alias("accepted_answer_id"), (F.length("t") % 5).cast("int").alias("score"), F.lit("2015-02-03").alias("created"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("tags"), F.lit("").alias("body"), code(F.col("fixed")).alias("blocks"))
+    return docs, q.unionByName(a).unionByName(b)
+
+
+def _builds(docs):
+    """Recorded builds: of k = 5 the broken text builds, of 6 its error has no line; every third text in length times out unless fixed, and
+    the fixed text fails where its length can be divided by five."""
+    from tessella.operators.effects import Recorded, project_hash
+    from tessella.schemas import COMPILE_RESULT, conform
+
+    n = F.length("t")
+    item = F.struct(F.lit("error").alias("severity"), F.lit("main.tex").alias("file"), F.lit(True).alias("fileFromLog"), F.when(F.col("k") != 6, 2).alias("line"), F.lit("Undefined control sequence \\badmacro").alias("message"), F.lit("!").alias("rawExcerpt"))
+    key = lambda c: project_hash(F.create_map(F.lit("main.tex"), F.col(c)), F.lit("main.tex")).alias("key")
+    broken = docs.filter((n % 3 != 0)).select(key("broken"), (F.col("k") == 5).alias("ok"), F.lit(False).alias("timed_out"), F.lit("log").alias("log"), F.when(F.col("k") != 5, F.array(item)).alias("items"))
+    fixed = docs.select(key("fixed"), (n % 5 != 0).alias("ok"), F.lit(False).alias("timed_out"), F.lit("").alias("log"), F.array(item).alias("items"))
+    rows = broken.unionByName(fixed).dropDuplicates(["key"])
+    return Recorded(conform(rows, "key string, " + COMPILE_RESULT))
+
+
+_MINED = (
+    "d AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '\\s+$', '') AS t FROM documents), n AS (SELECT id, t, length(t) AS n, length(t) % 8 AS k, 18 + 22 + CASE WHEN length(t) % 8 = 2 THEN 15 ELSE 0 END + length(t) + 16 AS size FROM d), "
+    "c AS (SELECT * FROM n WHERE size <= 14000 AND length(t) - length(replace(t, chr(10), '')) + 4 + (k = 2)::INT <= 400)"
+)
+_TARGET = r"'<edit>' || chr(10) || '<<<<<<< SEARCH' || chr(10) || '\badmacro here it is' || chr(10) || '=======' || chr(10) || '\goodmacro here it is' || chr(10) || '>>>>>>> REPLACE' || chr(10) || '</edit>'"
+
+
+@query(
+    "mine_strict_lane",
+    f"WITH {_MINED}, s AS (SELECT id, n, CASE WHEN k = 0 THEN 'no_accepted_answer' WHEN k = 1 THEN 'no_answer_code' WHEN k = 2 THEN 'external_files' WHEN k IN (3, 4) THEN 'no_fix_candidate' WHEN n % 3 = 0 THEN 'broken_timeout' WHEN k = 5 THEN 'broken_compiles' "
+    f"WHEN k = 6 THEN 'broken_no_located_error' WHEN n % 5 = 0 THEN 'fixed_compile_fail' ELSE 'kept' END AS stage FROM c WHERE id % 2 = 0) SELECT id AS question_id, stage, CASE WHEN stage = 'kept' THEN {_TARGET} END AS target, CASE WHEN stage = 'kept' THEN 2 END::INT AS diff_lines FROM s",
+)
+def mine_strict(spark, sf_dir):
+    from . import miners
+
+    docs, posts = _posts(spark, sf_dir)
+    rows = miners.strict_lane(posts, _builds(docs))
+    own = F.col("stage") == "kept"
+    return rows.select("question_id", "stage", F.when(own, F.col("target")).alias("target"), F.when(own, F.col("diff_lines")).alias("diff_lines"))
+
+
+@query(
+    "mine_relaxed_lane",
+    f"WITH {_MINED}, s AS (SELECT id, n, k, k NOT IN (0, 1, 3, 4) AS a, n % 5 >= 2 AS b, CASE WHEN n % 3 = 0 THEN 'broken_timeout' WHEN k = 5 THEN 'broken_compiles' WHEN k = 6 THEN 'no_located_error' END AS ruled FROM c), "
+    "r AS (SELECT id, k, n, ruled, k <> 2 AND (a OR b) AND n % 5 <> 0 AS good, CASE WHEN k = 2 THEN a ELSE a END AS acc, a, b FROM s) "
+    "SELECT id AS question_id, CASE WHEN ruled IS NOT NULL THEN ruled WHEN good THEN 'kept' ELSE 'pool' END AS stage, CASE WHEN ruled IS NULL AND good THEN CASE WHEN acc THEN 'accepted' ELSE 'top' END END AS fix_answer, "
+    "CASE WHEN ruled IS NULL AND NOT good THEN CASE WHEN k = 2 AND (a OR b) THEN 'external_files' WHEN a OR b THEN 'fixed_compile_fail' ELSE 'no_fix_candidate' END END AS fix_stage FROM r",
+)
+def mine_relaxed(spark, sf_dir):
+    from . import miners
+
+    docs, posts = _posts(spark, sf_dir)
+    rows = miners.relaxed_lane(posts, _builds(docs))
+    return rows.select("question_id", "stage", F.when(F.col("stage") == "kept", F.col("fix_answer")).alias("fix_answer"), "fix_stage")
+
+
+@query(
+    "aux04_questions_only",
+    f"WITH {_MINED}, a AS (SELECT count(*) AS n FROM n), b AS (SELECT count(*) AS long FROM n WHERE id NOT IN (SELECT id FROM c)) SELECT unnest(['questions', 'q_error_line', 'q_mwe', 'q_too_long']) AS stage, unnest([a.n, a.n, a.n, b.long]) AS n FROM a, b UNION ALL "
+    "SELECT 'has_accepted', count(*) FILTER (WHERE k <> 0) FROM c",
+)
+def aux04(spark, sf_dir):
+    from tessella.operators import mining
+
+    _, posts = _posts(spark, sf_dir)
+    pool = mining.unlabelled(posts).agg(F.lit("has_accepted").alias("stage"), F.count_if("has_accepted").alias("n"))
+    return mining.question_funnel(posts).unionByName(pool)
