@@ -135,3 +135,13 @@ def sites_visible(edits: Column, prompt: Column, least: int = 8, prefix: int = 6
     changed = F.filter(F.flatten(F.transform(edits, lambda e: lines(e["search"]))), lambda x: F.length(strip(x)) >= least)
     shown = lambda x: F.contains(prompt, F.left(strip(x), F.lit(prefix)))
     return F.forall(changed, shown) if every else F.exists(changed, shown)
+
+
+def breaks_visible(edits: Column, prompt: Column, least: int = 8, prefix: int = 60) -> Column:
+    """Whether the prompt shows where every one of the edits that broke a text stands: the lines of at least ``least`` characters that it
+    put there, or, where it put none, the first such line that it took away."""
+    from .text import lines, strip
+
+    long = lambda x: F.filter(F.transform(lines(x), strip), lambda t: F.length(t) >= least)
+    marks = lambda e: F.when(F.size(long(e["replace"])) > 0, long(e["replace"])).otherwise(F.slice(long(e["search"]), 1, 1))
+    return F.forall(F.flatten(F.transform(edits, marks)), lambda t: F.contains(prompt, F.left(t, F.lit(prefix))))

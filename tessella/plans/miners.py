@@ -63,7 +63,7 @@ def tried(rows: DataFrame, backend: CompileBackend) -> DataFrame:
     rows = rows.withColumn("prompt", M.fix_prompt(F.lit(ROOT), F.col("broken"), F.col("errors"), F.col("result.log")))
     each = rows.select("question_id", "prompt", F.explode("good").alias("p")).withColumn("key", _key(F.col("p.fixed"))).join(built.select("key", F.col("result").alias("fixed_result")), "key", "left")
     became = (
-        F.when(~E.sites_visible(E.reverse_edits(F.col("p.edits")), F.col("prompt")), "sites_hidden")
+        F.when(~E.breaks_visible(F.col("p.edits"), F.col("prompt")), "sites_hidden")
         .when(F.coalesce(F.col("fixed_result.timed_out"), F.lit(True)), "fixed_timeout")
         .when(~F.coalesce(F.col("fixed_result.ok"), F.lit(False)), "fixed_compile_fail")
         .otherwise("kept")

@@ -115,3 +115,11 @@ def test_logs_and_prompts(spark):
     assert "(lines 1-45, line-numbered)" in r.p and "\n45: s45\n" in r.p and "- sections/intro.tex line 12: Undefined" in r.p and r.p.endswith("\n```")
     placed = df.select(M.insert_before(F.lit("a MARK b"), F.lit("[x]"), "ZZZ", "MARK").alias("p"), M.companions(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"), F.lit("a")), F.create_map(F.lit("a"), F.lit("A"), F.lit("b"), F.lit("B"))).alias("c")).first()
     assert placed.p == "a [x]MARK b" and placed.c.index("`b`") < placed.c.index("`a`")
+
+
+def test_breaks_are_visible(spark):
+    edits = [("good line one", "bad line one\nx"), ("only taken away\nanother line", "")]
+    rows = spark.createDataFrame([("bad line one ... only taken away",), ("bad line one",), ("good line one only taken away",), ("another line bad line one",)], "prompt string")
+    made = F.array(*[F.struct(F.lit("main.tex").alias("file"), F.lit(s).alias("search"), F.lit(r).alias("replace")) for s, r in edits])
+    assert [r.v for r in rows.select(E.breaks_visible(made, F.col("prompt")).alias("v")).collect()] == [True, False, False, False]
+    assert rows.select(E.breaks_visible(F.slice(made, 1, 0), F.col("prompt")).alias("v")).first().v
