@@ -10,7 +10,7 @@ import random
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MUTATIONS: dict[str, Callable] = {}
@@ -256,6 +256,7 @@ def lifted(name: str):
 
 
 EASY = sorted(set(MUTATIONS) - set(HARD))
+OF_BIBLIOGRAPHY = ("bib_style", "bib_entry")
 
 
 @project_mutation
@@ -352,10 +353,10 @@ for _name in EASY:
     PROJECT_MUTATIONS[f"child_{_name}"] = lifted(_name)
 
 
-def break_projects(files: dict[str, str], k: int, seed: int, names: dict[str, int] | None = None) -> list[dict] | None:
+def break_projects(files: dict[str, str], k: int, seed: int, names: dict[str, int] | None = None, bib_ok: bool = True) -> list[dict] | None:
     """Up to k edits by mutations drawn by weight, those that do not apply passed over; null without any, or if they cannot be taken
-    back one by one."""
-    weights = WEIGHTS if names is None else names
+    back one by one. Without ``bib_ok`` the bibliography is left alone: its build fails already."""
+    weights = {n: w for n, w in (WEIGHTS if names is None else names).items() if bib_ok or n not in OF_BIBLIOGRAPHY}
     rng = random.Random(f"project:{seed}:{sum(map(len, files.values()))}")
     now, out = dict(files), []
     for name in rng.sample(list(weights), sum(weights.values()), counts=list(weights.values())):
@@ -394,11 +395,15 @@ def perturbed(df: DataFrame, text: str, mutations: list[str] | None = None, seed
     return out.withColumn("edit", make(text, "mutation", "seed")).filter("edit is not null")
 
 
-def perturbed_projects(df: DataFrame, files: str, mutations: list[str] | None = None, seeds: list[int] = (0,)) -> DataFrame:
+def perturbed_projects(df: DataFrame, files: str, mutations: list[str] | None = None, seeds: list[int] = (0,), bib_ok: Column | None = None) -> DataFrame:
+    """Rows of ``df`` for each mutation and seed that lands, with ``edit``. ``bib_ok``: whether a project's bibliography builds as it is;
+    where it does not, or nobody knows, mutations of the bibliography are not tried. Not given, they are tried everywhere."""
     names = sorted(PROJECT_MUTATIONS if mutations is None else mutations)
     make = F.udf(lambda f, n, s: None if f is None else break_project(dict(f), n, s), "struct<type:string,file:string,search:string,replace:string>", useArrow=True)
     grid = F.array(*[F.struct(F.lit(n).alias("mutation"), F.lit(s).alias("seed")) for n in names for s in seeds])
     out = df.withColumn("g_", F.explode(grid)).withColumns({"mutation": F.col("g_.mutation"), "seed": F.col("g_.seed")}).drop("g_")
+    if bib_ok is not None:
+        out = out.filter(~F.col("mutation").isin(*OF_BIBLIOGRAPHY) | F.coalesce(bib_ok, F.lit(False)))
     return out.withColumn("edit", make(files, "mutation", "seed")).filter("edit is not null")
 
 

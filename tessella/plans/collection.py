@@ -285,6 +285,36 @@ def strm08(spark, sf_dir, path):
     return each.groupBy("stage").agg(F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("n"), F.sum(F.when(F.col("kind") == "kept", F.col("n"))).alias("n_kept"))
 
 
+@query(
+    "snk06_manifest_of_texts",
+    "SELECT source AS file, count(*) AS rows, sum(octet_length(encode(line)) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256 FROM (SELECT source, doc_id, doc_id::VARCHAR || ':' || replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') AS line FROM documents) GROUP BY source",
+)
+@in_scratch
+def snk06(spark, sf_dir, path):
+    """The texts of each source as one file of lines: rows, bytes and digests."""
+    from tessella.sources import writers
+
+    flat = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), flat).alias("line"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.partitionBy("source").text(path)
+    sources = [r.source for r in lines.select("source").distinct().collect()]
+    return writers.manifest(spark, {s: f"{path}/source={s}" for s in sources}, {s: lines.filter(F.col("source") == s) for s in sources})
+
+
+@query(
+    "gen15_bibliography_gate",
+    "SELECT page_id, m AS mutation FROM pages, (SELECT unnest(['bib_style', 'input_path']) AS m) WHERE m = 'input_path' OR length(html) % 2 = 0",
+)
+def gen15(spark, sf_dir):
+    """Mutations of the bibliography are tried only where it builds."""
+    from tessella.operators.perturb import perturbed_projects
+
+    n = F.col("page_id").cast("string")
+    files = F.create_map(F.lit("main.tex"), F.concat(F.lit("\\input{abbb}\n\\bibliographystyle{abbb}\n"), n, F.lit("\n")), F.lit("abbb.tex"), F.lit("x\n"))
+    pages = table(spark, sf_dir, "pages").select("page_id", files.alias("files"), (F.length("html") % 2 == 0).alias("ok"))
+    return perturbed_projects(pages, "files", ["bib_style", "input_path"], bib_ok=F.col("ok")).select("page_id", "mutation")
+
+
 # --- the miners, from posts to rows
 
 _GOOD, _BAD = "\\goodmacro here it is", "\\badmacro here it is"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import edits as E
 from tessella.functions import logs as L
+from tessella.functions import prompts as M
 from tessella.functions import python_text as P
 from tessella.functions import text as X
 from tessella.operators import closure, mining
@@ -217,6 +218,13 @@ def log04(spark, sf_dir):
     return found.select("doc_id", F.col("e.line").alias("lines"), F.array_join("e.text", "|").alias("texts"))
 
 
+@query("log03_collapsed_of_texts", _LOG_ITEMS + "SELECT doc_id, count(DISTINCT coalesce(line, -1))::INT AS n FROM g GROUP BY doc_id")
+def log03(spark, sf_dir):
+    """One item of each line, and one of all that have none."""
+    items = F.filter(L.parse_log_udf("t", F.lit("main.tex")), lambda x: F.startswith(x["rawExcerpt"], F.lit("! ")))
+    return _docs(spark, sf_dir, LOG).select("doc_id", F.size(L.collapsed(items)).alias("n")).filter("n > 0")
+
+
 BLG = [(". ", ".\n"), ("\nThe ", "\nI couldn't open style file "), (" and ", "\nERROR - "), (" de ", "\nI was expecting "), (" und ", "\nI found no \\und commands "), (" que ", " I couldn't find "), (" la ", "\nI found no ")]
 
 
@@ -237,3 +245,32 @@ OPENED = [(" the ", " (./a.tex"), (" and ", " (sub/b\n.tex)"), (" de ", " (./c.\
 )
 def log06(spark, sf_dir):
     return _docs(spark, sf_dir, OPENED).select("doc_id", L.files_of_build(F.col("t"), F.array(*map(F.lit, ["a.tex", "sub/b.tex", "c.sty", "/usr/d.cls", "none.tex"]))).alias("files"))
+
+
+# --- prompts
+
+_said = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query(
+    "str15_verifier_prompts_of_texts",
+    f"SELECT a.conv_id, a.turn, sha1(a.text || {_said(M.ASK[0])} || regexp_replace(regexp_replace(b.text, '^\\s+', ''), '\\s+$', '') || {_said(M.ASK[1])}) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+)
+def str15(spark, sf_dir):
+    """Each turn as the prompt and the next one as the fix that is asked about."""
+    turns = table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("fix"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.sha1(M.verifier_prompt(F.col("text"), F.col("fix"))).alias("h"))
+
+
+@query(
+    "prm06_messages_of_texts",
+    f"SELECT a.conv_id, a.turn, sha1('system' || {_said(M.system_prompt(512))} || 'user' || a.text || coalesce('assistant' || b.text, '')) AS h FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+)
+def prm06(spark, sf_dir):
+    """Each turn as the user's message, with the next one, where there is one, as the answer."""
+    turns = table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    m = M.messages(F.col("text"), F.col("answer"), 512)
+    flat = F.array_join(F.flatten(F.transform(m, lambda x: F.array(x["role"], x["content"]))), "")
+    return turns.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", F.sha1(flat).alias("h"))
