@@ -274,3 +274,102 @@ def prm06(spark, sf_dir):
     m = M.messages(F.col("text"), F.col("answer"), 512)
     flat = F.array_join(F.flatten(F.transform(m, lambda x: F.array(x["role"], x["content"]))), "")
     return turns.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", F.sha1(flat).alias("h"))
+
+
+# --- more predicates and parsers
+
+BAD = [("que", "\ufffd"), (" the ", " a.STY' not found "), (" and ", " Command \\and already defined.\n"), (" de ", " cref@override@label@type ")]
+
+
+@query(
+    "flt09_bad_prompts_in_texts",
+    f"WITH d AS ({_docs_sql(BAD[1:])}) SELECT doc_id, regexp_matches(t, '(?i)\\x{{fffd}}|\\.(cls|sty)'' not found|cref@override@label@type|caption@setfloatcapt|Command \\\\[a-zA-Z@]+ already defined.*\\n.*Command \\\\[a-zA-Z@]+ already defined.*\\n.*already defined') AS bad FROM d",
+)
+def flt09(spark, sf_dir):
+    return _docs(spark, sf_dir, BAD[1:]).select("doc_id", mining.bad_prompt(F.col("t")).alias("bad"))
+
+
+SHELL = [(" the ", " \\usepackage[a]{x,svg} "), (" und ", " \\usepackage{mysvg} "), (" de ", " -shell-escape "), (" zu ", " \\write18 ")]
+
+
+@query(
+    "flt17_shell_in_texts",
+    f"WITH d AS ({_docs_sql(SHELL)}) SELECT doc_id, regexp_matches(t, '\\\\usepackage(?:\\[[^\\]]*\\])?\\{{[^}}]*\\b(?:minted|pythontex|gnuplottex|svg)\\b|\\\\write18|-shell-escape') AS shell FROM d",
+)
+def flt17(spark, sf_dir):
+    return _docs(spark, sf_dir, SHELL).select("doc_id", mining.shell_escape(F.create_map(F.lit("main.tex"), F.col("t"), F.lit("b.tex"), F.lit("plain"))).alias("shell"))
+
+
+GRAPHICS = [(" the ", " \\includegraphics[w]{figs/the} "), (" and ", " \\includegraphics{and.png} "), (" de ", " \\includegraphics{example-image} "), (" und ", " \\includegraphics*{ der } ")]
+
+
+@query(
+    "snk07_placeholders_of_texts",
+    f"WITH d AS ({_docs_sql(GRAPHICS)}), n AS (SELECT DISTINCT doc_id, regexp_extract(trim(unnest(regexp_extract_all(t, '\\\\includegraphics\\*?(?:\\[[^\\]]*\\])?\\{{([^{{}}]+)\\}}', 1))), '([^/]*)$', 1) AS n FROM d) "
+    "SELECT doc_id, CASE WHEN contains(n, '.') THEN n ELSE n || '.pdf' END AS path FROM n WHERE NOT starts_with(n, 'example-') AND NOT (n = 'and.png' AND doc_id % 2 = 0)",
+)
+def snk07(spark, sf_dir):
+    from tessella.sources import writers
+
+    docs = _docs(spark, sf_dir, GRAPHICS)
+    have = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit("and.png").alias("path"))
+    return writers.placeholders_needed(docs, "doc_id", ["t"], have)
+
+
+BANNER = [("\n", "\n====\nFILE: "), (" the ", "/the")]
+
+
+@query(
+    "src13_containers_of_texts",
+    f"WITH d AS ({_docs_sql(BANNER)}), p AS (SELECT doc_id, unnest(string_split(t, chr(10) || '====' || chr(10) || 'FILE: ')) AS p, generate_subscripts(string_split(t, chr(10) || '====' || chr(10) || 'FILE: '), 1) AS i FROM d), "
+    "f AS (SELECT doc_id, trim(regexp_extract(p, '^[^\\n]*')) AS path FROM p WHERE i > 1) SELECT doc_id, count(*) AS n, max(path) AS last_path FROM f WHERE NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\\.\\.(/|$)') GROUP BY doc_id",
+)
+def src13(spark, sf_dir):
+    """Every line of a document after the first as a file of a container, named by the line."""
+    from tessella.sources import readers
+
+    files = readers.split_container(_docs(spark, sf_dir, BANNER).withColumnRenamed("t", "text"), "text")
+    return files.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("path").alias("last_path"))
+
+
+MANIFEST = [(". ", ";\n"), (" the ", " use the;"), (" de ", "\nuse  de;"), (" und ", " use und2; ")]
+
+
+@query(
+    "src14_discovered_in_texts",
+    f"WITH d AS ({_docs_sql(MANIFEST, 'source')}) SELECT source AS project, unnest(regexp_extract_all(t, 'use (\\w+);', 1)) AS entry FROM d WHERE doc_id % 2 = 0",
+)
+def src14(spark, sf_dir):
+    from tessella.sources import readers
+
+    name = F.when(F.col("doc_id") % 2 == 0, "list.txt").otherwise("other.txt")
+    files = _docs(spark, sf_dir, MANIFEST, "source").select(F.col("source").alias("project"), name.alias("path"), F.col("t").alias("text"))
+    return readers.discover(files, "list.txt", "use ([A-Za-z0-9_]+);")
+
+
+@query(
+    "join14_names_in_texts",
+    "WITH f AS (SELECT source, 'd' || (doc_id % 7)::VARCHAR || '/' || regexp_extract(coalesce(text, ''), '^[A-Za-z]*') || '.tex' AS path FROM documents), n AS (SELECT DISTINCT source, regexp_extract(coalesce(text, ''), '^[A-Za-z]*') || '.tex' AS name FROM documents UNION SELECT DISTINCT source, path FROM f UNION SELECT DISTINCT source, 'none.tex' FROM f) "
+    "SELECT n.source, n.name, arg_min(f.path, (f.path <> n.name, f.path)) AS path FROM n LEFT JOIN f ON f.source = n.source AND (f.path = n.name OR ends_with(f.path, '/' || n.name)) GROUP BY n.source, n.name",
+)
+def join14(spark, sf_dir):
+    """The first words of a source's texts as files in folders, and names that may or may not say the folder."""
+    from tessella.operators import joins
+
+    first = F.concat(F.regexp_extract(F.coalesce("text", F.lit("")), "^[A-Za-z]*", 0), F.lit(".tex"))
+    docs = table(spark, sf_dir, "documents").select("source", first.alias("base"), F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), first).alias("path"))
+    names = docs.select("source", F.col("base").alias("name")).unionByName(docs.select("source", F.col("path").alias("name"))).unionByName(docs.select("source", F.lit("none.tex").alias("name"))).distinct()
+    return joins.resolve_names(names, docs.select("source", "path"), "source").select("source", "name", "path")
+
+
+@query(
+    "edit13_candidates_in_texts",
+    f"WITH {_LINES}, d AS (SELECT doc_id, '\\documentclass{{a}}' || chr(10) || regexp_replace(array_to_string(l, chr(10)), '\\s+$', '') || chr(10) || '\\end{{document}}' || chr(10) AS t FROM k) SELECT doc_id, 2::INT AS n, sha1(replace(t, '\\documentclass{{a}}', '\\documentclass{{bb}}')) AS h FROM d",
+)
+def edit13(spark, sf_dir):
+    """Whole documents among an answer's blocks, each with another first line, beside a snippet that is not tried then."""
+    lines = F.split("text", "\n", -1)
+    docs = table(spark, sf_dir, "documents").filter(F.size(lines) >= 5)
+    whole = lambda name: F.concat(F.lit("\\documentclass{" + name + "}\n"), X.rstrip(F.col("text")), F.lit("\n\\end{document}\n"))
+    made = P.fix_candidates_udf(whole("a"), F.array(whole("a"), F.get(lines, F.lit(1)), whole("b"), whole("bb")))
+    return docs.select("doc_id", made.alias("f")).select("doc_id", F.size("f").alias("n"), F.sha1(F.get("f", F.lit(0))).alias("h"))
