@@ -315,6 +315,29 @@ def gen15(spark, sf_dir):
     return perturbed_projects(pages, "files", ["bib_style", "input_path"], bib_ok=F.col("ok")).select("page_id", "mutation")
 
 
+@query(
+    "strm04_in_flight",
+    "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS last FROM events), "
+    "s AS (SELECT user_id, event_id, last, k * 1800000000 + max(t - k * 1800000000) OVER (PARTITION BY user_id ORDER BY k) AS sent_at FROM e) SELECT user_id, event_id, sent_at FROM s WHERE sent_at <= last",
+)
+@in_scratch
+def strm04(spark, sf_dir, path):
+    """Events as requests that never end, one in flight a user: each is sent when it comes, or half an hour after the one before it. Those
+    that a user's last event comes after are compared; later ones depend on when the stream ends."""
+    from tessella.streaming import in_flight
+
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("task"), F.lit(True).alias("start"), F.col("ts").cast("timestamp").alias("ts"))
+    parts = 4
+    ordered = running.in_blocks(events.withColumn("micros", F.unix_micros("ts")), "micros", rows_a_block=max(1, events.count() // parts))
+    for i in range(ordered.agg(F.max("block_")).first()[0] + 1):  # a folder a batch, in order of time
+        ordered.filter(F.col("block_") == i).drop("block_", "micros").coalesce(1).write.parquet(f"{path}/in/{i:05d}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    in_flight.bounded(stream, limit=1, patience=1800).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    last = events.groupBy("worker").agg(F.unix_micros(F.max("ts")).alias("last"))
+    sent = spark.read.schema("worker long, task long, at long, what string").parquet(f"{path}/out")
+    return sent.join(last, "worker").filter("at <= last").select(F.col("worker").alias("user_id"), F.col("task").alias("event_id"), F.col("at").alias("sent_at"))
+
+
 # --- the miners, from posts to rows
 
 _GOOD, _BAD = "\\goodmacro here it is", "\\badmacro here it is"
