@@ -38,7 +38,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CHUNK, MAX_STATES, MAX_MEMO = 1 << 16, 150_000, 400_000
+CHUNK, MAX_STATES, MAX_MEMO = 1 << 16, 400_000, 400_000
 # Fixed values of the pre-token format: how contractions go on after the apostrophe.
 CONTRACTIONS = {"s", "t", "m", "d", "re", "ve", "ll"}
 EMPTY = (b"", (-1,), (0,))
@@ -159,14 +159,14 @@ class Transducer:
 
     def feed(self, state: tuple, piece: str) -> tuple[tuple, int]:
         """(state, change of the count) after more characters of one pre-token."""
-        n, at = 0, self.number(state) << 8
+        n, at, steps = 0, self.number(state) << 8, self.steps
         for b in piece.encode("utf-8", "surrogatepass"):
-            step = self.steps.get(at | b)
+            step = steps.get(at | b)
             if step is None:
                 if len(self.states) >= MAX_STATES:
                     now = self.states[at >> 8]
                     self.reset()
-                    at = self.number(now) << 8
+                    at, steps = self.number(now) << 8, self.steps
                 step = self.compile(at >> 8, b)
             n += (step >> 8 & 255) - 128
             at = step >> 16 << 8
