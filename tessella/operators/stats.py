@@ -49,10 +49,16 @@ def rounded_percentiles(df: DataFrame, keys: list[str], x: str, percents: list[f
 def _at_ranks(df: DataFrame, keys: list[str], x: str, ranks: dict, *, most: int = 100_000) -> DataFrame:
     """The values at ranks (from 0) that follow from a group's size: counts of distinct values, then a running count over those.
 
-    A group of more than ``most`` distinct values is first narrowed to the ranges that hold the ranks, again and again.
+    A group of more than ``most`` distinct values is first narrowed to the ranges that hold the ranks, again and again. Where there is
+    none, one window by group does.
     """
-    counts = kept(df.filter(F.col(x).isNotNull()).groupBy(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col(x).alias("x_")).agg(F.count("*").alias("c_")))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col(x).alias("x_")).agg(F.count("*").alias("c_"))
     by = [f"k{i}_" for i in range(len(keys))]
+    if (counts.groupBy(*by).agg(F.count("*").alias("d_")).agg(F.max("d_")).first()[0] or 0) <= most:
+        run = counts.withColumns({"upto_": F.sum("c_").over(W.partitionBy(*by).orderBy("x_").rowsBetween(W.unboundedPreceding, 0)), "n_": F.sum("c_").over(W.partitionBy(*by))})
+        found = run.groupBy(*by).agg(*[F.min(F.when(F.col("upto_") > rank(F.col("n_")), F.col("x_"))).alias(name) for name, rank in ranks.items()])
+        return found.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *ranks)
+    counts = kept(counts)
     sizes = kept(counts.groupBy(*by).agg(F.sum("c_").alias("n_"), F.count("*").alias("d_")))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name_"), rank(F.col("n_")).cast("long").alias("rank_")) for name, rank in ranks.items()]))
     asked = sizes.select(*by, "d_", wanted.alias("w")).select(*by, "d_", "w.*")
