@@ -320,9 +320,23 @@ def join14(spark, sf_dir):
     return joins.resolve_names(names, part.select("project", F.explode(paths).alias("path")), "project").select("project", "name", "path")
 
 
-@query("join11_rules", "SELECT count(*) AS n_rules FROM range(3 * 2 + 6 * 4 + 6 * 8)")
+_RULE_SQL = {",".join(r): ", ".join(f"-{f[1:]}" if f[0] == "-" else f for f in [*r, "i"]) for r in selection.all_rules(["deleted", "votes"], 2)}
+
+
+@query(
+    "join11_rules",
+    "WITH c AS (SELECT l_orderkey AS id, (l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey)::DOUBLE AS i, l_quantity AS deleted, l_discount AS votes, l_returnflag = 'R' AS good, l_linestatus = 'O' AS compiled FROM lineitem), p AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS rule, id, coalesce(arg_min(good, ({keys})) FILTER (WHERE compiled), false) AS good FROM c GROUP BY id" for name, keys in _RULE_SQL.items())
+    + ") SELECT rule, count(*) AS n, count(*) FILTER (WHERE good) AS n_good FROM p GROUP BY rule",
+)
 def join11(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in selection.all_rules(["a", "b", "c"], 3)], "rule array<string>").distinct().agg(F.count("*").alias("n_rules"))
+    """Every rule of up to two features against every order's lines, in one pass."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).cast("double").alias("i"),
+        F.col("l_quantity").alias("deleted"), F.col("l_discount").alias("votes"), (F.col("l_returnflag") == "R").alias("good"), (F.col("l_linestatus") == "O").alias("compiled"),
+    )
+    rules = {",".join(r): [*r, "i"] for r in selection.all_rules(["deleted", "votes"], 2)}
+    return selection.compare_rules(rows, "id", "good", rules).filter("rule <> 'any'")
 
 
 # --- counts
@@ -335,11 +349,11 @@ def agg04(spark, sf_dir):
 
 @query(
     "agg06_agreement",
-    "SELECT count(*) AS n, count(*) FILTER (WHERE left(split_part(a, chr(39), 1), 25) = left(split_part(b, chr(39), 1), 25)) AS n_agreed FROM (SELECT left(text, 40) AS a, CASE WHEN doc_id % 3 = 0 THEN left(text, 30) ELSE left(text, 20) || chr(39) || 'x' END AS b FROM documents)",
+    "SELECT count(*) AS n, count(*) FILTER (WHERE left(split_part(a, chr(39), 1), 25) = left(split_part(b, chr(39), 1), 25)) AS n_agreed FROM (SELECT text AS a, CASE WHEN doc_id % 3 = 0 THEN text || chr(39) ELSE left(text, 20) || chr(39) || text END AS b FROM documents)",
 )
 def agg06(spark, sf_dir):
-    b = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(30))).otherwise(F.concat(F.left("text", F.lit(20)), F.lit("'x")))
-    return stats.agreed(table(spark, sf_dir, "documents"), stats.error_prefix(F.left("text", F.lit(40))), stats.error_prefix(b))
+    b = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("'"))).otherwise(F.concat(F.left("text", F.lit(20)), F.lit("'"), "text"))
+    return stats.agreed(table(spark, sf_dir, "documents"), stats.error_prefix(F.col("text")), stats.error_prefix(b))
 
 
 @query("agg08_group_rates", "SELECT l_shipmode AS mutation, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS n_fixed, round(avg((l_discount > 0.05)::INT), 9) AS rate_fixed FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_discount FROM lineitem) GROUP BY 1")
@@ -510,9 +524,14 @@ def dt03(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.clamp(F.year("o_orderdate"), 1994, 1996).alias("year"))
 
 
-@query("dt05_months", "SELECT m::DATE AS start, last_day(m::DATE) AS \"end\" FROM generate_series(DATE '2019-11-01', DATE '2021-02-01', INTERVAL 1 MONTH) t(m)")
+@query(
+    "dt05_months",
+    "SELECT m::DATE AS start, last_day(m::DATE) AS \"end\" FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS m FROM orders)",
+)
 def dt05(spark, sf_dir):
-    return readers.month_windows(spark, "2019-11-01", "2021-02-01")
+    """The months that the orders span."""
+    first, last = table(spark, sf_dir, "orders").agg(F.date_format(F.trunc(F.min("o_orderdate"), "month"), "yyyy-MM-dd"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).first()
+    return readers.month_windows(spark, first, last)
 
 
 @query("jsn02_sorted_json", "SELECT event_id, '{\"a\":' || (event_id % 7)::VARCHAR || ',\"b\":' || event_id::VARCHAR || '}' AS k FROM events")
@@ -935,15 +954,18 @@ def src14(spark, sf_dir):
     return readers.discover(files.unionByName(files.withColumn("path", F.lit("other.txt"))), "list.txt", "use (\\w+);")
 
 
-@query("src12_project_files", "SELECT 'p' || (page_id % 5)::VARCHAR AS project, count(*) AS n FROM pages WHERE page_id < 20 GROUP BY 1")
+@query(
+    "src12_project_files",
+    "SELECT 'p' || (page_id % 25)::VARCHAR AS project, count(DISTINCT page_id % 4) AS n, sum(length(url) + 1)::BIGINT AS n_chars FROM pages WHERE url IS NOT NULL GROUP BY 1",
+)
 @in_scratch
 def src12(spark, sf_dir, root):
-    some = table(spark, sf_dir, "pages").filter("page_id < 20")
-    named = some.select(F.concat(F.lit("p"), (F.col("page_id") % 5).cast("string")).alias("project"), "url", F.col("page_id").alias("k"))
-    # One text part a page, named .txt, in the folder of its project.
-    named.repartition(20, "k").select("project", "url", "k").write.partitionBy("project", "k").text(root)
+    """The pages as 25 projects of four text files each, a line a page."""
+    k = F.col("page_id")
+    named = table(spark, sf_dir, "pages").filter("url is not null").select(F.concat(F.lit("p"), (k % 25).cast("string")).alias("project"), (k % 4).alias("k"), "url")
+    named.repartition("project", "k").write.partitionBy("project", "k").text(root)
     found = readers.project_files(spark, root).filter(~F.col("path").contains("_SUCCESS"))
-    return found.groupBy(F.regexp_replace("project", "^project=", "").alias("project")).agg(F.count("*").alias("n"))
+    return found.groupBy(F.regexp_replace("project", "^project=", "").alias("project")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("snk02_append_new", "SELECT doc_id FROM documents")
