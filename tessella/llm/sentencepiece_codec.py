@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import append_arrow, small_batches, table
 
 MARK = "▁"
-MAX_MEMO, MAX_WORDS, MAX_PAIRS, MAX_KEPT = 60_000, 400_000, 200_000, 48
+MAX_MEMO, MAX_WORDS, MAX_PAIRS, MAX_KEPT = 60_000, 200_000, 200_000, 48
 
 
 class Codec:
