@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import append_arrow, small_batches, table
 
 MARK = "▁"
-MAX_MEMO, MAX_WORDS, MAX_PAIRS, MAX_KEPT = 60_000, 200_000, 200_000, 48
+MAX_MEMO, MAX_WORDS, MAX_PAIRS, MAX_KEPT = 60_000, 400_000, 200_000, 48
 
 
 class Codec:
     """``encode`` and ``decode`` for one model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = MAX_WORDS):
         import ahocorasick
         import sentencepiece
 
@@ -66,7 +66,7 @@ class Codec:
         self.length = list(map(len, self.pieces))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo = _Memo(self)
-        self.words = _Words(self)
+        self.words = _Words(self, words)
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a few characters, by merging itself."""
@@ -175,33 +175,34 @@ class _Memo(dict):
 class _Words(dict):
     """Word -> the same of the word with a mark before it."""
 
-    def __init__(self, codec):
-        self.codec = codec
+    def __init__(self, codec, most: int):
+        self.codec, self.most = codec, most
 
     def __missing__(self, word):
         parts = list(map(self.codec.memo.__getitem__, self.codec.segments(MARK + word)))
         made = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
         if len(word) <= MAX_KEPT:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = made
         return made
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, words: int = MAX_WORDS) -> Codec:
+    return Codec(path, words)
 
 
-def encode_texts(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the ids of each whole text under the model file at ``path`` (read on the executors), and those ids decoded."""
+def encode_texts(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded", words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with the ids of each whole text under the model file at ``path`` (read on the executors), and those ids decoded. A
+    Python worker remembers up to ``words`` words: fewer take less memory and more time."""
     small_batches(docs.sparkSession)
 
     def make(batch):
         import numpy as np
         import pyarrow as pa
 
-        c = codec(path)
+        c = codec(path, words)
         flat, ends, texts = [], [0], []
         for x in batch.column(text).to_pylist():
             made = c.coded(x or "")
