@@ -150,14 +150,34 @@ def held_out_table(df: DataFrame, arm: str = "arm") -> DataFrame:
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
-    """(n, a_only, b_only, p): the exact two-sided test over ``pairs(a, b)``; p is 1 without discordant pairs. Logarithms of
-    factorials keep large counts from overflowing; the driver holds the two counts only."""
+    """(n, a_only, b_only, p): the exact two-sided test over ``pairs(a, b)``; p is 1 without discordant pairs. The driver holds the two
+    counts only.
+
+    The tail is summed from its largest term down, each term by its ratio to the one before, so the work grows with the count. The
+    largest is e to the power of the deviance and Stirling's errors, which do not cancel for large counts."""
     r = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("a"), F.count_if(F.col("b") & ~F.col("a")).alias("b"))
-    n, k = F.col("a") + F.col("b"), F.least("a", "b")
-    lgamma = lambda m: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(m, F.lit(1)).cast("long")), F.lit(0.0), lambda s, i: s + F.ln(i))
-    term = lambda i: F.exp(lgamma(n) - lgamma(i) - lgamma(n - i) - n * math.log(2))
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + term(i))
-    return r.select("n", F.col("a").alias("a_only"), F.col("b").alias("b_only"), F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total)).alias("p"))
+    m, k = F.col("a") + F.col("b"), F.least("a", "b")
+    d = (m - 2 * k) / m
+    deviance = -k * F.log1p(-d) - (m - k) * F.log1p(d)
+    largest = F.when(k == 0, F.exp(-m * math.log(2))).otherwise(F.exp(deviance + 0.5 * F.ln(m / (2 * math.pi * k * (m - k))) + _stirling_error(m) - _stirling_error(k) - _stirling_error(m - k)))
+    state = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(s, j):
+        i = k - j + 1  # from term i to term i - 1
+        term = s["term"] * i / (m - i + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<long>"))
+    total = largest * F.aggregate(steps, state, add)["total"]
+    return r.select("n", F.col("a").alias("a_only"), F.col("b").alias("b_only"), F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total)).alias("p"))
+
+
+def _stirling_error(m):
+    """ln m! less Stirling's (m + 1/2) ln m - m + ln(2 pi) / 2, for m of at least 1."""
+    x = m.cast("double")
+    short = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi)) for i in range(1, 16)])
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(m < 16, F.get(short, (m - 1).cast("int"))).otherwise(series)
 
 
 def rank_checkpoints(df: DataFrame, key: str, kind: str, good: str, main: list[str], gate: str, least: float = 70.4) -> DataFrame:
