@@ -76,6 +76,55 @@ def similar_sets(left: DataFrame, right: DataFrame, id: str, items: str, thresho
     return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity", "left_n", "right_n")
 
 
+def similar_pairs(sets: DataFrame, id: str, items: str, threshold: float, frequent: int = 100_000) -> DataFrame:
+    """(left_id, right_id) of distinct ``sets(id, items)`` of longs, none empty or repeated, whose Jaccard similarity reaches the threshold,
+    exactly.
+
+    As ``similar_sets``, but a set's prefix is made within its row: the ``frequent`` commonest items (they and their order are sent to all
+    tasks) come last in every set, the others before them by value, and any one order of all items is exact. Only prefixes are shuffled, and
+    each pair of sets meets from its smaller side.
+    """
+    own = sets.select(F.col(id).cast("long").alias("id"), F.col(items).alias("set"))
+    common = own.select(F.explode("set").alias("item")).groupBy("item").count().filter("count > 1").orderBy(F.desc("count"), "item").limit(frequent)
+    last = own.sparkSession.sparkContext.broadcast([r["item"] for r in common.select("item").collect()])
+    step = -math.log(threshold) + 1e-9
+
+    def prefixes(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ranked = np.array(last.value, np.int64)  # commonest first
+        by_value = np.argsort(ranked)
+        ordered = ranked[by_value]
+        for batch in batches:
+            out = []
+            for i, x in zip(batch.column(0).to_numpy(), batch.column(1)):
+                x = np.sort(np.asarray(x.values))
+                n = len(x)
+                rank = np.zeros(n, np.int64)
+                if len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+                    rank = np.where(ordered[at] == x, len(ordered) - by_value[at], 0)
+                x = x[np.argsort(rank, kind="stable")][: n - math.ceil(n * threshold - 1e-9) + 1]
+                k = len(x)
+                out.append((np.full(k, i), np.full(k, n, np.int32), np.arange(1, k + 1, dtype=np.int32), x, np.full(k, math.floor(math.log(n) / step), np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "size", "p", "item", "band"])
+
+    made = own.mapInArrow(prefixes, "id long, size int, p int, item long, band int")
+    side = lambda df, name: df.select("item", "band", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "size", "p")])
+    # Similar sets are in the same band of sizes, or the larger one is in the next.
+    ours = side(made.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "left")
+    met = ours.join(side(made, "right"), ["item", "band"])
+    met = met.filter((F.col("left_size") < F.col("right_size")) | (F.col("left_size") == F.col("right_size")) & (F.col("left_id") < F.col("right_id")))
+    rest = F.least(F.col("left_size") - F.col("left_p"), F.col("right_size") - F.col("right_p")) + F.least("left_p", "right_p")
+    total = F.col("left_size") + F.col("right_size")
+    met = met.filter((F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (rest * (1 + threshold) >= total * threshold - 1e-9))
+    pairs = met.select("left_id", "right_id").distinct()
+    pairs = pairs.join(own.select(F.col("id").alias("left_id"), F.col("set").alias("a")), "left_id").join(own.select(F.col("id").alias("right_id"), F.col("set").alias("b")), "right_id")
+    return pairs.filter(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= threshold - 1e-9).select("left_id", "right_id")
+
+
 def assign_blocks(needed: DataFrame, blocks: DataFrame, id: str = "id") -> DataFrame:
     """Needed files to code blocks: by hinted base name within a family, the last block wins; what is left over by order, if as many
     files as blocks are left in the family, else the files stay unassigned.

@@ -53,3 +53,15 @@ def test_mcnemar_of_many_pairs(spark):
         want = sum(math.comb(n, i) for i in range(k + 1)) / 2**n if n < 1000 else math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
         got = stats.mcnemar(pairs).first()
         assert (got.n, got.a_only, got.b_only) == (n, x, y) and abs(got.p - (min(1, 2 * want) if n else 1)) < (1e-12 if n < 1000 else 1e-7)
+
+
+def test_similar_agreement_carries_its_words_within_rows(spark):
+    """The words of a text leave it as hashes of its prefix; before, every word was shuffled as text, several times."""
+    from tessella.operators import selection
+
+    words = [f"w{i}" for i in range(60)]
+    near, far = [*words[:58], "x", "y"], [*words[:40], *[f"v{i}" for i in range(20)]]
+    rows = [(3, "a", words), (4, "a", near), (5, "a", far), (6, "b", near), (7, "b", ["w0", "w0", "w1"]), (8, "b", ["w0", "w1", "w1"]), (9, "c", far), (10, "c", far)]
+    df = spark.createDataFrame([(i, k, " ".join(w)) for i, k, w in rows] + [(11, "c", None), (12, "c", " ")], "id long, k string, text string")
+    out = selection.similar_agreement(df, "id", ["k"], "text", 0.9)
+    assert {r.id: r.agreed for r in out.collect()} == {3: True, 4: True, 5: False, 6: False, 7: False, 8: False, 9: True, 10: True, 11: False, 12: False}
