@@ -4,12 +4,16 @@ A source's ``fetch`` gets one request and returns its rows; it runs on executors
 partition holds a run of one query's pages, read in turn until a page is short; offsets are planned whole. A request that fails is
 tried again a bounded number of times, after growing pauses; after the last it fails the task, which Spark tries again elsewhere.
 ``ended`` then drops what lies beyond a query's first short page, so the result does not depend on how pages were dealt.
+
+``source`` has a task for each planned run, so it is for few of them. ``asked`` takes the runs as rows of a DataFrame, so any number of
+requests is dealt over as many tasks as it has partitions, and none of them passes the driver.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,28 +59,37 @@ def offset_runs(n: int, size: int, first: int = 0) -> list[Offsets]:
     return [Offsets(i, min(size, n - i)) for i in range(first, n, size)]
 
 
+def _schema(paged: bool, ddl: str) -> tuple[StructType, list[str]]:
+    """The columns of pages or of offsets with those of ``ddl``, and the latter's names."""
+    places = "query string, page int" if paged else "offset long"
+    return StructType.fromDDL(places + (f", {ddl}" if ddl else "")), [f.name for f in StructType.fromDDL(ddl).fields]
+
+
+def _answers(part, fetch: Callable, names: list[str], page_size: int, tries: int, pause: float):
+    """The rows of a run, page by page until one is short, or of one offset."""
+    if isinstance(part, Offsets):
+        for r in retried(lambda: fetch(part.offset, part.length), tries=tries, pause=pause):
+            yield (part.offset, *[r.get(n) for n in names])
+        return
+    for page in range(part.first, part.last + 1):
+        rows = retried(lambda page=page: fetch(part.query, page, page_size), tries=tries, pause=pause)
+        for r in rows:
+            yield (part.query, page, *[r.get(n) for n in names])
+        if len(rows) < page_size:
+            return
+
+
 def source(name: str, ddl: str, fetch: Callable, partitions: list[InputPartition], *, page_size: int = 100, tries: int = 3, pause: float = 1.0) -> type[DataSource]:
     """A data source ``name`` with the columns of ``ddl``. ``fetch(query, page, page_size)`` returns a page's rows as dicts and
     ``fetch(offset, length)`` those of an offset; pages have the columns query and page added, offsets the column offset."""
-    places = {"query": "string", "page": "int"} if partitions and isinstance(partitions[0], Pages) else {"offset": "long"}
-    schema = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in places.items()) + (f", {ddl}" if ddl else ""))
-    names = [f.name for f in StructType.fromDDL(ddl).fields]
+    schema, names = _schema(bool(partitions) and isinstance(partitions[0], Pages), ddl)
 
     class Reader(DataSourceReader):
         def partitions(self):
             return partitions
 
         def read(self, part):
-            if isinstance(part, Offsets):
-                for r in retried(lambda: fetch(part.offset, part.length), tries=tries, pause=pause):
-                    yield (part.offset, *[r.get(n) for n in names])
-                return
-            for page in range(part.first, part.last + 1):
-                rows = retried(lambda page=page: fetch(part.query, page, page_size), tries=tries, pause=pause)
-                for r in rows:
-                    yield (part.query, page, *[r.get(n) for n in names])
-                if len(rows) < page_size:
-                    return
+            return _answers(part, fetch, names, page_size, tries, pause)
 
     class Source(DataSource):
         @classmethod
@@ -97,6 +110,25 @@ def read(spark: SparkSession, made: type[DataSource]) -> DataFrame:
     return spark.read.format(made.name()).load()
 
 
+def asked(requests: DataFrame, ddl: str, fetch: Callable, *, page_size: int = 100, tries: int = 3, pause: float = 1.0, rows_a_batch: int = 5000) -> DataFrame:
+    """The rows that requests get, with the columns of ``source``: requests(query, first, last) are runs of pages, requests(offset, length)
+    offset reads. They are sent in the tasks and the order that they are dealt in."""
+    paged = "query" in requests.columns
+    schema, names = _schema(paged, ddl)
+
+    def send(frames):
+        import itertools
+
+        import pandas as pd
+
+        runs = (r for f in frames for r in zip(*[f[c].tolist() for c in (("query", "first", "last") if paged else ("offset", "length"))]))
+        rows = (x for r in runs for x in _answers((Pages if paged else Offsets)(*r), fetch, names, page_size, tries, pause))
+        while some := list(itertools.islice(rows, rows_a_batch)):
+            yield pd.DataFrame(some, columns=schema.names, dtype=object)
+
+    return requests.mapInPandas(send, schema)
+
+
 def ended(rows: DataFrame, page_size: int) -> DataFrame:
     """The rows up to the first page of each query that is short, that page included; a page without rows ends its query too."""
     by = W.partitionBy("query").orderBy("page")  # a query's pages
@@ -125,6 +157,45 @@ def recorded_offsets(folder: str) -> Callable:
     return fetch
 
 
+PAGES_A_RUN = 100
+
+
+def page_bucket(query, page, buckets: int):
+    """The Column that says in which of ``buckets`` files of answers a page is recorded; a query's runs of 100 pages stay together."""
+    run = F.floor((page - 1) / PAGES_A_RUN).cast("string")
+    return (F.crc32(F.concat(query, F.lit(":"), run)) % buckets).cast("int")
+
+
+def bucketed_pages(folder: str, buckets: int) -> Callable:
+    """``fetch`` of answers that are recorded many in a file: ``folder/bucket=<b>/`` holds a JSON object an item with its query and page, and
+    ``page_bucket`` says where. The last bucket is held, so requests in order of buckets read each of them once."""
+    find = _held(folder, "bucket", lambda r: (r["query"], r["page"]))
+    return lambda query, page, page_size: find(zlib.crc32(f"{query}:{(page - 1) // PAGES_A_RUN}".encode()) % buckets, (query, page))
+
+
+def bucketed_offsets(folder: str, rows_a_bucket: int) -> Callable:
+    """``fetch`` of offset reads that are recorded many in a file: ``folder/bucket=<offset // rows_a_bucket>/``, a JSON object a row with the
+    offset of its request; held as ``bucketed_pages``."""
+    find = _held(folder, "bucket", lambda r: r["offset"])
+    return lambda offset, length: find(offset // rows_a_bucket, offset)[:length]
+
+
+def _held(folder: str, column: str, key: Callable) -> Callable:
+    """``find(b, k)``: the rows of key ``k`` in the files of ``folder/column=<b>``; those of the last ``b`` are held by their keys."""
+    last: dict = {}
+
+    def find(b: int, k) -> list[dict]:
+        if b not in last:
+            rows: dict = {}
+            for r in _json_lines(f"{folder.rstrip('/')}/{column}={b}"):
+                rows.setdefault(key(r), []).append(r)
+            last.clear()
+            last[b] = rows
+        return last[b].get(k, [])
+
+    return find
+
+
 def _json_lines(folder: str) -> list[dict]:
     from pyarrow import fs
 

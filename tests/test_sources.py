@@ -143,3 +143,12 @@ def test_ahead_equals_brute_force(spark):
     want |= {("gone", "0-0")}
     got = history.ahead(spark.createDataFrame(commits, "repo string, sha string, parents array<string>, generation int"), spark.createDataFrame(forks, "fork string, repo string, tip string, source string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_hosts_are_searched_whatever_their_names_in_few_tasks(spark, tmp_path):
+    from tessella.plans import catalog
+
+    urls = [f"http://h:80/{i}" for i in range(41)] + ["https://a b%3A/1", "http://h/1", "no host", "http:///x"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["src09_paged_search"](spark, str(tmp_path))
+    assert sorted((r.query, r.item) for r in got.collect()) == sorted([("h:80", i) for i in range(41)] + [("a b%3A", 41), ("h", 42)])
