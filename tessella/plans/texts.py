@@ -168,7 +168,7 @@ def edit12(spark, sf_dir):
     """A document's second and fourth line with another line between: where both lines are unique they mark the place."""
     lines = F.split("text", "\n", -1)
     k = F.transform(lines, X.wskey)
-    once = lambda i: (F.get(k, F.lit(i)) != "") & (F.size(F.filter(k, lambda x: x == F.get(k, F.lit(i)))) == 1)
+    once = lambda i: (F.get(k, F.lit(i)) != "") & (F.size(k) - F.size(F.array_remove(k, F.get(k, F.lit(i)))) == 1)  # noqa: E731 - k is made once a row, not once a line
     docs = table(spark, sf_dir, "documents").filter(F.size(lines) >= 5).filter(once(1) & once(3) & ~F.array_contains(k, F.lit("changed line")))
     snippet = F.concat_ws("\n", F.get(lines, F.lit(1)), F.lit("  changed line"), F.get(lines, F.lit(3)))
     return docs.select("doc_id", F.sha1(P.splice_udf("text", snippet)).alias("h"))
