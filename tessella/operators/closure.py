@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip_comments
 from tessella.sources.folders import shared_folder
 
+ROWS_A_BUCKET = 50_000
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]+)\}"
 
 
@@ -30,24 +32,52 @@ def inclusions(files: DataFrame, project: str = "project", path: str = "path", t
     return each.join(files.select(project, F.col(path).alias("dst")), [project, "dst"]).select(project, "src", "dst").filter("src <> dst").distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int | None = None, keep=None) -> DataFrame:
+class Rounds:
+    """Rows that are found round by round, each once: a table in the shared folder, in buckets of ``by``. A round is added to it and
+    nothing is written again; ``new`` compares rows with the earlier ones bucket by bucket, so only what may be new is shuffled."""
+
+    def __init__(self, spark: SparkSession, by: list[str], rows: int):
+        self.spark, self.by, self.n, self.last = spark, by, min(2000, max(8, rows // ROWS_A_BUCKET)), -1
+        self.name, self.path = f"rounds_{uuid.uuid4().hex}", f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        """The distinct rows of ``rows``, whose columns are ``by``, that no round has."""
+        rows = rows.repartition(self.n, *self.by).distinct()
+        return rows if self.last < 0 else rows.join(self.spark.table(self.name).select(*self.by).hint("merge"), self.by, "left_anti")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes a round, which comes from ``new``, and reads it."""
+        self.last += 1
+        out = rows.withColumn("round_", F.lit(self.last)).write.mode("append").partitionBy("round_").bucketBy(self.n, *self.by).sortBy(*self.by)
+        out.option("path", self.path).saveAsTable(self.name)
+        return self.spark.table(self.name).filter(F.col("round_") == self.last).drop("round_")
+
+    def all(self) -> DataFrame:
+        """All rows, read from the folder; the table's name is given up."""
+        schema = self.spark.table(self.name).schema
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path).drop("round_")
+
+
+def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int | None = None) -> DataFrame:
     """(keys, root, node) of all nodes reachable from each root, itself included; edges(keys, src, dst), roots(keys, root).
 
     Breadth first; nodes seen are not expanded again, so cycles end, and chains of any length are followed unless ``max_depth`` makes
-    a longer one an error. ``keep`` writes each round's result down (a table); a checkpoint
-    if not given. Either way the lineage is cut, and a lost executor costs a reread.
+    a longer one an error. Each pair is written once, in its round, and shuffled when it is expanded and as often as it is reached; the
+    edges are shuffled once a round. The lineage is cut by what is written, and a lost executor costs a reread.
     """
-    keep = keep or kept
-    seen = keep(roots.withColumn("node", F.col("root")).distinct())
-    front = seen
+    spark, pair = edges.sparkSession, [*keys, "root", "node"]
+    edges = kept(edges.select(*keys, "src", "dst").distinct())
+    seen = Rounds(spark, pair, edges.count() + roots.count())
+    front = seen.add(seen.new(roots.select(*keys, "root", F.col("root").alias("node"))))
     for depth in itertools.count(1):
-        step = front.join(edges, [*[front[k] == edges[k] for k in keys], front["node"] == edges["src"]]).select(*[front[k] for k in keys], front["root"], edges["dst"].alias("node")).distinct()
-        front = keep(step.join(seen, [*keys, "root", "node"], "left_anti"))
+        step = front.join(edges, [*[front[k] == edges[k] for k in keys], front["node"] == edges["src"]]).select(*[front[k] for k in keys], front["root"], edges["dst"].alias("node"))
+        front = seen.add(seen.new(step))
         if front.isEmpty():
-            return seen
+            return seen.all()
         if depth == max_depth:
+            seen.all()
             raise RuntimeError(f"a closure is deeper than {max_depth}")
-        seen = keep(seen.unionByName(front))
 
 
 def pick_root(reached: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:

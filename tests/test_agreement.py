@@ -49,6 +49,30 @@ def test_a_long_chain_is_followed(spark):
     assert closure.closure(edges, roots, ["project"]).count() == 61
 
 
+def test_pairs_are_written_once_and_compared_in_place(spark, monkeypatch):
+    rng = random.Random(5)
+    links = {(g, rng.randrange(30), rng.randrange(30)) for g in range(3) for _ in range(45)}
+    starts = {(g, rng.randrange(30)) for g in range(4) for _ in range(12)}
+    want = set()
+    for g, r in starts:
+        todo = [r]
+        while todo:
+            x = todo.pop()
+            if (g, r, x) not in want:
+                want.add((g, r, x))
+                todo += [d for k, s, d in links if (k, s) == (g, x)]
+    calls, plans, kept, add = [], [], closure.kept, closure.Rounds.add
+    monkeypatch.setattr(closure, "kept", lambda df: calls.append(1) or kept(df))
+    monkeypatch.setattr(closure.Rounds, "add", lambda self, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or add(self, rows))
+    got = closure.closure(spark.createDataFrame(sorted(links), "g long, src long, dst long"), spark.createDataFrame(sorted(starts), "g long, root long"), ["g"])
+    rows = [(r.g, r.root, r.node) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert len(calls) == 1 and len(plans) > 3  # what is seen is not written again, nor shuffled:
+    # On the right of the comparison, the last lines of its plan, the table is sorted in its buckets.
+    assert all("LeftAnti" in p and "Exchange" not in p[p.rindex("Sort ["):] for p in plans[1:])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rounds_")]
+
+
 def test_scratch_folders_are_shared_and_removed(spark):
     with folders.scratch(spark) as path:
         assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
