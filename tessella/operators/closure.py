@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip_comments
-from tessella.sources.folders import shared_folder
+from tessella.sources.folders import removed, shared_folder
 
 ROWS_A_BUCKET = 50_000
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^{}]+)\}"
@@ -40,13 +40,20 @@ class Rounds:
         self.spark, self.by, self.n, self.last = spark, by, min(2000, max(8, rows // ROWS_A_BUCKET)), -1
         self.name, self.path = f"rounds_{uuid.uuid4().hex}", f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` shuffled as the buckets are."""
+        return rows.repartition(self.n, *self.by)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name).drop("round_")
+
     def new(self, rows: DataFrame) -> DataFrame:
         """The distinct rows of ``rows``, whose columns are ``by``, that no round has."""
-        rows = rows.repartition(self.n, *self.by).distinct()
-        return rows if self.last < 0 else rows.join(self.spark.table(self.name).select(*self.by).hint("merge"), self.by, "left_anti")
+        rows = self.dealt(rows).distinct()
+        return rows if self.last < 0 else rows.join(self.table().hint("merge"), self.by, "left_anti")
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Writes a round, which comes from ``new``, and reads it."""
+        """Writes a round, whose rows are dealt, and reads it."""
         self.last += 1
         out = rows.withColumn("round_", F.lit(self.last)).write.mode("append").partitionBy("round_").bucketBy(self.n, *self.by).sortBy(*self.by)
         out.option("path", self.path).saveAsTable(self.name)
@@ -58,6 +65,10 @@ class Rounds:
         self.spark.sql(f"DROP TABLE {self.name}")
         return self.spark.read.schema(schema).parquet(self.path).drop("round_")
 
+    def removed(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        removed(self.spark, self.path)
+
 
 def closure(edges: DataFrame, roots: DataFrame, keys: list[str], *, max_depth: int | None = None) -> DataFrame:
     """(keys, root, node) of all nodes reachable from each root, itself included; edges(keys, src, dst), roots(keys, root).

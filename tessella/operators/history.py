@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .closure import kept
+from .closure import Rounds, kept
 
 RECORD = "\x1e"
 #: How a log is written that ``log_records`` reads: a record mark, then id, parents and subject, then a status and a path a line.
@@ -37,31 +37,36 @@ def ahead(commits: DataFrame, forks: DataFrame, *, repo: str = "repo", fork: str
 
     commits(repo, sha, parents, generation): a generation is larger than those of all parents. forks(fork, repo, tip, source).
 
-    Both tips spread at once; a commit knows which of them reached it. A commit that the source reaches is only followed while its
-    generation exceeds the lowest of those that the fork alone has or still spreads from: nothing below can lead there. So work
-    follows what a fork is ahead by and how far its source moved on, not the whole history. A round joins its front with the
-    commits' parents; rounds are written down. Tips or parents that are no commits are left out; a null tip reaches nothing.
+    Both tips spread at once; a commit that the source reaches needs no mark of the fork. A mark of the source is only followed while its
+    generation exceeds the lowest that the fork's marks came to, else it is held as long as these spread: nothing below can lead there.
+    So work follows what a fork is ahead by and how far its source moved on, not the whole history. Marks are added to one table and a
+    commit's parents lie in another, both in buckets, so a round shuffles its front only; forks that are done have none. Tips or
+    parents that are no commits are left out; a null tip reaches nothing.
     """
-    links = commits.select(repo, F.col("sha").alias("at"), F.explode("parents").alias("sha"))
+    spark, mark = commits.sparkSession, [fork, repo, "sha"]
     born = commits.groupBy(repo, "sha").agg(F.max("generation").alias("generation"))
-    links = kept(links.join(born, [repo, "sha"]).select(repo, "at", "sha", "generation").distinct())
+    links = commits.select(repo, F.col("sha").alias("at"), F.explode("parents").alias("sha")).join(born, [repo, "sha"])
+    n_commits = commits.count()
+    parents, seen = Rounds(spark, [repo, "at"], n_commits), Rounds(spark, mark, n_commits)
+    links = parents.add(parents.dealt(links.select(repo, "at", "sha", "generation")).distinct())
     tips = forks.select(fork, repo, F.explode(F.array(F.struct(F.col("tip").alias("sha"), F.lit(1).alias("by")), F.struct(F.col("source").alias("sha"), F.lit(2).alias("by")))).alias("t"))
     tips = tips.select(fork, repo, "t.sha", "t.by").join(born, [repo, "sha"])
-    one = lambda df: df.groupBy(fork, repo, "sha", "generation").agg(F.bit_or("by").alias("by"))
-    seen = kept(one(tips.select(fork, repo, "sha", "generation", "by")))
-    front = seen
+    # ``low`` is the lowest generation of the fork's marks as far as a row's round knew it.
+    met = tips.select(*mark, "generation", "by", F.lit(None).cast(born.schema["generation"].dataType).alias("low"))
+    held = None
     while True:
-        lowest = seen.filter("by = 1").groupBy(fork).agg(F.min("generation").alias("low"))
-        # A front of the fork's own spreads always, what the source has only above the lowest of these.
-        spread = front.join(lowest, fork).filter((F.col("by") == 1) | (F.col("generation") > F.col("low")))
-        reached = spread.select(fork, repo, F.col("sha").alias("at"), "by").join(links, [repo, "at"]).select(fork, repo, "sha", "generation", "by")
-        now = kept(one(seen.unionByName(reached)))
-        was = seen.select(fork, repo, "sha", F.col("by").alias("was"))
-        # New marks spread; so do marks of the source that were held back, once the fork's own reach lower.
-        lower = now.filter("by = 1").groupBy(fork).agg(F.min("generation").alias("low"))
-        held = seen.join(lowest.withColumnRenamed("low", "before"), fork).join(lower, fork).filter((F.col("by") != 1) & (F.col("generation") <= F.col("before")) & (F.col("generation") > F.col("low")))
-        changed = now.join(was, [fork, repo, "sha"], "left").filter(~F.col("by").eqNullSafe(F.col("was"))).drop("was")
-        front = kept(changed.unionByName(held.select(*changed.columns)).distinct())
-        seen = now
-        if front.isEmpty():
-            return seen.filter("by = 1").select(fork, "sha")
+        met = seen.dealt(met).groupBy(*mark).agg(F.max("generation").alias("generation"), F.bit_or("by").alias("by"), F.min("low").alias("low"))
+        if seen.last >= 0:
+            was = seen.table().groupBy(*mark).agg(F.bit_or("by").alias("was"))
+            met = met.join(was.hint("merge"), mark, "left").filter(F.col("was").isNull() | ((F.col("was") == 1) & (F.col("by") != 1))).drop("was")
+        front = seen.add(met.withColumn("by", F.when(F.col("by") == 1, 1).otherwise(2)))
+        front = front.unionByName(held) if held else front
+        own = F.col("by") == 1
+        lows = front.groupBy(fork).agg(F.least(F.min("low"), F.min(F.when(own, F.col("generation")))).alias("low"), F.max(own).alias("live"))
+        front = kept(front.drop("low").join(lows, fork).withColumn("spreads", F.coalesce(own | (F.col("generation") > F.col("low")), F.lit(False))))
+        spread = front.filter("spreads").select(fork, repo, F.col("sha").alias("at"), "by", "low")
+        if spread.isEmpty():
+            parents.removed()
+            return seen.all().groupBy(fork, repo, "sha").agg(F.bit_or("by").alias("by")).filter("by = 1").select(fork, "sha")
+        held = front.filter("live and not spreads").select(*mark, "generation", "by", "low")
+        met = parents.dealt(spread).join(links, [repo, "at"]).select(*mark, "generation", "by", "low")

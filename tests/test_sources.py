@@ -145,6 +145,23 @@ def test_ahead_equals_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_a_round_of_ahead_writes_its_front_only(spark, monkeypatch):
+    commits = [(f"r{r}", f"{r}-{i}", [f"{r}-{i - 1}"] if i else [], i) for r in range(40) for i in range(12)]
+    forks = [(f"f{r}", f"r{r}", f"{r}-11", f"{r}-{8 - r % 3}") for r in range(40)]
+    rows, kept = [], history.kept
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(history, "kept", counted)
+    got = history.ahead(spark.createDataFrame(commits, "repo string, sha string, parents array<string>, generation int"), spark.createDataFrame(forks, "fork string, repo string, tip string, source string"))
+    assert {tuple(r) for r in got.collect()} == {(f"f{r}", f"{r}-{i}") for r in range(40) for i in range(9 - r % 3, 12)}
+    assert max(rows) <= 80 and rows[-1] < 80  # a mark of either tip for each fork, until it is done
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rounds_")]
+
+
 def test_hosts_are_searched_whatever_their_names_in_few_tasks(spark, tmp_path):
     from tessella.plans import catalog
 
