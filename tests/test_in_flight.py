@@ -59,6 +59,25 @@ def test_requests_in_flight_are_bounded(spark, tmp_path):
         assert {x for x in want if x[2] <= last} <= mine <= want
 
 
+def test_parts_of_a_stream_are_written_by_many_tasks(spark, small, monkeypatch):
+    import glob
+
+    from tessella.plans import catalog, collection
+
+    folder, files, bounded = spark.conf.get("spark.checkpoint.dir"), [], in_flight.bounded
+    want = {tuple(r) for r in catalog.QUERIES["strm04_in_flight"](spark, small).collect()}
+
+    def looking(stream, **named):
+        files.extend(f.split("/")[-2] for f in glob.glob(f"{folder}/scratch-*/in/*/*.parquet"))
+        return bounded(stream, **named)
+
+    monkeypatch.setattr(collection, "ROWS_A_FILE", 60)
+    monkeypatch.setattr(in_flight, "bounded", looking)
+    got = [tuple(r) for r in catalog.QUERIES["strm04_in_flight"](spark, small).collect()]
+    assert set(got) == want and len(got) == len(want) > 900
+    assert len({files.count(x) for x in files}) == 1 and files.count(files[0]) > 1  # as many files for each part
+
+
 def test_snapshots_estimate_the_time_left(spark, tmp_path):
     spark.range(40).repartition(4).write.parquet(str(tmp_path / "in"))
     counters = {"n": F.count("*"), "odd": F.count_if(F.col("id") % 2 == 1)}
