@@ -76,53 +76,96 @@ def similar_sets(left: DataFrame, right: DataFrame, id: str, items: str, thresho
     return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity", "left_n", "right_n")
 
 
-def similar_pairs(sets: DataFrame, id: str, items: str, threshold: float, frequent: int = 100_000) -> DataFrame:
-    """(left_id, right_id) of distinct ``sets(id, items)`` of longs, none empty or repeated, whose Jaccard similarity reaches the threshold,
-    exactly.
+#: Rows of each side that a task compares at a time, at most about, and 64-bit words it holds for it.
+ROWS_A_CELL, WORDS_AT_ONCE = 4096, 2_000_000
 
-    As ``similar_sets``, but a set's prefix is made within its row: the ``frequent`` commonest items (they and their order are sent to all
-    tasks) come last in every set, the others before them by value, and any one order of all items is exact. Only prefixes are shuffled, and
-    each pair of sets meets from its smaller side.
-    """
-    own = sets.select(F.col(id).cast("long").alias("id"), F.col(items).alias("set"))
-    common = own.select(F.explode("set").alias("item")).groupBy("item").count().filter("count > 1").orderBy(F.desc("count"), "item").limit(frequent)
-    last = own.sparkSession.sparkContext.broadcast([r["item"] for r in common.select("item").collect()])
-    step = -math.log(threshold) + 1e-9
 
-    def prefixes(batches):
+def bands(threshold: float):
+    """(band, bits): the band of sizes of a set of n, so that sets of that Jaccard similarity are in the same band or in neighbouring ones,
+    and how many bits a sketch for comparisons within a band has: about one an item."""
+    step = max(-math.log(threshold) + 1e-9, 0.05)
+    return (lambda n: math.floor(math.log(n) / step)), (lambda band: 64 * math.ceil(math.exp((band + 1) * step) / 64))
+
+
+def sketch(items, bits: int) -> bytes:
+    """Which of so many remainders an odd number of the items has: two sets differ in at least as many items as their sketches in bits."""
+    import numpy as np
+
+    return np.packbits(np.bincount((items.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def near_sketches(sets: DataFrame, threshold: float, opened: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id), left the smaller, of sets that may reach the Jaccard similarity: pairs that no sketch rules out, which are all
+    that reach it and few others. sets(id long, block, size, band, own, next), ``own`` and ``next`` the sketches of its band and the next.
+
+    Without ``opened`` each set meets the nearest one of each comparison it is in, so there are never more pairs than compared rows; with
+    ``opened(id)`` all pairs that hold one of these. Sets of a block and a band are dealt to cells of bounded size, and every two cells
+    that may hold a pair are compared in a task; only sketches are shuffled, an eighth of a byte an item and cell, and no pair that fails.
+    """
+    sets = sets.withColumn("open", F.lit(False)) if opened is None else sets.join(opened.select("id", F.lit(True).alias("open")), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    counts = sets.groupBy("block", "band").agg(F.count("*").alias("n"))
+    both = counts.withColumn("right_n", F.col("n")).unionByName(counts.select("block", F.col("band") + 1, "n", F.lit(0).cast("long").alias("right_n")).toDF("block", "band", "n", "right_n"))
+    grid = both.groupBy("block", "band").agg(F.sum("n").alias("n"), F.sum("right_n").alias("right_n")).filter("right_n > 0 and n > 1")
+    cells = lambda n: F.ceil(F.col(n) / ROWS_A_CELL).cast("int")
+    grid = grid.select("block", "band", cells("right_n").alias("n_right"), cells("n").alias("n_left"))
+    side = lambda band, word, right: sets.select("id", "size", "open", F.lit(right).alias("right"), "block", band.alias("band"), F.col(word).alias("word"))
+    rows = side(F.col("band"), "own", True).unionByName(side(F.col("band"), "own", False)).unionByName(side(F.col("band") + 1, "next", False)).join(grid, ["block", "band"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    each = F.when(F.col("right"), F.transform(others("n_left"), lambda i: F.struct(own("n_right").alias("r"), i.alias("l")))).otherwise(F.transform(others("n_right"), lambda i: F.struct(i.alias("r"), own("n_left").alias("l"))))
+    dealt = rows.withColumn("cell", F.explode(each)).select("block", "band", "cell", "id", "size", "open", "right", "word")
+    every, share = opened is not None, (1 - threshold) / (1 + threshold)
+
+    def compared(table):
         import numpy as np
         import pyarrow as pa
 
-        ranked = np.array(last.value, np.int64)  # commonest first
-        by_value = np.argsort(ranked)
-        ordered = ranked[by_value]
-        for batch in batches:
-            out = []
-            for i, x in zip(batch.column(0).to_numpy(), batch.column(1)):
-                x = np.sort(np.asarray(x.values))
-                n = len(x)
-                rank = np.zeros(n, np.int64)
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
-                    rank = np.where(ordered[at] == x, len(ordered) - by_value[at], 0)
-                x = x[np.argsort(rank, kind="stable")][: n - math.ceil(n * threshold - 1e-9) + 1]
-                k = len(x)
-                out.append((np.full(k, i), np.full(k, n, np.int32), np.arange(1, k + 1, dtype=np.int32), x, np.full(k, math.floor(math.log(n) / step), np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "size", "p", "item", "band"])
-
-    made = own.mapInArrow(prefixes, "id long, size int, p int, item long, band int")
-    side = lambda df, name: df.select("item", "band", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "size", "p")])
-    # Similar sets are in the same band of sizes, or the larger one is in the next.
-    ours = side(made.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "left")
-    met = ours.join(side(made, "right"), ["item", "band"])
-    met = met.filter((F.col("left_size") < F.col("right_size")) | (F.col("left_size") == F.col("right_size")) & (F.col("left_id") < F.col("right_id")))
-    rest = F.least(F.col("left_size") - F.col("left_p"), F.col("right_size") - F.col("right_p")) + F.least("left_p", "right_p")
-    total = F.col("left_size") + F.col("right_size")
-    met = met.filter((F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (rest * (1 + threshold) >= total * threshold - 1e-9))
-    pairs = met.select("left_id", "right_id").distinct()
-    pairs = pairs.join(own.select(F.col("id").alias("left_id"), F.col("set").alias("a")), "left_id").join(own.select(F.col("id").alias("right_id"), F.col("set").alias("b")), "right_id")
-    return pairs.filter(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= threshold - 1e-9).select("left_id", "right_id")
+        column = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        ids, sizes, is_right, is_open = column("id"), column("size").astype(np.int64), column("right").astype(bool), column("open").astype(bool)
+        words = np.frombuffer(b"".join(table.column("word").to_pylist()), np.uint64).reshape(len(ids), -1)
+        order = np.lexsort((ids, sizes))  # of two rows the left comes first
+        rights, lefts, out = order[is_right[order]], order[~is_right[order]], []
+
+        def meet(r, l):
+            if not len(r) or not len(l):
+                return
+            best, at, i = np.full(len(l), 1 << 40), np.full(len(l), -1), 0
+            while i < len(r):
+                low = np.searchsorted(sizes[l], sizes[r[i]] * threshold - 1e-6)
+                a = r[i : i + max(1, WORDS_AT_ONCE // max(1, (len(l) - low) * words.shape[1]))]
+                high = np.searchsorted(sizes[l], sizes[a[-1]], "right")
+                i, b = i + len(a), l[low:high]
+                if not len(b):
+                    continue
+                x, y = sizes[a][:, None], sizes[b][None]
+                apart = np.zeros((len(a), len(b)), np.int64)
+                for k in range(words.shape[1]):
+                    apart += np.bitwise_count(words[a, k][:, None] ^ words[b, k][None])
+                fits = (apart <= (x + y) * share + 1e-6) & (y >= x * threshold - 1e-6) & ((y < x) | (y == x) & (ids[b][None] < ids[a][:, None]))
+                if every:
+                    u, v = np.nonzero(fits)
+                    out.append((ids[b[v]], ids[a[u]]))
+                    continue
+                apart = np.where(fits, apart, 1 << 40)
+                v = apart.argmin(1)
+                u = np.flatnonzero(apart[np.arange(len(a)), v] < 1 << 40)
+                out.append((ids[b[v[u]]], ids[a[u]]))
+                u = apart.argmin(0)
+                least = apart[u, np.arange(len(b))]
+                nearer = np.flatnonzero(least < best[low:high])
+                best[low + nearer], at[low + nearer] = least[nearer], ids[a[u[nearer]]]
+            some = np.flatnonzero(best < 1 << 40)
+            out.append((ids[l[some]], at[some]))
+
+        if every:
+            meet(rights[is_open[rights]], lefts)
+            meet(rights[~is_open[rights]], lefts[is_open[lefts]])
+        else:
+            meet(rights, lefts)
+        left, right = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
+        return pa.table({"left_id": pa.array(left, pa.int64()), "right_id": pa.array(right, pa.int64())})
+
+    return dealt.groupBy("block", "band", "cell").applyInArrow(compared, "left_id long, right_id long").distinct()
 
 
 def assign_blocks(needed: DataFrame, blocks: DataFrame, id: str = "id") -> DataFrame:

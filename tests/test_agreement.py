@@ -82,3 +82,35 @@ def test_scratch_folders_are_shared_and_removed(spark):
     from tessella.sources.readers import existing
 
     assert existing(spark, [path]) == []
+
+
+def test_like_texts_are_not_met_pair_by_pair(spark, monkeypatch):
+    """Texts are held against the nearest that sketches find, and against others only if that one is not like them."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:59], f"x{i}"]) for i in range(200)]  # every two are alike
+    texts += [" ".join([*[f"v{j}" for j in range(50)], *[f"y{i}_{j}" for j in range(10)]]) for i in range(60)]  # no two are
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "id long, k string, text string").repartition(3)
+    made, near = [], selection.near_sketches
+    monkeypatch.setattr(selection, "near_sketches", lambda *a: made.append(closure.kept(near(*a))) or made[-1])
+    got = {r.id: r.agreed for r in selection.similar_agreement(df, "id", ["k"], "text", 0.9).collect()}
+    assert got == {i: i < 200 for i in range(260)} and sum(m.count() for m in made) <= 2 * 260
+
+
+def test_sketches_lose_no_pair(spark, monkeypatch):
+    from tessella.operators import joins
+
+    rng, t = random.Random(11), 0.8
+    sets = [set(rng.sample(range(1 << 40), rng.choice([1, 2, 5, 30, 200]))) for _ in range(25)]
+    sets += [set(rng.sample(sorted(s), len(s) - rng.randrange(1 + len(s) // 6))) | {rng.randrange(1 << 40)} for s in sets for _ in range(3)]
+    band_of, bits_of = joins.bands(t)
+    import numpy as np
+
+    rows = []
+    for i, s in enumerate(sets):
+        items, band = np.array(sorted(s), np.int64), band_of(len(s))
+        rows.append((i, bytearray(b"k"), len(s), band, bytearray(joins.sketch(items, bits_of(band))), bytearray(joins.sketch(items, bits_of(band + 1)))))
+    monkeypatch.setattr(joins, "ROWS_A_CELL", 7)
+    df = spark.createDataFrame(rows, "id long, block binary, size int, band int, own binary, next binary")
+    like = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
+    got = [frozenset(r) for r in joins.near_sketches(df, t, df.select("id")).collect()]
+    assert like and like <= set(got) and len(got) == len(set(got))
