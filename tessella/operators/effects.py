@@ -18,7 +18,7 @@ def project_hash(files: Column, root: Column) -> Column:
 
 class CompileBackend(Protocol):
     def compile(self, jobs: DataFrame) -> DataFrame:
-        """``jobs(files, root, ...)`` with a column ``result`` of the compile result's shape."""
+        """``jobs(files, root, ...)`` with a column ``result`` of the compile result's shape; ``project_key``, if there, is the jobs' hash."""
 
 
 class Recorded:
@@ -30,7 +30,8 @@ class Recorded:
     def compile(self, jobs: DataFrame) -> DataFrame:
         names = [f.name for f in schema(COMPILE_RESULT).fields]
         have = self.results.select(F.col("key").alias("key_"), F.struct(*names).alias("result"))
-        out = jobs.withColumn("key_", project_hash(F.col("files"), F.col("root"))).join(have, "key_", "left").drop("key_")
+        key = F.col("project_key") if "project_key" in jobs.columns else project_hash(F.col("files"), F.col("root"))
+        out = jobs.withColumn("key_", key).join(have, "key_", "left").drop("key_")
         lost = F.struct(*[(F.lit(True) if n == "timed_out" else F.lit(False) if n == "ok" else F.lit(None)).cast(f.dataType).alias(n) for n, f in zip(names, schema(COMPILE_RESULT).fields)])
         return out.withColumn("result", F.coalesce("result", lost))
 

@@ -24,9 +24,10 @@ NO_BLOCKS = "array<string>"
 
 
 def _build(texts: DataFrame, backend: CompileBackend) -> DataFrame:
-    """(key, result) of each distinct root text."""
-    jobs = texts.select("text").distinct().select(F.create_map(F.lit(ROOT), F.col("text")).alias("files"), F.lit(ROOT).alias("root"))
-    return kept(backend.compile(jobs).select(project_hash(F.col("files"), F.col("root")).alias("key"), "result"))
+    """(key, result) of each distinct root text; ``texts(key, text)``. A backend that goes by keys moves no text."""
+    jobs = texts.groupBy("key").agg(F.first("text").alias("text"))
+    jobs = jobs.select(F.create_map(F.lit(ROOT), F.col("text")).alias("files"), F.lit(ROOT).alias("root"), F.col("key").alias("project_key"))
+    return kept(backend.compile(jobs).select(F.col("project_key").alias("key"), "result"))
 
 
 def _key(text: Column) -> Column:
@@ -34,18 +35,19 @@ def _key(text: Column) -> Column:
 
 
 def plans_of(rows: DataFrame, blocks: list[tuple[str, str]]) -> DataFrame:
-    """``rows`` with ``plans``, in order: array<struct<fixed, edits, reason, kind>> of the fixed versions that each column of blocks, with
-    its kind, gives; a plan that needs files that nobody has, or that no edits lead to, says why."""
-    rows = rows.withColumns({f"fixes_{kind}": P.fix_candidates_udf("broken", F.coalesce(column, F.array().cast(NO_BLOCKS))) for column, kind in blocks})
+    """``rows`` with ``plans``, in order: array<struct<at, fixed, key, edits, reason, kind>> of the fixed versions that each column of blocks,
+    with its kind, gives; a plan that needs files that nobody has, or that no edits lead to, says why. Plans are made within their row."""
+    fixes = {f"fixes_{kind}": P.fix_candidates_udf("broken", F.coalesce(column, F.array().cast(NO_BLOCKS))) for column, kind in blocks}
     each = F.concat(*[F.transform(F.coalesce(f"fixes_{kind}", F.array().cast(NO_BLOCKS)), _of_kind(kind)) for _, kind in blocks])
-    exploded = rows.select("question_id", "broken", F.posexplode_outer(each).alias("at", "p"))
-    derived = exploded.withColumn("d", P.derive_edits_udf("p.fixed", "broken"))
-    external = mining.needs_external(F.col("p.fixed"))
-    edits = F.transform("d.edits", lambda e: F.struct(F.lit(ROOT).alias("file"), e["search"].alias("search"), e["replace"].alias("replace")))
-    plan = F.struct("at", F.col("p.fixed").alias("fixed"), edits.alias("edits"), F.when(external, "external_files").otherwise(F.col("d.reason")).alias("reason"), F.col("p.kind").alias("kind"))
-    # At most a few plans a question.
-    plans = derived.groupBy("question_id").agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), plan))).alias("plans"))
-    return rows.drop(*[f"fixes_{kind}" for _, kind in blocks]).join(plans, "question_id")
+    made = rows.withColumns(fixes).withColumn("each_", each).withColumn("derived_", P.derive_each_udf("each_.fixed", "broken"))
+
+    def plan(p, at):
+        d = F.get("derived_", at)
+        edits = F.transform(d["edits"], lambda e: F.struct(F.lit(ROOT).alias("file"), e["search"].alias("search"), e["replace"].alias("replace")))
+        reason = F.when(mining.needs_external(p["fixed"]), "external_files").otherwise(d["reason"])
+        return F.struct(at.alias("at"), p["fixed"].alias("fixed"), _key(p["fixed"]).alias("key"), edits.alias("edits"), reason.alias("reason"), p["kind"].alias("kind"))
+
+    return made.withColumn("plans", F.transform("each_", plan)).drop(*fixes, *(column for column, _ in blocks), "each_", "derived_")
 
 
 def _of_kind(kind: str):
@@ -54,23 +56,40 @@ def _of_kind(kind: str):
 
 def tried(rows: DataFrame, backend: CompileBackend) -> DataFrame:
     """``rows(question_id, broken, plans)`` with the broken build's errors and prompt, ``taken``, the first plan that works, and ``last``, what
-    became of the last one tried: kept, sites_hidden, fixed_timeout or fixed_compile_fail; null without a plan."""
-    good = F.filter("plans", lambda p: p["reason"] == "ok")
-    rows = rows.withColumn("good", good).withColumn("key", _key(F.col("broken")))
-    texts = rows.select(F.col("broken").alias("text")).unionByName(rows.select(F.explode("good.fixed").alias("text")))
-    built = _build(texts, backend)
-    rows = rows.join(built, "key", "left").withColumn("errors", L.error_lines(F.coalesce("result.items", F.array().cast(built.schema["result"].dataType["items"].dataType)), F.lit(ROOT), F.array(F.lit(ROOT))))
-    rows = rows.withColumn("prompt", M.fix_prompt(F.lit(ROOT), F.col("broken"), F.col("errors"), F.col("result.log")))
-    each = rows.select("question_id", "prompt", F.explode("good").alias("p")).withColumn("key", _key(F.col("p.fixed"))).join(built.select("key", F.col("result").alias("fixed_result")), "key", "left")
-    became = (
-        F.when(~E.breaks_visible(F.col("p.edits"), F.col("prompt")), "sites_hidden")
-        .when(F.coalesce(F.col("fixed_result.timed_out"), F.lit(True)), "fixed_timeout")
-        .when(~F.coalesce(F.col("fixed_result.ok"), F.lit(False)), "fixed_compile_fail")
-        .otherwise("kept")
+    became of the last one tried: kept, sites_hidden, fixed_timeout or fixed_compile_fail; null without a plan.
+
+    Rows are written once; builds are found by keys and gathered by question, so of the texts only the broken one is shuffled, once."""
+    rows = kept(rows.withColumn("key", _key(F.col("broken"))))
+    good = lambda field: F.transform(F.filter("plans", lambda p: p["reason"] == "ok"), lambda p: F.struct(p["at"].alias("at"), p["key"].alias("key"), p[field].alias("text")))
+    each = rows.select(F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("at"), "key", F.col("broken").alias("text"))), good("fixed"))).alias("p"))
+    built = _build(each.select("p.key", "p.text"), backend)
+    asked = rows.select("question_id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("at"), "key", F.col("key").alias("text"))), good("key"))).alias("p")).select("question_id", "p.at", "p.key")
+    own = F.col("at") < 0
+    # At most a few plans a question.
+    results = asked.join(built, "key", "left").groupBy("question_id").agg(
+        F.first(F.when(own, F.col("result")), ignorenulls=True).alias("result"),
+        F.collect_list(F.when(~own, F.struct("at", "result.timed_out", "result.ok"))).alias("builds_"),
     )
-    each = each.withColumn("became", became)
-    ends = each.groupBy("question_id").agg(F.min_by(F.when(F.col("became") == "kept", F.col("p")), F.when(F.col("became") == "kept", F.col("p.at"))).alias("taken"), F.max_by("became", "p.at").alias("last_one"))
-    return rows.join(ends, "question_id", "left").withColumn("last", F.when(F.col("taken").isNotNull(), "kept").otherwise(F.col("last_one"))).drop("last_one", "key", "good")
+    light = F.transform("plans", lambda p: F.struct(*[p[c].alias(c) for c in ("at", "edits", "reason", "kind")]))
+    rows = rows.drop("key").withColumn("plans", light).join(results, "question_id", "left")
+    rows = rows.withColumn("errors", L.error_lines(F.coalesce("result.items", F.array().cast(built.schema["result"].dataType["items"].dataType)), F.lit(ROOT), F.array(F.lit(ROOT))))
+    rows = rows.withColumn("prompt", M.fix_prompt(F.lit(ROOT), F.col("broken"), F.col("errors"), F.col("result.log")))
+
+    def became(p, prompt):
+        build = F.get(F.filter("builds_", lambda x: x["at"] == p["at"]), F.lit(0))
+        stage = (
+            F.when(~E.breaks_visible(p["edits"], prompt), "sites_hidden")
+            .when(F.coalesce(build["timed_out"], F.lit(True)), "fixed_timeout")
+            .when(~F.coalesce(build["ok"], F.lit(False)), "fixed_compile_fail")
+            .otherwise("kept")
+        )
+        return F.struct(p.alias("p"), stage.alias("became"))
+
+    # The prompt as a variable: it is made once for all plans.
+    ends = F.flatten(F.transform(F.array("prompt"), lambda prompt: F.transform(F.filter("plans", lambda p: p["reason"] == "ok"), lambda p: became(p, prompt))))
+    rows = rows.withColumn("ends_", ends).withColumn("taken", F.get(F.filter("ends_", lambda x: x["became"] == "kept"), F.lit(0))["p"])
+    last = F.get("ends_", F.size("ends_") - 1)["became"]
+    return rows.withColumn("last", F.when(F.col("taken").isNotNull(), "kept").otherwise(last)).drop("ends_", "builds_")
 
 
 def _row(c) -> list[Column]:
@@ -109,9 +128,12 @@ def relaxed_lane(posts: DataFrame, backend: CompileBackend, least_score: int = 2
     answers = posts.filter("post_type = 2").select(F.col("id").alias("answer_id"), F.col("parent_id").alias("of"), F.col("score").alias("answer_score"), "blocks")
     usable = F.size(F.coalesce("blocks", F.array().cast(NO_BLOCKS))) > 0
     best = joins.accepted_and_best(q.select("question_id", "accepted_answer_id"), answers, "question_id", "accepted_answer_id", "of", "answer_id", "answer_score", usable, least_score)
-    side = lambda name: answers.select(F.col("answer_id").alias(name), F.col("blocks").alias(f"{name}_blocks"))
-    rows = q.join(best.select("question_id", "accepted", "top"), "question_id").join(side("accepted"), "accepted", "left").join(side("top"), "top", "left")
-    done = tried(plans_of(kept(rows), [("accepted_blocks", "accepted"), ("top_blocks", "top")]), backend)
+    # Each text is shuffled once, by its question.
+    ids = best.select("question_id", "accepted", "top").filter("accepted is not null or top is not null")
+    taken = ids.join(answers, (F.col("of") == F.col("question_id")) & ((F.col("answer_id") == F.col("accepted")) | (F.col("answer_id") == F.col("top"))))
+    blocks = lambda name: F.first(F.when(F.col("answer_id") == F.col(name), F.col("blocks")), ignorenulls=True).alias(f"{name}_blocks")
+    rows = q.join(taken.groupBy("question_id").agg(blocks("accepted"), blocks("top")), "question_id", "left")
+    done = tried(plans_of(rows, [("accepted_blocks", "accepted"), ("top_blocks", "top")]), backend)
     reasons = F.filter("plans.reason", lambda r: r != "ok")
     common = F.array_max(F.transform(F.array_distinct(reasons), lambda r, i: F.struct(F.size(F.filter(reasons, lambda x: x == r)).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
     message = F.get("errors", F.lit(0))

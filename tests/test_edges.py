@@ -65,3 +65,17 @@ def test_similar_agreement_carries_its_words_within_rows(spark):
     df = spark.createDataFrame([(i, k, " ".join(w)) for i, k, w in rows] + [(11, "c", None), (12, "c", " ")], "id long, k string, text string")
     out = selection.similar_agreement(df, "id", ["k"], "text", 0.9)
     assert {r.id: r.agreed for r in out.collect()} == {3: True, 4: True, 5: False, 6: False, 7: False, 8: False, 9: True, 10: True, 11: False, 12: False}
+
+
+def test_miners_shuffle_texts_by_their_question_only(spark, small, monkeypatch):
+    """Plans are made once, builds are found by keys; before, texts were shuffled for both and plans were made for every use of them."""
+    from tessella.plans import miners
+
+    plans, kept = [], miners.kept
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(miners, "kept", lambda df: plans.append(of(df)) or kept(df))
+    last = of(driver.queries()["mine_relaxed_lane"](spark, small))
+    made, build = plans
+    assert "ArrowEvalPython" in made and "ArrowEvalPython" not in build and "ArrowEvalPython" not in last
+    aggregate = build[build.index("Aggregate"):].splitlines()[0]
+    assert "key" in aggregate and "text" not in aggregate and "main.tex" not in aggregate
